@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 
 from velometric.schema import (
     NO_REGION,
-    NO_REGION_LETTERS,
     NULL_TOKENS,
     REGION_PATTERNS,
     SYSTEM_REGION,
@@ -44,16 +44,30 @@ def ordinal(value: Column, domain: Sequence[str]) -> Column:
 
 def clean_station_id(value: Column) -> Column:
     """Drop the `.0` that whole-number ids pick up on their way through floats."""
-    return F.regexp_replace(value, r"^(\d+)\.0$", "$1")
+    suffixed = value.endswith(".0") & value.rlike(r"^\d+\.0$")
+    return F.when(suffixed, F.regexp_replace(value, r"\.0$", "")).otherwise(value)
 
 
 def starts_like(value: Column, *patterns: str) -> Column:
-    return value.rlike("^(?:" + "|".join(patterns) + ")")
+    """Whether the value starts with a match of any pattern.
+
+    Patterns are applied behind a plain prefix comparison wherever they begin with literal text, so
+    few rows reach the regular expression engine.
+    """
+    found = None
+    for pattern in patterns:
+        prefix = "" if "|" in pattern else re.match(r"[\w &-]*(?![?*{])", pattern)[0]
+        test = value.startswith(prefix) if prefix == pattern else value.rlike(f"^(?:{pattern})")
+        if prefix and prefix != pattern:
+            test = value.startswith(prefix) & test
+        found = test if found is None else found | test
+    return found
 
 
 def _no_station(station_id: Column, strict_none: bool) -> Column:
-    marker = station_id == NO_REGION if strict_none else starts_like(station_id, NO_REGION_LETTERS)
-    return station_id.isNull() | marker
+    if strict_none:
+        return station_id.isNull() | (station_id == NO_REGION)
+    return station_id.isNull() | F.substring(station_id, 1, 1).isin(list(NO_REGION))
 
 
 def region_matches(

@@ -402,7 +402,7 @@ def first_ride_per_station(spark, folder):
 
 @query
 def merge_pairs(spark, folder):
-    return dd.merge_pairs(_pairs(_rides(spark, folder)))
+    return dd.merge_pairs(_pairs(_rides(spark, folder)), check=False)
 
 
 @query

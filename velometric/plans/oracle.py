@@ -33,9 +33,9 @@ raw as (select cast(event_id as varchar) as ride_id,
     {_sid('k')} as start_station_id,
     case when ek is not null then concat('Stop ', cast(ek as varchar), case when user_id % 5 = 0 then ' (alt)' else '' end) end as end_station_name,
     {_sid('ek')} as end_station_id,
-    40.7e0 + cast(k as double) / 1000 + cast(user_id % 3 as double) / 10000 as start_lat,
-    -74e0 + cast(k as double) / 1000 as start_lng,
-    40.7e0 + cast(ek as double) / 1000 as end_lat, -74e0 + cast(ek as double) / 1000 as end_lng,
+    40.7e0 + cast(k as double) / 997 + cast(user_id % 3 as double) / 9973 as start_lat,
+    -74e0 + cast(k as double) / 997 as start_lng,
+    40.7e0 + cast(ek as double) / 997 as end_lat, -74e0 + cast(ek as double) / 997 as end_lng,
     case when value < 50 then 'member' else 'casual' end as member_casual,
     cast(user_id % 3 as integer) as gender,
     case when user_id % 4 <> 0 then cast(user_id % 50 + 1950 as integer) end as birth_year,

@@ -126,9 +126,10 @@ def incremental_append(spark: SparkSession, rides: DataFrame, last_known: int) -
     path = scratch_path(spark, "rollup")
     table = rollup(rides, "rg", "cd", by_month=True)
     write_by_month(table.where(F.col("ym") <= last_known), path)
-    newer = rides_after(rides, spark.read.parquet(path))
+    stored = spark.read.schema(table.schema).parquet(path)
+    newer = rides_after(rides, stored)
     write_by_month(rollup(newer, "rg", "cd", by_month=True), path)
-    return spark.read.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 def json_records(spark: SparkSession, rides: DataFrame) -> DataFrame:

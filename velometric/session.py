@@ -13,6 +13,11 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # The JVM never compiles methods above 8000 bytes of bytecode; with the default limit a wide
+    # ride projection fuses into one such method and runs interpreted, about three times slower.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Recording a Python call site for every expression doubles the time it takes to build a plan.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
     "spark.ui.enabled": "false",
 }
 

@@ -83,11 +83,14 @@ def write_sorted_csv(raw: DataFrame, path: str, expected_rows: int | None = None
     """Gzipped CSV in global order of start, stop and id; returns the rows written.
 
     The order comes from a range partitioning, so part files follow each other and no task sorts
-    more than its range. A row count other than `expected_rows` is an error.
+    more than its range; the input position as last sort column keeps ties in order and lets many
+    copies of one key spread over several ranges. A row count other than `expected_rows` is an error.
     """
     seen = Observation()
     counted = raw.observe(seen, F.count(F.lit(1)).alias("rows"))
-    ordered = counted.orderBy(*[F.col(f"`{c}`") for c in csv_sort_columns(raw.columns)])
+    keys = [F.col(f"`{c}`") for c in csv_sort_columns(raw.columns)]
+    placed = counted.withColumn("__at", F.monotonically_increasing_id())
+    ordered = placed.orderBy(*keys, "__at").drop("__at")
     ordered.write.option("header", True).option("compression", "gzip").csv(path)
     rows = seen.get["rows"]
     if expected_rows is not None and rows != expected_rows:

@@ -7,65 +7,59 @@ trips longer than a day or ending before they start. A narrow projection, so it
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
-def _station_id(k: Column) -> Column:
-    text = k.cast("string")
-    return (
-        F.when(k < 10, F.concat((k + 100).cast("string"), F.lit(".0")))
-        .when(k < 60, F.concat((k + 4000).cast("string"), F.lit("."), F.lpad(text, 2, "0")))
-        .when(k < 80, F.concat(F.lit("JC"), F.lpad(text, 3, "0")))
-        .when(k == 92, F.lit("Liberty State Park"))
-        .when(k == 93, F.lit("North Yard"))
-        .when(k == 94, F.lit("Depot 94"))
-        .when(k < 95, F.concat(F.lit("HB"), F.lpad(text, 3, "0")))
-        .when(k >= 95, F.concat(F.lit("SYS"), F.lpad(text, 3, "0")))
-    )
+def _station_id(k: str) -> str:
+    return f"""case
+        when {k} < 10 then concat({k} + 100, '.0')
+        when {k} < 60 then concat({k} + 4000, '.', lpad({k}, 2, '0'))
+        when {k} < 80 then concat('JC', lpad({k}, 3, '0'))
+        when {k} = 92 then 'Liberty State Park'
+        when {k} = 93 then 'North Yard'
+        when {k} = 94 then 'Depot 94'
+        when {k} < 95 then concat('HB', lpad({k}, 3, '0'))
+        when {k} >= 95 then concat('SYS', lpad({k}, 3, '0'))
+    end"""
 
 
 def event_trips(events: DataFrame) -> DataFrame:
     """Trips over four years: users start at different 30-day offsets before the event time."""
-    user, eid, k, ek = F.col("user_id"), F.col("event_id"), F.col("k"), F.col("ek")
-    keyed = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    keyed = keyed.withColumns(
-        {
-            "ek": F.when(eid % 67 != 0, ((k * 7 + user % 13) % 100).cast("int")),
-            "started_at": F.timestamp_add("DAY", (-(user % 48 + 12) * 30).cast("int"), F.col("ts")),
-            "micros": F.when(eid % 97 == 0, -(eid % 60 * 1_000_000 + 500_000)).otherwise(
-                eid * 7919 % 100_000 * 1_000_000 + eid % 1000 * 1000
-            ),
-        }
+    keyed = events.selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k").selectExpr(
+        "*",
+        "case when event_id % 67 <> 0 then cast((k * 7 + user_id % 13) % 100 as int) end as ek",
+        "timestampadd(day, cast(-(user_id % 48 + 12) * 30 as int), ts) as started_at",
+        """case when event_id % 97 = 0 then -(event_id % 60 * 1000000 + 500000)
+            else event_id * 7919 % 100000 * 1000000 + event_id % 1000 * 1000 end as micros""",
     )
-    alt = lambda n: F.when(user % n == 0, F.lit(" (alt)")).otherwise(F.lit(""))
     # Generated columns are worked out once per row, like stored ones: filters on the ids are not
     # rewritten in terms of the JSON text.
-    ids = F.struct(_station_id(k).alias("start_station_id"), _station_id(ek).alias("end_station_id"))
-    named = keyed.select("*", F.inline(F.array(ids)))
-    return named.select(
-        eid.cast("string").alias("ride_id"),
-        F.when(F.col("event_type") == "click", "classic_bike")
-        .when(F.col("event_type") == "view", "docked_bike")
-        .when(F.col("event_type") == "purchase", "electric_bike")
-        .when(F.col("event_type") == "signup", "unknown")
-        .otherwise("motivate_dockless_bike")
-        .alias("rideable_type"),
-        F.col("started_at"),
-        F.timestamp_add("MICROSECOND", F.col("micros"), F.col("started_at")).alias("ended_at"),
-        F.when(eid % 101 != 0, F.concat(F.lit("Stop "), k.cast("string"), alt(7))).alias("start_station_name"),
+    named = keyed.selectExpr(
+        "*",
+        f"""inline(array(named_struct('start_station_id', {_station_id("k")},
+            'end_station_id', {_station_id("ek")})))""",
+    )
+    return named.selectExpr(
+        "cast(event_id as string) as ride_id",
+        """case event_type when 'click' then 'classic_bike' when 'view' then 'docked_bike'
+            when 'purchase' then 'electric_bike' when 'signup' then 'unknown'
+            else 'motivate_dockless_bike' end as rideable_type""",
+        "started_at",
+        "timestampadd(microsecond, micros, started_at) as ended_at",
+        """case when event_id % 101 <> 0 then
+            concat('Stop ', k, if(user_id % 7 = 0, ' (alt)', '')) end as start_station_name""",
         "start_station_id",
-        F.concat(F.lit("Stop "), ek.cast("string"), alt(5)).alias("end_station_name"),
+        "concat('Stop ', ek, if(user_id % 5 = 0, ' (alt)', '')) as end_station_name",
         "end_station_id",
-        (F.lit(40.7) + k.cast("double") / 1000 + (user % 3).cast("double") / 10000).alias("start_lat"),
-        (F.lit(-74.0) + k.cast("double") / 1000).alias("start_lng"),
-        (F.lit(40.7) + ek.cast("double") / 1000).alias("end_lat"),
-        (F.lit(-74.0) + ek.cast("double") / 1000).alias("end_lng"),
-        F.when(F.col("value") < 50, "member").otherwise("casual").alias("member_casual"),
-        (user % 3).cast("int").alias("gender"),
-        F.when(user % 4 != 0, (user % 50 + 1950).cast("int")).alias("birth year"),
-        user.cast("int").alias("bikeid"),
-        F.when(user % 2 == 0, "NYC").otherwise("JC").alias("src_region"),
+        "40.7D + cast(k as double) / 997 + cast(user_id % 3 as double) / 9973 as start_lat",
+        "-74D + cast(k as double) / 997 as start_lng",
+        "40.7D + cast(ek as double) / 997 as end_lat",
+        "-74D + cast(ek as double) / 997 as end_lng",
+        "if(value < 50, 'member', 'casual') as member_casual",
+        "cast(user_id % 3 as int) as gender",
+        "case when user_id % 4 <> 0 then cast(user_id % 50 + 1950 as int) end as `birth year`",
+        "cast(user_id as int) as bikeid",
+        "if(user_id % 2 = 0, 'NYC', 'JC') as src_region",
     )
 
 
