@@ -140,8 +140,8 @@ def merge_pairs(
             **{f"__{c}": F.lag(F.col(f"`{c}`")).over(by_file) for c in cols},
         }
     )
-    nth = F.when(F.col("__nth") > 2, F.raise_error(F.lit("more than two rows on one key")).cast("int"))
-    last = ranked.where(F.col("__next").isNull() & F.coalesce(nth, F.lit(1)).isNotNull())
+    third = F.raise_error(F.lit("more than two rows on one key")).cast("boolean")
+    last = ranked.where(F.when(F.col("__nth") > 2, third).otherwise(F.col("__next").isNull()))
     take = (F.col("__nth") == 2) & _empty("", cols) & ~_empty("__", cols)
     merged = {c: F.when(take, F.col(f"`__{c}`")).otherwise(F.col(f"`{c}`")) for c in cols}
     return last.withColumns(merged).drop("__nth", "__next", *[f"__{c}" for c in cols])
