@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import io
 import os
-import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pa_compute
 import pyarrow.csv as pa_csv
 import pyarrow.fs as pa_fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,38 +64,43 @@ def sorted_csv(spark: SparkSession, raw: DataFrame) -> DataFrame:
 
 
 def _archive_writer(root: str):
-    """Each task streams its rows into one archive per region holding one CSV."""
+    """Each task streams its rows into one archive per region holding one CSV.
+
+    Archives are written under an attempt's own name and moved to the partition's name at the end,
+    so a task that runs again replaces its output.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "://" in root:
             fs, base = pa_fs.FileSystem.from_uri(root)
         else:
             fs, base = pa_fs.LocalFileSystem(), root.removeprefix("file:")
-        open_archives: dict[str, tuple] = {}
-        folder = f"{base}/part-{uuid.uuid4().hex}"
+        task = TaskContext.get()
+        folder = f"{base}/part-{task.partitionId():05d}"
+        archives: dict[str, tuple] = {}
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for region in table["src_region"].unique().to_pylist():
-                rows = table.filter(pa.compute.equal(table["src_region"], region)).drop_columns(["src_region"])
-                if region not in open_archives:
+                rows = table.filter(pa_compute.equal(table["src_region"], region)).drop_columns(["src_region"])
+                fresh = region not in archives
+                if fresh:
                     fs.create_dir(folder, recursive=True)
                     name = f"{'JC-' if region == 'JC' else ''}{ARCHIVE_MONTH}-{STEM}"
-                    suffix = ".csv.zip" if region == "JC" else ".zip"
-                    raw = fs.open_output_stream(f"{folder}/{name}{suffix}")
+                    final = f"{folder}/{name}{'.csv.zip' if region == 'JC' else '.zip'}"
+                    draft = f"{final}.{task.taskAttemptId()}"
+                    raw = fs.open_output_stream(draft)
                     archive = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
                     member = archive.open(f"{name}.csv", "w", force_zip64=True)
-                    open_archives[region] = (raw, archive, member)
-                    header = True
-                else:
-                    header = False
+                    archives[region] = (draft, final, raw, archive, member)
                 block = io.BytesIO()
-                pa_csv.write_csv(rows, block, pa_csv.WriteOptions(include_header=header))
-                open_archives[region][2].write(block.getvalue())
-        for raw, archive, member in open_archives.values():
+                pa_csv.write_csv(rows, block, pa_csv.WriteOptions(include_header=fresh))
+                archives[region][-1].write(block.getvalue())
+        for draft, final, raw, archive, member in archives.values():
             member.close()
             archive.close()
             raw.close()
-        yield pa.RecordBatch.from_pydict({"archives": pa.array([len(open_archives)], pa.int32())})
+            fs.move(draft, final)
+        yield pa.RecordBatch.from_pydict({"archives": pa.array([len(archives)], pa.int32())})
 
     return write
 

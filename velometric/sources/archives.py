@@ -29,6 +29,7 @@ from velometric.schema import (
     NULL_TOKENS,
     squash_header,
 )
+from velometric.sources.manifest import region_available
 
 MEMBER_SCHEMA = "path string, nested string, member string, bytes bigint, header string"
 # Text columns handed on by the scan: every canonical source column, as strings.
@@ -61,8 +62,8 @@ def archive_name(stem: str, ym: Column, region: Column) -> Column:
 def source_months(spark: SparkSession, start: int, end: int) -> DataFrame:
     """Months and regions with published data in the half-open range."""
     months = spark.createDataFrame([(m,) for m in months_between(start, end)], "ym int")
-    regions = spark.createDataFrame(list(FIRST_MONTH.items()), "src_region string, first_ym int")
-    return months.join(regions, F.col("ym") >= F.col("first_ym")).drop("first_ym")
+    regions = F.explode(F.array(*[F.lit(r) for r in FIRST_MONTH])).alias("src_region")
+    return months.select("ym", regions).where(region_available(F.col("ym"), F.col("src_region")))
 
 
 def archive_paths(months: DataFrame, root: str, stem: str) -> DataFrame:
