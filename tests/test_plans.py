@@ -24,7 +24,7 @@ def plan(df):
 
 @pytest.fixture(scope="module")
 def rides(spark):
-    return conform(read_event_trips(spark, FOLDER), F.col("src_region"))
+    return conform(read_event_trips(spark, FOLDER), region_column="src_region")
 
 
 def test_month_build(spark, tmp_path):
@@ -33,7 +33,7 @@ def test_month_build(spark, tmp_path):
     months = sorted(r[0] for r in raw.select("src_ym").distinct().collect())
     root = str(tmp_path)
     built = build_rides(spark, raws, root, months)
-    expected = conform(raw, F.col("src_region"))
+    expected = conform(raw, region_column="src_region")
     assert built.count() == expected.count()
     build_rollups(built, root)
     total = build_dashboard(spark, root).agg(F.sum("Count"), F.sum("Duration")).first()

@@ -14,6 +14,7 @@ from velometric.operators.conform import conform
 from velometric.sinks.writers import (
     csv_sort_columns,
     nonempty_lines,
+    repartition_snapshot,
     save,
     write_pair_json,
     write_ride_parts,
@@ -124,7 +125,7 @@ def test_nested_archives(spark, tmp_path):
     jc = tmp_path / f"JC-202103-{STEM}.csv.zip"
     jc.write_bytes(make_zip({f"JC-202103-{STEM}.csv": new_csv("j", 2)}))
     raw = read_archives(paths(spark, (year, 202103, "NYC"), (split, 202409, "NYC"), (jc, 202103, "JC")))
-    rides = conform(raw, F.col("src_region"), keep=["src_ym"])
+    rides = conform(raw, region_column="src_region", keep=["src_ym"])
     got = {r["Ride ID"]: r for r in rides.collect()}
     assert set(got) == {"m0", "m1", "n0", "j0", "j1", *[f"p{i}{k}" for i in range(3) for k in range(2)]}
     assert got["j0"]["Start Region"] == "JC" and got["m0"]["Start Region"] == "NYC"
@@ -264,3 +265,13 @@ def test_stream_of_new_files(spark, tmp_path):
     assert catch_up() == 3
     (src / "b.csv").write_text(new_csv("b", 2))
     assert catch_up() == 5
+
+
+def test_old_snapshot_is_split_into_parts(spark, tmp_path):
+    rows = [("2020-01-31 23:00:00", "2020-02-01 00:10:00", "72", "M"), ("2020-01-05 01:00:00", "2020-01-05 01:10:00", "SYS001", "F"),
+            ("2020-01-06 01:00:00", "2020-01-06 01:10:00", "72.0", "F")]
+    old = spark.createDataFrame(rows, "`Start Time` string, `Stop Time` string, `Start Station ID` string, Gender string")
+    old = old.withColumn("End Station ID", F.lit("JC005"))
+    repartition_snapshot(old, str(tmp_path / "v0"), 202001)
+    got = spark.read.parquet(str(tmp_path / "v0")).select("src_ym", "start_ym", "stop_ym", "Start Station ID", "Gender").collect()
+    assert {tuple(r) for r in got} == {(202001, 202001, 202002, "72", 1), (202001, 202001, 202001, "72", 2)}

@@ -18,7 +18,7 @@ from velometric.operators.dedupe import (
     once_only,
     ride_key,
 )
-from velometric.operators.explore import duration_hist, hist_mode, qualifying_days, station_counts
+from velometric.operators.explore import category_share, duration_hist, hist_mode, qualifying_days, station_counts
 from velometric.operators.rollup import dashboard_records, rollup
 from velometric.operators.series import (
     annualized_growth,
@@ -231,3 +231,9 @@ def test_docking_averages(spark):
     assert tuple(days) == (31, 23, 5)
     with pytest.raises(ValueError):
         station_counts(None, None, ["Day"], daily_avg=True)
+
+
+def test_category_share_rounds_halves_to_even(spark):
+    df = spark.range(400).select(F.when(F.col("id") < 49, "a").otherwise("b").alias("c"), F.lit(1).alias("g"))
+    row = category_share(df, F.col("c"), ["a", "b"], {"g": F.col("g")}).first()
+    assert (row["a"], row["b"], row["a%"], row["b%"]) == (49, 351, 12.2, 87.8)

@@ -77,7 +77,8 @@ def _timestamp(value: Column, is_text: bool) -> Column:
 
 def conform(
     raw: DataFrame,
-    source_region: str | Column | None = None,
+    source_region: str | None = None,
+    region_column: str | None = None,
     keep: Sequence[str] = (),
     drop_out_of_system: bool = True,
     keep_open_ended: bool = False,
@@ -86,11 +87,13 @@ def conform(
 ) -> DataFrame:
     """Rename, default, decode, enforce enum domains, classify regions, cast and order columns.
 
+    The region of the source file is given as `source_region`, or per row as `region_column`.
     `keep` passes source columns (such as month tags) through. `keep_open_ended` keeps rides
     without an end station and gives them their start region; by default they go, as do rides
     touching the operator's own stations. Every step is a narrow projection or filter.
     """
-    df = rename_headers(raw, keep=[*keep, *(source_region_columns(source_region))])
+    carried = list(dict.fromkeys([*keep, *([region_column] if region_column else [])]))
+    df = rename_headers(raw, keep=carried)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     if "Member/Casual" in kinds and "User Type" in kinds:
         raise ValueError("both member_casual and user type columns are present")
@@ -123,8 +126,7 @@ def conform(
         if text(name):
             values[name] = values[name].cast("double")
 
-    tag = F.lit(source_region) if isinstance(source_region, str) else source_region
-    carried = [*dict.fromkeys([*keep, *source_region_columns(source_region)])]
+    tag = F.lit(source_region) if source_region else F.col(region_column) if region_column else None
     typed = df.select(
         *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RIDE_SCHEMA.fields],
         *[F.col(f"`{c}`") for c in carried],
@@ -147,13 +149,6 @@ def conform(
     return rides.select(*RIDE_COLUMNS, *[F.col(f"`{c}`") for c in keep])
 
 
-def source_region_columns(source_region: str | Column | None) -> list[str]:
-    """Names to carry through renaming so that a region column can still be referenced."""
-    if isinstance(source_region, Column):
-        return ["src_region"]
-    return []
-
-
 def with_part_keys(rides: DataFrame) -> DataFrame:
     """Month keys that partition the ride table: start and stop month."""
     return rides.withColumns(

@@ -33,12 +33,12 @@ def cross_region(rides: DataFrame) -> DataFrame:
 
 
 def category_share(rides: DataFrame, category: Column, values: Sequence[str], by: dict[str, Column]) -> DataFrame:
-    """Counts and rounded percentages of each category value per group."""
+    """Counts and percentages (one decimal, halves to even) of each category value per group."""
     tagged = rides.select(*[e.alias(n) for n, e in by.items()], category.alias("__cat"))
     tagged = tagged.na.drop()
     wide = tagged.groupBy(*by).pivot("__cat", list(values)).agg(F.count(F.lit(1)))
     total = sum((F.coalesce(F.col(f"`{v}`"), F.lit(0)) for v in values), F.lit(0))
-    return wide.withColumns({f"{v}%": F.round(F.col(f"`{v}`") / total * 100, 1) for v in values})
+    return wide.withColumns({f"{v}%": F.bround(F.col(f"`{v}`") / total * 100, 1) for v in values})
 
 
 def duration_hist(rides: DataFrame, bucket: int, n: int | None = 100) -> DataFrame:

@@ -50,7 +50,7 @@ def _raw(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rides(spark: SparkSession, folder: str, **options) -> DataFrame:
-    return conform(_raw(spark, folder), F.col("src_region"), **options)
+    return conform(_raw(spark, folder), region_column="src_region", **options)
 
 
 def _republished(rides: DataFrame) -> DataFrame:

@@ -50,7 +50,8 @@ def consolidated(
     merged = merge_pairs(tagged.where(inside), check=check)
     if old is not None:
         merged = backfill(merged, old, check=False)
-    distinct = exact_dedupe(plain.unionByName(merged))
+    # Merged rows are unique by start and stop already, so only the others are compared in full.
+    distinct = exact_dedupe(plain).unionByName(merged)
     if check:
         assert_unique_key(distinct)
     return distinct.select(*ride_columns_only(distinct).columns, F.col("stop_ym").alias("ym"))

@@ -460,7 +460,7 @@ def oracle() -> dict[str, str]:
     q["category_share"] = _with(
         'select y as year, mo as month, "Start Region" as region, ' + ", ".join(
             f"nullif(count(*) filter (where \"Gender\" = {i}), 0) as \"{c}\", "
-            f"round(nullif(count(*) filter (where \"Gender\" = {i}), 0) / count(*) * 100, 1) as \"{c}%\""
+            f"round_even(nullif(count(*) filter (where \"Gender\" = {i}), 0) / count(*) * 100, 1) as \"{c}%\""
             for i, c in enumerate("UMF")
         ) + ' from t where "Start Region" is not null group by 1, 2, 3'
     )

@@ -52,7 +52,7 @@ def csv_ingest(spark: SparkSession, raw: DataFrame) -> DataFrame:
     """Plain CSV out, typed and conformed rides back."""
     path = scratch_path(spark, "csv")
     _as_text(raw).write.option("header", True).csv(path)
-    return conform(read_trip_csv(spark, path, raw.columns), F.col("src_region"))
+    return conform(read_trip_csv(spark, path, raw.columns), region_column="src_region")
 
 
 def sorted_csv(spark: SparkSession, raw: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def sorted_csv(spark: SparkSession, raw: DataFrame) -> DataFrame:
     path = scratch_path(spark, "sorted-csv")
     write_sorted_csv(_as_text(raw.drop("bikeid")), path)
     header = [c for c in raw.columns if c != "bikeid"]
-    return conform(read_trip_csv(spark, path, header), F.col("src_region"))
+    return conform(read_trip_csv(spark, path, header), region_column="src_region")
 
 
 def _archive_writer(root: str):
@@ -115,7 +115,7 @@ def zip_ingest(spark: SparkSession, raw: DataFrame) -> DataFrame:
         F.regexp_extract(name, r"(\d{6})-", 1).cast("int").alias("ym"),
         F.when(name.startswith("JC-"), F.lit("JC")).otherwise(F.lit("NYC")).alias("src_region"),
     )
-    return conform(read_archives(paths), F.col("src_region"))
+    return conform(read_archives(paths), region_column="src_region")
 
 
 def partition_write(spark: SparkSession, parts: DataFrame) -> DataFrame:

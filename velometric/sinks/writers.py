@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from velometric.operators.conform import with_part_keys
+from velometric.operators.conform import conform, with_part_keys
 from velometric.operators.dedupe import ride_sort
 
 PART_KEYS = ["src_ym", "start_ym", "stop_ym"]
@@ -45,8 +45,8 @@ def write_ride_parts(rides: DataFrame, root: str, src_months: Sequence[int]) ->
 
 
 def repartition_snapshot(rides: DataFrame, root: str, src_ym: int) -> None:
-    """Split an existing one-file month into its parts."""
-    write_ride_parts(rides.withColumn("src_ym", F.lit(src_ym)), root, [src_ym])
+    """Conform an existing one-file month again and split it into its parts."""
+    write_ride_parts(conform(rides).withColumn("src_ym", F.lit(src_ym)), root, [src_ym])
 
 
 def write_by_month(table: DataFrame, path: str, month: str = "ym") -> None:
