@@ -7,7 +7,7 @@ from compare import ROOT
 from pyspark.sql import functions as F
 
 from velometric.operators.conform import conform
-from velometric.operators.dedupe import exact_dedupe, keyed_copies, once_only
+from velometric.operators.dedupe import DuplicateKeyError, exact_dedupe, keyed_copies, once_only
 from velometric.operators.rollup import rollup
 from velometric.operators.stations import row_sketch, station_hist, stations
 from velometric.plans.monthly import build_dashboard, build_month_documents, build_rides, build_rollups
@@ -115,3 +115,12 @@ def _distinct_copies(hot):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_clashing_rides_leave_the_table_untouched(spark, tmp_path):
+    raw = read_event_trips(spark, FOLDER).withColumn("src_ym", F.lit(202301))
+    clash = raw.unionAll(raw.withColumn("member_casual", F.lit("casual"))).where("src_region = 'JC'")
+    with pytest.raises(DuplicateKeyError):
+        build_rides(spark, [(clash, "JC")], str(tmp_path), [202301])
+    left = list((tmp_path / "rides").glob("*")) if (tmp_path / "rides").exists() else []
+    assert not [p for p in left if p.name.startswith(("ym=", "_staging"))]

@@ -41,8 +41,8 @@ def consolidated(
     """Rides by stop month over all source months, `ym` being the stop month.
 
     In the backfill months rides found in two source files are merged and empty fields are filled
-    from the older snapshot; the other months only lose exact copies. With `check` the unique-key
-    rules are verified first, reading key columns only.
+    from the older snapshot; the other months only lose exact copies. With `check` a pass over the
+    key columns first makes sure that no key has more than two rows to merge.
     """
     tagged = with_source_part(without_known_bad_parts(parts))
     inside = F.col("stop_ym").between(*backfill_months)
@@ -52,8 +52,6 @@ def consolidated(
         merged = backfill(merged, old, check=False)
     # Merged rows are unique by start and stop already, so only the others are compared in full.
     distinct = exact_dedupe(plain).unionByName(merged)
-    if check:
-        assert_unique_key(distinct)
     return distinct.select(*ride_columns_only(distinct).columns, F.col("stop_ym").alias("ym"))
 
 
@@ -67,14 +65,15 @@ def build_rides(
     """Write the normalised parts, then the consolidated months they touch; returns the latter.
 
     Reading the written parts back cuts the lineage at a durable table and lets the consolidated
-    step prune by month.
+    step prune by month. Ride keys are verified on the written months, from their key columns,
+    before those replace the table's.
     """
     write_ride_parts(normalized(raws), f"{root}/normalized", src_months)
     parts = spark.read.parquet(f"{root}/normalized")
     touched = parts.where(F.col("src_ym").isin(list(src_months))).select("stop_ym").distinct()
     stop_months = [r["stop_ym"] for r in touched.collect()]
     rides = consolidated(parts.where(F.col("stop_ym").isin(stop_months)), old)
-    write_by_month(rides, f"{root}/rides")
+    write_by_month(rides, f"{root}/rides", verify=assert_unique_key)
     return spark.read.parquet(f"{root}/rides").where(F.col("ym").isin(stop_months))
 
 

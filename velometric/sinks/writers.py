@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -14,34 +14,52 @@ from velometric.operators.dedupe import ride_sort
 PART_KEYS = ["src_ym", "start_ym", "stop_ym"]
 
 
-def _fs_path(spark: SparkSession, path: str):
-    """Hadoop file system and path; metadata calls only."""
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+def _files(spark: SparkSession, path: str):
+    """Hadoop file system of a path and its path constructor; metadata calls only."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def _write_staged(
+    df: DataFrame,
+    root: str,
+    keys: Sequence[str],
+    replaced: Sequence[str] | None = None,
+    verify: Callable[[DataFrame], None] | None = None,
+) -> None:
+    """Write partitions to a staging folder, verify what was written, then swap them in.
+
+    `replaced` names first-level partitions to replace even when nothing was written for them;
+    by default exactly the written ones are replaced. Until the swap `root` is untouched.
+    """
+    spark = df.sparkSession
+    staging = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    fs, make = _files(spark, root)
+    try:
+        df.write.partitionBy(*keys).parquet(staging)
+        if verify:
+            verify(spark.read.schema(df.schema).parquet(staging))
+        written = [s.getPath().getName() for s in fs.listStatus(make(staging))]
+        written = [name for name in written if "=" in name]
+        for name in sorted({*written, *(replaced or [])}):
+            old = make(f"{root}/{name}")
+            fs.delete(old, True)
+            if name in written and not fs.rename(make(f"{staging}/{name}"), old):
+                raise OSError(f"could not move {name} into {root}")
+    finally:
+        fs.delete(make(staging), True)
 
 
 def write_ride_parts(rides: DataFrame, root: str, src_months: Sequence[int]) -> None:
     """Write rides below `root` by source, start and stop month, replacing whole source months.
 
     Rows are rebalanced by part (adaptive execution splits large months and merges small ones) and
-    sorted inside files. Output goes to a staging folder first; each source month is then swapped
-    in, so parts that were not produced again disappear and a failed run leaves `root` untouched.
+    sorted inside files. Parts that a source month no longer produces disappear.
     """
-    spark = rides.sparkSession
     if "stop_ym" not in rides.columns:
         rides = with_part_keys(rides)
-    staging = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex}"
     spread = rides.where(F.col("src_ym").isin(list(src_months))).hint("rebalance", *PART_KEYS)
-    ride_sort(spread).write.partitionBy(*PART_KEYS).parquet(staging)
-    fs, _ = _fs_path(spark, root)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    for ym in src_months:
-        old, new = path(f"{root}/src_ym={ym}"), path(f"{staging}/src_ym={ym}")
-        fs.delete(old, True)
-        if fs.exists(new) and not fs.rename(new, old):
-            raise OSError(f"could not move {new} to {old}")
-    fs.delete(path(staging), True)
+    _write_staged(ride_sort(spread), root, PART_KEYS, [f"src_ym={ym}" for ym in src_months])
 
 
 def repartition_snapshot(rides: DataFrame, root: str, src_ym: int) -> None:
@@ -49,15 +67,17 @@ def repartition_snapshot(rides: DataFrame, root: str, src_ym: int) -> None:
     write_ride_parts(conform(rides).withColumn("src_ym", F.lit(src_ym)), root, [src_ym])
 
 
-def write_by_month(table: DataFrame, path: str, month: str = "ym") -> None:
-    """Replace the months present in `table`, leaving the others."""
-    (
-        table.hint("rebalance", month)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(month)
-        .parquet(path)
-    )
+def write_by_month(
+    table: DataFrame,
+    path: str,
+    month: str = "ym",
+    verify: Callable[[DataFrame], None] | None = None,
+) -> None:
+    """Replace the months present in `table`, leaving the others.
+
+    `verify` sees the written rows before they replace anything and raises to call the write off.
+    """
+    _write_staged(table.hint("rebalance", month), path, [month], verify=verify)
 
 
 def save(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = False, **options) -> None:
