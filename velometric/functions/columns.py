@@ -32,96 +32,101 @@ def null_tokens_removed(value: Column, tokens: Sequence[str] = tuple(NULL_TOKENS
     return F.when(~value.isin(list(tokens)), value)
 
 
-def in_domain(value: Column, domain: Sequence[str]) -> Column:
-    """The value where the domain lists it, else null."""
-    return F.when(value.isin(list(domain)), value)
+def quoted(text: str) -> str:
+    """SQL literal of a pattern or name, backslashes kept as they are."""
+    return f"r'{text}'" if "'" not in text else f'r"{text}"'
 
 
-def ordinal(value: Column, domain: Sequence[str]) -> Column:
-    """0-based position in an ordered domain, null outside it."""
-    return lookup(value, {v: i for i, v in enumerate(domain)})
+# The id rules below take SQL text (usually a quoted column name) and return SQL text: a station rule
+# has dozens of terms, and one parsed expression is built far faster than as many Column calls.
 
 
-def clean_station_id(value: Column) -> Column:
+def clean_station_id(value: str) -> str:
     """Drop the `.0` that whole-number ids pick up on their way through floats."""
-    suffixed = value.endswith(".0") & value.rlike(r"^\d+\.0$")
-    return F.when(suffixed, F.regexp_replace(value, r"\.0$", "")).otherwise(value)
+    return (
+        f"case when endswith({value}, '.0') and {value} rlike r'^\\d+\\.0$' "
+        f"then substring({value}, 1, length({value}) - 2) else {value} end"
+    )
 
 
-def starts_like(value: Column, *patterns: str) -> Column:
+def starts_like(value: str, *patterns: str) -> str:
     """Whether the value starts with a match of any pattern.
 
     Patterns are applied behind a plain prefix comparison wherever they begin with literal text, so
     few rows reach the regular expression engine.
     """
-    found = None
+    tests = []
     for pattern in patterns:
         prefix = "" if "|" in pattern else re.match(r"[\w &-]*(?![?*{])", pattern)[0]
-        test = value.startswith(prefix) if prefix == pattern else value.rlike(f"^(?:{pattern})")
-        if prefix and prefix != pattern:
-            test = value.startswith(prefix) & test
-        found = test if found is None else found | test
-    return found
+        starts = f"startswith({value}, {quoted(prefix)})"
+        matches = f"{value} rlike {quoted(f'^(?:{pattern})')}"
+        if prefix == pattern:
+            tests.append(starts)
+        else:
+            tests.append(f"({starts} and {matches})" if prefix else matches)
+    return "(" + " or ".join(tests) + ")"
 
 
-def _no_station(station_id: Column, strict_none: bool) -> Column:
+def _no_station(station_id: str, strict_none: bool) -> str:
     if strict_none:
-        return station_id.isNull() | (station_id == NO_REGION)
-    return station_id.isNull() | F.substring(station_id, 1, 1).isin(list(NO_REGION))
+        return f"({station_id} is null or {station_id} = '{NO_REGION}')"
+    letters = ", ".join(f"'{c}'" for c in NO_REGION)
+    return f"({station_id} is null or left({station_id}, 1) in ({letters}))"
 
 
 def region_matches(
-    station_id: Column,
+    station_id: str,
     rules: Mapping[str, Sequence[str]] = REGION_PATTERNS,
     strict_none: bool = False,
-) -> Column:
+) -> str:
     """Every region whose patterns match, as an array."""
-    flags = [F.when(starts_like(station_id, *p), F.lit(region)) for region, p in rules.items()]
-    flags.append(F.when(_no_station(station_id, strict_none), F.lit(NO_REGION)))
-    return F.array_compact(F.array(*flags))
+    flags = [f"case when {starts_like(station_id, *p)} then '{r}' end" for r, p in rules.items()]
+    flags.append(f"case when {_no_station(station_id, strict_none)} then '{NO_REGION}' end")
+    return f"array_compact(array({', '.join(flags)}))"
 
 
 def region_of(
-    station_id: Column,
-    source_region: Column | None = None,
+    station_id: str,
+    source_region: str | None = None,
     rules: Mapping[str, Sequence[str]] = REGION_PATTERNS,
     strict_none: bool = False,
-) -> Column:
+) -> str:
     """Region of a station id; null when no pattern matches.
 
     The built-in rules are disjoint, so the first match is the only one. Caller-supplied rules are
     checked per row and an id matching several regions is an error.
     """
-    def named(name: str) -> Column:
-        if name == "NYC" and source_region is not None:
+
+    def named(name: str) -> str:
+        if name == "NYC" and source_region:
             # Jersey City files hold main-region ids for their own stations.
-            return F.when(source_region == "JC", F.lit("JC")).otherwise(F.lit("NYC"))
-        return F.lit(name)
+            return f"if({source_region} = 'JC', 'JC', 'NYC')"
+        return f"'{name}'"
 
     if rules is REGION_PATTERNS:
-        region = F.when(_no_station(station_id, strict_none), F.lit(NO_REGION))
-        for name, patterns in rules.items():
-            region = region.when(starts_like(station_id, *patterns), named(name))
-        return region
-    found = region_matches(station_id, rules, strict_none)
-    several = F.format_string("station %s matches regions %s", station_id, F.array_join(found, ","))
-    region = F.when(F.size(found) > 1, F.raise_error(several).cast("string"))
-    for name in [*rules, NO_REGION]:
-        region = region.when(F.array_contains(found, name), named(name))
-    return region
+        tests = {NO_REGION: _no_station(station_id, strict_none)}
+        tests |= {name: starts_like(station_id, *patterns) for name, patterns in rules.items()}
+        several = ""
+    else:
+        found = region_matches(station_id, rules, strict_none)
+        tests = {name: f"array_contains({found}, '{name}')" for name in [*rules, NO_REGION]}
+        message = f"concat('station ', {station_id}, ' matches regions ', array_join({found}, ','))"
+        several = f"when size({found}) > 1 then cast(raise_error({message}) as string)"
+    branches = " ".join(f"when {test} then {named(name)}" for name, test in tests.items())
+    return f"case {several} {branches} end"
 
 
 def out_of_system(
-    station_id: Column,
+    station_id: str,
     rules: Mapping[str, Sequence[str]] = REGION_PATTERNS,
     strict_none: bool = False,
     missing: bool = True,
-) -> Column:
+) -> str:
     """Whether an id belongs to the operator's own stations or, with `missing`, to no station."""
     own = starts_like(station_id, *rules[SYSTEM_REGION])
     if not missing:
-        return F.coalesce(own, F.lit(False))
-    return _no_station(station_id, strict_none) | own
+        return f"coalesce({own}, false)"
+    return f"({_no_station(station_id, strict_none)} or {own})"
 
 
 def yyyymm(ts: Column) -> Column:

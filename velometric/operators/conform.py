@@ -5,17 +5,16 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from velometric.functions.columns import (
     clean_station_id,
-    in_domain,
-    lookup,
     null_tokens_removed,
     out_of_system,
     part_label,
+    quoted,
     region_matches,
     region_of,
     yyyymm,
@@ -66,15 +65,6 @@ def nulls_from_tokens(df: DataFrame) -> DataFrame:
     )
 
 
-def _timestamp(value: Column, is_text: bool) -> Column:
-    if not is_text:
-        return value.cast("timestamp_ntz")
-    # Some older months write times as 6/1/2015 0:00[:03].
-    return F.when(
-        value.rlike(r"^\d{1,2}/"), F.to_timestamp_ntz(value, F.lit("M/d/yyyy H:mm[:ss]"))
-    ).otherwise(F.when(~value.rlike(r"^\d{1,2}/"), value).cast("timestamp_ntz"))
-
-
 def conform(
     raw: DataFrame,
     source_region: str | None = None,
@@ -94,59 +84,64 @@ def conform(
     """
     carried = list(dict.fromkeys([*keep, *([region_column] if region_column else [])]))
     df = rename_headers(raw, keep=carried)
-    kinds = {f.name: f.dataType for f in df.schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     if "Member/Casual" in kinds and "User Type" in kinds:
         raise ValueError("both member_casual and user type columns are present")
+    values = {name: f"`{name}`" for name in kinds}
 
-    def text(name: str) -> bool:
-        return isinstance(kinds.get(name), T.StringType)
+    def cases(name: str, table: Mapping) -> str:
+        return " ".join(f"when `{name}` = '{k}' then {v!r}" for k, v in table.items())
 
-    values: dict[str, Column] = {name: F.col(f"`{name}`") for name in kinds}
     for name in ("Start Time", "Stop Time"):
-        values[name] = _timestamp(values[name], text(name))
-    if "Gender" not in kinds:
-        values["Gender"] = F.lit(0)
-    elif text("Gender"):
-        values["Gender"] = F.coalesce(
-            lookup(values["Gender"], GENDER_CODES), F.expr("try_cast(Gender as tinyint)")
-        )
-    if "Rideable Type" not in kinds:
-        values["Rideable Type"] = F.lit("unknown")
-    rideable = values["Rideable Type"]
-    values["Rideable Type"] = in_domain(
-        F.when(rideable == "docked_bike", F.lit("classic_bike")).otherwise(rideable), RIDEABLE_TYPES
-    )
+        if kinds.get(name) == "string":
+            # Some older months write times as 6/1/2015 0:00[:03].
+            values[name] = (
+                f"case when `{name}` rlike r'^\\d{{1,2}}/' then to_timestamp_ntz(`{name}`, 'M/d/yyyy H:mm[:ss]') "
+                f"else cast(`{name}` as timestamp_ntz) end"
+            )
+    if kinds.get("Gender") == "string":
+        values["Gender"] = f"case {cases('Gender', GENDER_CODES)} else cast(`Gender` as tinyint) end"
+    values.setdefault("Gender", "0")
+    if "Rideable Type" in kinds:
+        domain = {"docked_bike": "classic_bike"} | {v: v for v in RIDEABLE_TYPES}
+        values["Rideable Type"] = f"case {cases('Rideable Type', domain)} end"
+    values.setdefault("Rideable Type", "'unknown'")
     if "Member/Casual" in kinds:
-        values["User Type"] = lookup(values.pop("Member/Casual"), MEMBER_TO_USER)
+        values["User Type"] = f"case {cases('Member/Casual', MEMBER_TO_USER)} end"
     elif "User Type" in kinds:
-        values["User Type"] = in_domain(values["User Type"], USER_TYPES)
+        values["User Type"] = f"case {cases('User Type', {v: v for v in USER_TYPES})} end"
     for name in ("Start Station ID", "End Station ID"):
-        values[name] = clean_station_id(values[name].cast("string"))
+        text = f"`{name}`" if kinds[name] == "string" else f"cast(`{name}` as string)"
+        values[name] = clean_station_id(text)
     for name in ("Birth Year", "Bike ID"):
-        if text(name):
-            values[name] = values[name].cast("double")
+        if kinds.get(name) == "string":
+            values[name] = f"cast(`{name}` as double)"
 
-    tag = F.lit(source_region) if source_region else F.col(region_column) if region_column else None
-    typed = df.select(
-        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RIDE_SCHEMA.fields],
-        *[F.col(f"`{c}`") for c in carried],
+    types = {f.name: f.dataType.simpleString() for f in RIDE_SCHEMA.fields}
+    passed = [f"`{c}`" for c in carried]
+    typed = df.selectExpr(
+        *[
+            f"cast({values.get(c, 'null')} as {t}) as `{c}`"
+            for c, t in types.items()
+            if c not in ("Start Region", "End Region")
+        ],
+        *passed,
     )
-    start_id, end_id = F.col("Start Station ID"), F.col("End Station ID")
+    start_id, end_id = "`Start Station ID`", "`End Station ID`"
     if drop_out_of_system:
         # Decided on the ids, one pattern per end, before regions are worked out; a region that
         # stays unknown (unrecognised station) does not remove its ride.
         end_out = out_of_system(end_id, rules, strict_none, missing=not keep_open_ended)
-        typed = typed.where(~out_of_system(start_id, rules, strict_none) & ~end_out)
-    rides = typed.withColumns(
-        {
-            "Start Region": region_of(start_id, tag, rules, strict_none),
-            "End Region": region_of(end_id, tag, rules, strict_none),
-        }
-    )
+        typed = typed.where(f"not {out_of_system(start_id, rules, strict_none)} and not {end_out}")
+    source = f"`{region_column}`" if region_column else quoted(source_region) if source_region else None
+    start = region_of(start_id, source, rules, strict_none)
+    end = region_of(end_id, source, rules, strict_none)
     if keep_open_ended:
-        filled = F.when(F.col("End Region") == NO_REGION, F.col("Start Region"))
-        rides = rides.withColumn("End Region", filled.otherwise(F.col("End Region")))
-    return rides.select(*RIDE_COLUMNS, *[F.col(f"`{c}`") for c in keep])
+        end = f"coalesce(nullif({end}, '{NO_REGION}'), if({end} = '{NO_REGION}', {start}, null))"
+    regions = {"Start Region": f"{start} as `Start Region`", "End Region": f"{end} as `End Region`"}
+    return typed.selectExpr(
+        *[regions.get(c, f"`{c}`") for c in RIDE_COLUMNS], *[f"`{c}`" for c in keep]
+    )
 
 
 def with_part_keys(rides: DataFrame) -> DataFrame:
@@ -167,7 +162,7 @@ def ambiguous_stations(
     ids = rides.select(
         F.explode(F.array(F.col("Start Station ID"), F.col("End Station ID"))).alias("id")
     ).where(F.col("id").isNotNull())
-    found = ids.distinct().withColumn("regions", region_matches(F.col("id"), rules))
+    found = ids.distinct().withColumn("regions", F.expr(region_matches("id", rules)))
     return found.where(F.size("regions") > 1)
 
 

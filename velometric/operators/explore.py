@@ -121,7 +121,7 @@ def station_counts(
         raise ValueError("daily averages need the date range")
     chosen = docks.where(weekday_filter(F.col("Weekday"), weekdays))
     if nj is not None:
-        there = starts_like(F.col("`Station ID`"), *NJ_PREFIXES)
+        there = F.expr(starts_like("`Station ID`", *NJ_PREFIXES))
         chosen = chosen.where(there if nj else ~there)
     counts = chosen.groupBy("Station ID", *keys).agg(F.count(F.lit(1)).alias("Count"))
     names = dim.select(F.col("id").alias("Station ID"), F.col("name").alias("Station Name"))

@@ -139,7 +139,7 @@ def region_classify(spark, folder):
         F.struct(F.col("end_station_id").alias("id"), "src_region"),
     )))
     counts = ids.groupBy("id", "src_region").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("region", region_of(F.col("id"), F.col("src_region")))
+    return counts.withColumn("region", F.expr(region_of("id", "src_region")))
 
 
 @query
