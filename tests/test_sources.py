@@ -105,7 +105,7 @@ def test_year_archive_with_both_member_types(spark, tmp_path):
     assert names(1) == parts | april and names(2) == whole | april and names(22) == whole | april
     with pytest.raises(PySparkException):
         names(11)
-    rides = conform(read_archives(paths(spark, (archive, 201803, "NYC"))), F.col("src_region"))
+    rides = conform(read_archives(paths(spark, (archive, 201803, "NYC"))), region_column="src_region")
     got = rides.groupBy("Start Station Name").count().collect()
     assert {tuple(r) for r in got} == {("one", 2), ("two", 3)}
     row = rides.first()

@@ -7,7 +7,14 @@ from collections.abc import Collection, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from velometric.functions.columns import ride_seconds, seconds_label, starts_like, weekday_label
+from velometric.functions.columns import (
+    lookup,
+    month_gender_label,
+    ride_seconds,
+    seconds_label,
+    starts_like,
+    weekday_label,
+)
 from velometric.operators.stations import ride_ends
 
 # Station id prefixes of the New Jersey side.
@@ -180,8 +187,6 @@ def grand_totals(table: DataFrame, measure: str, *distinct: str) -> DataFrame:
 
 def month_gender_totals(ymg_c: DataFrame) -> DataFrame:
     """Counts per month and gender with the `Jan-M` label and the unknown/women/men order."""
-    from velometric.functions.columns import lookup, month_gender_label
-
     start = F.make_date(F.col("Start Year"), F.col("Start Month"), F.lit(1))
     return ymg_c.select(
         "Start Year",
