@@ -4,6 +4,7 @@ import pytest
 from compare import ROOT, connect, difference
 
 from __spark_entry__ import entry, oracle_sql, queries
+from velometric.plans.catalog import QUERIES
 
 FOLDER = f"{ROOT}/sf0.001"
 
@@ -14,10 +15,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query(spark, con, name):
     assert difference(spark, con, FOLDER, queries()[name], oracle_sql()[name]) is None
 
