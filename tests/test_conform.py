@@ -13,8 +13,14 @@ from velometric.functions.columns import (
     seconds_label,
 )
 from velometric.functions.months import month_list, months_between
-from velometric.operators.conform import ambiguous_stations, conform, union_regions
-from velometric.schema import RIDE_COLUMNS, expected_columns
+from velometric.operators.conform import (
+    ambiguous_stations,
+    column_surprises,
+    conform,
+    union_regions,
+    with_part_keys,
+)
+from velometric.schema import RIDE_COLUMNS
 
 T0 = dt.datetime(2021, 3, 14, 1, 0, 0)
 
@@ -151,7 +157,18 @@ def test_bad_months(text):
         month_list(text)
 
 
-def test_months_and_columns():
+def test_months():
     assert months_between(201911, 202002) == [201911, 201912, 202001]
-    assert "Ride ID" not in expected_columns(201912) and len(expected_columns(202006)) == 18
-    assert "Bike ID" not in expected_columns(202102)
+
+
+def test_column_surprises(spark):
+    rows = [(201912, "a", 1, 1980), (202006, "b", 1, 1980), (202006, None, 1, None), (202103, "c", None, None), (202104, None, 5, None)]
+    df = spark.createDataFrame(rows, "ym int, `Ride ID` string, `Bike ID` int, `Birth Year` int")
+    got = {(r["ym"], r["column"], r["filled"]) for r in column_surprises(df).collect()}
+    assert got == {(201912, "Ride ID", 1), (202104, "Ride ID", 0), (202104, "Bike ID", 1)}
+
+
+def test_part_keys_need_times(spark):
+    df = spark.createDataFrame([(T0, None)], "`Start Time` timestamp_ntz, `Stop Time` timestamp_ntz")
+    with pytest.raises(Exception, match="ride without Stop Time"):
+        with_part_keys(df).collect()

@@ -78,14 +78,15 @@ def paths(spark, *rows):
 def test_archive_names(spark):
     cases = {(201306, "NYC"): f"2013-{STEM}.zip", (202312, "NYC"): f"2023-{STEM}.zip",
              (202403, "NYC"): f"202403-{STEM}.csv.zip", (202405, "NYC"): f"202405-{STEM}.zip",
-             (202101, "JC"): f"JC-202101-{STEM}.csv.zip", (202207, "JC"): "JC-202207-acmbike-tripdata.csv.zip",
+             (202101, "JC"): f"JC-202101-{STEM}.csv.zip", (202207, "JC"): "JC-202207-typo.csv.zip",
              (201708, "JC"): f"JC-201708 {STEM}.csv.zip"}
+    odd = {("JC", 202207): "JC-202207-typo.csv.zip", ("JC", 201708): f"JC-201708 {STEM}.csv.zip"}
     df = spark.createDataFrame(list(cases), "ym int, r string")
-    got = {(r["ym"], r["r"]): r["n"] for r in df.select("ym", "r", archive_name(STEM, F.col("ym"), F.col("r")).alias("n")).collect()}
+    got = {(r["ym"], r["r"]): r["n"] for r in df.select("ym", "r", archive_name(STEM, F.col("ym"), F.col("r"), odd).alias("n")).collect()}
     assert got == cases
     months = source_months(spark, 201508, 201510)
     assert {tuple(r) for r in archive_paths(months, "/d/", STEM).select("path").collect()} == {
-        (f"/d/2015-{STEM}.zip",), (f"/d/JC-201509-{STEM}.csv.zip",)}
+        (f"file:/d/2015-{STEM}.zip",), (f"file:/d/JC-201509-{STEM}.csv.zip",)}
 
 
 def test_year_archive_with_both_member_types(spark, tmp_path):
@@ -140,6 +141,41 @@ def test_differing_headers_are_an_error(spark, tmp_path):
         check_headers(members).collect()
 
 
+def test_months_without_a_file_are_an_error(spark, tmp_path):
+    archive = tmp_path / f"2018-{STEM}.zip"
+    archive.write_bytes(make_zip({f"2018-{STEM}/201804-{STEM}.csv": old_csv("april")}))
+    assert read_archives(paths(spark, (archive, 201804, "NYC"))).count() == 2
+    with pytest.raises(PySparkException, match="no file for 201805 NYC"):
+        read_archives(paths(spark, (archive, 201804, "NYC"), (archive, 201805, "NYC"))).collect()
+
+
+def test_archives_are_listed_by_many_tasks(spark, tmp_path):
+    rows = []
+    for month in range(1, 13):
+        archive = tmp_path / f"JC-2021{month:02d}-{STEM}.csv.zip"
+        archive.write_bytes(make_zip({f"JC-2021{month:02d}-{STEM}.csv": new_csv("j", 1)}))
+        rows.append((archive, 202100 + month, "JC"))
+    contents = list_members(paths(spark, *rows))
+    plan = contents._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and contents.count() == 12
+
+
+def test_schemes_arrow_calls_otherwise(monkeypatch):
+    from velometric.sources import archives
+
+    seen = []
+
+    class Store:
+        def open_input_file(self, path):
+            return path
+
+    monkeypatch.setattr(archives, "pa_fs", type("Fs", (), {
+            "FileSystem": type("F", (), {"from_uri": staticmethod(lambda uri: (seen.append(uri), (Store(), "b/k.zip"))[1])}),
+            "LocalFileSystem": Store}))
+    assert archives._open("s3a://b/k.zip") == "b/k.zip" and seen == ["s3://b/k.zip"]
+    assert archives._open("file:/d/a b.zip") == "/d/a b.zip" and archives._open("/d/a.zip") == "/d/a.zip"
+
+
 def test_csv_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text(new_csv("a", 2).replace("classic_bike", "NULL"))
     with gzip.open(tmp_path / "b.csv.gz", "wt") as out:
@@ -165,8 +201,9 @@ def test_sorted_csv(spark, tmp_path):
     with pytest.raises(ValueError):
         write_sorted_csv(raw, str(tmp_path / "bad"), expected_rows=8)
     assert csv_sort_columns(["starttime", "stoptime", "bikeid"]) == ["starttime", "stoptime", "bikeid"]
+    assert csv_sort_columns(["ride_id", "started_at", "ended_at", "Bike ID"]) == ["started_at", "ended_at", "ride_id"]
     with pytest.raises(ValueError):
-        csv_sort_columns(["starttime", "started_at"])
+        csv_sort_columns(["starttime", "stoptime"])
 
 
 def test_stem_parquet_layout(spark, tmp_path):
@@ -195,6 +232,15 @@ def test_parts_replace_their_source_month(spark, tmp_path):
     write_ride_parts(df.where("`Ride ID` = 'a'"), root, [202001])
     back = spark.read.parquet(root)
     assert {r["Ride ID"] for r in back.collect()} == {"a", "c"}
+    # A failing write leaves the old rows; a source month may lose all of its parts.
+    bad = df.withColumn("Ride ID", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(PySparkException):
+        write_ride_parts(bad, root, [202001, 202002])
+    assert {r["Ride ID"] for r in spark.read.parquet(root).collect()} == {"a", "c"}
+    write_ride_parts(df.limit(0), root, [202001])
+    assert {r["Ride ID"] for r in spark.read.schema(df.schema).parquet(root).collect()} == {"c"}
+    write_ride_parts(df.where("`Ride ID` = 'a'"), root, [202001])
+    back = spark.read.parquet(root)
     plan = back.where("stop_ym = 202002")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(stop_ym" in plan
 

@@ -52,11 +52,12 @@ def backfill(
     new: DataFrame,
     old: DataFrame,
     cols: Sequence[str] = tuple(BACKFILL_COLUMNS),
-    check: bool = False,
+    check: bool = True,
 ) -> DataFrame:
     """Fill birth year, bike id and gender of `new` from `old` rides with equal start and stop.
 
-    `check` verifies first that `new` has unique times (an aggregation over the two time columns).
+    `check` verifies first that `new` has unique times (an aggregation over the two time columns), so no time is a hot
+    key of the join; a caller that has made sure of it, as `merge_pairs` does, can leave it out.
     """
     if check:
         assert_unique_key(new, TIME_COLUMNS)

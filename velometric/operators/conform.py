@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,6 @@ from velometric.functions.columns import (
     clean_station_id,
     null_tokens_removed,
     out_of_system,
-    part_label,
     quoted,
     region_matches,
     region_of,
@@ -29,6 +28,7 @@ from velometric.schema import (
     RIDE_COLUMNS,
     RIDE_SCHEMA,
     RIDEABLE_TYPES,
+    UNFILLED_MONTHS,
     USER_TYPES,
     squash_header,
 )
@@ -145,14 +145,27 @@ def conform(
 
 
 def with_part_keys(rides: DataFrame) -> DataFrame:
-    """Month keys that partition the ride table: start and stop month."""
-    return rides.withColumns(
-        {"start_ym": yyyymm(F.col("Start Time")), "stop_ym": yyyymm(F.col("Stop Time"))}
-    )
-
-
-def with_part_label(rides: DataFrame) -> DataFrame:
-    return rides.withColumn("part", part_label(F.col("Start Time"), F.col("Stop Time")))
+    """Month keys that partition the ride table: start and stop month. A missing time is an error."""
+
+    def month(name: str) -> Column:
+        missing = F.raise_error(F.lit(f"ride without {name}")).cast("int")
+        return F.coalesce(yyyymm(F.col(name)), missing)
+
+    return rides.withColumns({"start_ym": month("Start Time"), "stop_ym": month("Stop Time")})
+
+
+def column_surprises(rides: DataFrame, month: str = "ym") -> DataFrame:
+    """(month, column) where a column is filled and should not be (`filled` > 0) or the reverse."""
+    columns = [c for c in RIDE_COLUMNS if c in rides.columns]
+    counts = rides.groupBy(month).agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns])
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("filled")) for c in columns]
+    long = counts.select(month, F.inline(F.array(*cells)))
+    unfilled = F.lit(False)
+    for name, (begin, end) in UNFILLED_MONTHS.items():
+        inside = F.col("column") == name
+        inside = inside & (F.col(month) >= begin) if begin else inside
+        unfilled = unfilled | (inside & (F.col(month) < end) if end else inside)
+    return long.where(unfilled == (F.col("filled") > 0))
 
 
 def ambiguous_stations(

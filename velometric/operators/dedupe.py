@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velometric.schema import BACKFILL_COLUMNS, RIDE_COLUMNS, TIME_COLUMNS
+from velometric.session import scratch_path
 
 
 class DuplicateKeyError(AssertionError):
@@ -36,11 +37,11 @@ def key_clashes(distinct_rides: DataFrame, key: Sequence[str] | None = None) ->
 
 
 def assert_unique_key(distinct_rides: DataFrame, key: Sequence[str] | None = None) -> None:
-    """Raise with a histogram of group sizes when a key repeats."""
+    """Raise when a key repeats, saying how many do, over how many rows, and the most on one key."""
     clashes = key_clashes(distinct_rides, key)
-    sizes = clashes.groupBy("n").agg(F.count(F.lit(1)).alias("keys")).orderBy("n").limit(50).collect()
-    if sizes:
-        shown = ", ".join(f"{r['n']} rows: {r['keys']} keys" for r in sizes)
+    found = clashes.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    if found["keys"]:
+        shown = f"{found['keys']} keys, {found['rows']} rows, {found['most']} rows on one key"
         raise DuplicateKeyError(f"{list(key or ride_key(distinct_rides))} is not unique ({shown})")
 
 
@@ -123,28 +124,37 @@ def merge_pairs(
     """Rows repeated across two files become the later file's row.
 
     The later row takes the earlier row's `cols` when all of its own are empty and the earlier
-    row's are not. Three rows on one key are an error. With `check` an aggregation looks for such
-    keys first, so a hot key fails cheaply; without it the error is raised in the plan.
+    row's are not. Three rows on one key are an error. Keys are counted first, with map-side combining: a hot key
+    fails there, and only rows of repeated keys, a handful in real months, enter the window; the others pass by an anti
+    join. With `check` the repeated keys are written first, so Spark knows their size and leaves the rides unshuffled
+    where it may broadcast them; without it everything stays one lazy plan.
     """
     key = list(key)
+    many = F.raise_error(F.lit("more than two rows on one key")).cast("boolean")
+    counts = tagged.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     if check:
-        worst = key_clashes(tagged, key).where("n > 2").limit(1).collect()
+        repeated = key_clashes(tagged, key)
+        path = scratch_path(tagged.sparkSession, "repeated-keys")
+        repeated.write.parquet(path)
+        counts = tagged.sparkSession.read.schema(repeated.schema).parquet(path)
+        worst = counts.where("n > 2").limit(1).collect()
         if worst:
             raise DuplicateKeyError(f"more than two rows on one key: {worst[0].asDict()}")
+    keys = _nonnull_safe(counts.where(F.when(F.col("n") > 2, many).otherwise(F.col("n") > 1)), key)
+    single = tagged.join(keys, _same(tagged, key), "left_anti")
+    double = tagged.join(keys, _same(tagged, key), "left_semi")
     tie = [c for c in ("Ride ID", "Bike ID") if c in tagged.columns]
     by_file = Window.partitionBy(*key).orderBy("file", *tie)
-    ranked = tagged.withColumns(
+    ranked = double.withColumns(
         {
             "__nth": F.row_number().over(by_file),
-            "__next": F.lead(F.lit(True)).over(by_file),
             **{f"__{c}": F.lag(F.col(f"`{c}`")).over(by_file) for c in cols},
         }
     )
-    third = F.raise_error(F.lit("more than two rows on one key")).cast("boolean")
-    last = ranked.where(F.when(F.col("__nth") > 2, third).otherwise(F.col("__next").isNull()))
-    take = (F.col("__nth") == 2) & _empty("", cols) & ~_empty("__", cols)
+    take = _empty("", cols) & ~_empty("__", cols)
     merged = {c: F.when(take, F.col(f"`__{c}`")).otherwise(F.col(f"`{c}`")) for c in cols}
-    return last.withColumns(merged).drop("__nth", "__next", *[f"__{c}" for c in cols])
+    later = ranked.where("__nth = 2").withColumns(merged).select(*[f"`{c}`" for c in tagged.columns])
+    return single.unionByName(later)
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], *order) -> DataFrame:

@@ -48,8 +48,8 @@ def category_share(rides: DataFrame, category: Column, values: Sequence[str], by
     return wide.withColumns({f"{v}%": F.bround(F.col(f"`{v}`") / total * 100, 1) for v in values})
 
 
-def duration_hist(rides: DataFrame, bucket: int, n: int | None = 100) -> DataFrame:
-    """Rides per duration bucket, ascending, first n buckets that occur, with a text label."""
+def duration_hist(rides: DataFrame, bucket: int, n: int | None = None) -> DataFrame:
+    """Rides per duration bucket, ascending, with a text label; `n` asks for the first n that occur."""
     seconds = ride_seconds(F.col("Start Time"), F.col("Stop Time"))
     counts = (
         rides.select(F.floor(seconds / bucket).alias("bucket"))
@@ -185,6 +185,10 @@ def grand_totals(table: DataFrame, measure: str, *distinct: str) -> DataFrame:
     )
 
 
+# Rank of unknown, women and men.
+GENDER_RANK = {0: 0, 2: 1, 1: 2}
+
+
 def month_gender_totals(ymg_c: DataFrame) -> DataFrame:
     """Counts per month and gender with the `Jan-M` label and the unknown/women/men order."""
     start = F.make_date(F.col("Start Year"), F.col("Start Month"), F.lit(1))
@@ -193,6 +197,6 @@ def month_gender_totals(ymg_c: DataFrame) -> DataFrame:
         "Start Month",
         "Gender",
         month_gender_label(start, F.col("Gender")).alias("mg"),
-        lookup(F.col("Gender"), {0: 0, 1: 2, 2: 1}).alias("rank"),
+        lookup(F.col("Gender"), GENDER_RANK).alias("rank"),
         "Count",
     )

@@ -46,3 +46,17 @@ def schema_diff(left: Sequence[str], right: Sequence[str]) -> dict[str, list[str
         "missing": [c for c in right if c not in set(left)],
         "common": [c for c in left if c in set(right)],
     }
+
+
+def column_profile(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every column of either side: whether it is extra, missing or common, and how many rows of each side fill it."""
+    kinds = {c: kind for kind, columns in schema_diff(left.columns, right.columns).items() for c in columns}
+
+    def filled(df: DataFrame, name: str) -> DataFrame:
+        counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+        cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias(name)) for c in df.columns]
+        return counts.select(F.inline(F.array(*cells)))
+
+    both = filled(left, "left").join(filled(right, "right"), "column", "full")
+    names = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return both.select("column", F.element_at(names, F.col("column")).alias("side"), "left", "right")

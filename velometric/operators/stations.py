@@ -18,7 +18,6 @@ TIME_KEYS = {
     "y": ("year", lambda: F.year("Start Time")),
     "m": ("month", lambda: F.month("Start Time")),
 }
-PAIR_CHUNK = 65_536
 
 
 def ride_ends(rides: DataFrame, columns: list[tuple[str, str]], *carried: Column) -> DataFrame:
@@ -48,6 +47,17 @@ def station_hist(rides: DataFrame, keys: str, keep_nulls: bool = False) -> DataF
     return ends.groupBy(*names).agg(F.count(F.lit(1)).alias("count"))
 
 
+def station_hist_sorted(rides: DataFrame, keys: str) -> DataFrame:
+    """The histogram in order of its keys, which is how it is published."""
+    hist = station_hist(rides, keys)
+    return hist.orderBy(*[c for c in hist.columns if c != "count"])
+
+
+def modal_place(hist_il: DataFrame) -> DataFrame:
+    """Most frequent place per id with how dominant it is; the larger place wins a tie."""
+    return sketched_modes(hist_il, ["lat", "lng"])
+
+
 def modal_name(hist_in: DataFrame) -> DataFrame:
     """Most frequent name per id; the smallest name wins a tie."""
     best = F.min_by("name", F.struct(-F.col("count"), F.col("name")))
@@ -219,33 +229,24 @@ def decode_pairs(pairs: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
-def pair_maps(pairs: DataFrame, chunk: int = PAIR_CHUNK) -> DataFrame:
+def pair_maps(pairs: DataFrame) -> DataFrame:
     """One JSON object `{eidx: count}` per start station, keys ascending.
 
-    A start station whose end indices pass `chunk` gets several rows, so a group never holds more
-    than `chunk` entries.
+    A row holds at most one entry per end station, so the station dimension bounds it, not the rides.
     """
-    entry = F.struct("eidx", "count")
-    maps = (
-        pairs.groupBy("sidx", F.floor(F.col("eidx") / chunk).alias("part"))
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-        .withColumn(
-            "ends",
-            F.to_json(
-                F.map_from_entries(
-                    F.transform(
-                        "entries", lambda e: F.struct(e["eidx"].cast("string"), e["count"])
-                    )
-                )
-            ),
-        )
-    )
-    return maps.select("sidx", "part", "ends")
+    entries = F.sort_array(F.collect_list(F.struct("eidx", "count")))
+    named = F.transform("entries", lambda e: F.struct(e["eidx"].cast("string"), e["count"]))
+    maps = pairs.groupBy("sidx").agg(entries.alias("entries"))
+    return maps.select("sidx", F.to_json(F.map_from_entries(named)).alias("ends"))
 
 
-def remap_pair_keys(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    """Nested-map form keyed by ids instead of indices, as long rows."""
-    named = decode_pairs(pairs, index)
+def remap_pair_keys(maps: DataFrame, index: DataFrame) -> DataFrame:
+    """Pair maps keyed by ids instead of indices, as long rows; indices without a station go."""
+    pairs = maps.select(
+        F.col("sidx").cast("bigint").alias("sidx"),
+        F.explode(F.from_json("ends", "map<string, bigint>")).alias("eidx", "count"),
+    )
+    named = decode_pairs(pairs.withColumn("eidx", F.col("eidx").cast("bigint")), index)
     return named.where("start_id is not null and end_id is not null")
 
 
@@ -267,13 +268,3 @@ def flow_weights(pairs_by_id: DataFrame, dim: DataFrame) -> DataFrame:
 def circle_radius(dim: DataFrame) -> DataFrame:
     """Marker radius of a station: square root of its ends."""
     return dim.withColumn("radius", F.sqrt("ends"))
-
-
-def station_tables(rides: DataFrame) -> dict[str, DataFrame]:
-    """The station stage: histograms, end counts and the station table of a ride set."""
-    return {
-        "in": station_hist(rides, "in"),
-        "il": station_hist(rides, "il"),
-        "e_c": rollup(rides, "e", "c"),
-        "stations": stations(rides),
-    }

@@ -23,18 +23,33 @@ from velometric.operators import explore as ex
 from velometric.operators import series as sr
 from velometric.operators import sets
 from velometric.operators import stations as st
-from velometric.operators.conform import ambiguous_stations, conform, with_part_keys
+from velometric.operators.conform import (
+    ambiguous_stations,
+    column_surprises,
+    conform,
+    union_regions,
+    with_part_keys,
+)
 from velometric.operators.rollup import compact_records, dashboard_records, resum, rollup
 from velometric.plans import roundtrip
 from velometric.plans.monthly import consolidated
-from velometric.schema import TIME_COLUMNS
+from velometric.schema import REGION_PATTERNS, TIME_COLUMNS
 from velometric.sinks.writers import renamed_subset
 from velometric.sources.event_trips import read_event_trips
+from velometric.sources.files import without_known_bad_parts
 from velometric.sources.manifest import choose_keys, manifest_diff, month_regions
+from velometric.sources.manifest import latest_month as latest_complete
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 DIGITS = 6
+# The newest header's columns in an older spelling.
+OLD_SPELLING = {
+    "started_at": "starttime", "ended_at": "stoptime", "start_station_id": "start station id",
+    "end_station_id": "End Station ID", "start_station_name": "start station name", "end_station_name": "End Station Name",
+    "start_lat": "start station latitude", "start_lng": "start station longitude", "end_lat": "End Station Latitude",
+    "end_lng": "End Station Longitude", "birth year": "Birth Year",
+}
 
 
 def query(fn: Query) -> Query:
@@ -59,9 +74,9 @@ def _republished(rides: DataFrame) -> DataFrame:
 
 
 def _snapshots(rides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A newer snapshot with emptied fields and an older one; each lacks some hours' rides."""
+    """A newer snapshot with emptied fields and an older one that lacks some rides."""
     emptied = F.minute("Start Time") % 3 == 0
-    new = rides.where(F.hour("Start Time") != 4).withColumns(
+    new = rides.withColumns(
         {
             "Gender": F.when(emptied, F.lit(0)).otherwise(F.col("Gender")).cast("tinyint"),
             "Birth Year": F.when(~emptied, F.col("Birth Year")),
@@ -77,6 +92,12 @@ def _snapshots(rides: DataFrame) -> tuple[DataFrame, DataFrame]:
     return new, old
 
 
+def _differing(rides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The snapshots, each lacking rides of the other."""
+    new, old = _snapshots(rides)
+    return new.where(F.hour("Start Time") != 4), old
+
+
 def _pairs(rides: DataFrame) -> DataFrame:
     """The new snapshot as the later file, and rides of weekend starts in an earlier file too."""
     new, _ = _snapshots(rides)
@@ -86,9 +107,16 @@ def _pairs(rides: DataFrame) -> DataFrame:
 
 
 def _halves(rides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rides before and from 2021, the earlier without the longest rides."""
+    """Rides before and from 2021."""
     early = F.year("Start Time") < 2021
-    return rides.where(early & (F.col("Start Region") != "HB")), rides.where(~early & (F.col("Start Region") != "JC"))
+    return rides.where(early), rides.where(~early)
+
+
+def _new_stations(rides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rides before and from 2021, some stations being closed in either time."""
+    early, late = _halves(rides)
+    last = F.substring("Start Station ID", -1, 1)
+    return early.where(last != "3"), late.where(last != "7")
 
 
 def _rounded(df: DataFrame, *cols: str, digits: int = DIGITS) -> DataFrame:
@@ -144,7 +172,9 @@ def region_classify(spark, folder):
 
 @query
 def region_ambiguity(spark, folder):
-    found = ambiguous_stations(_rides(spark, folder, drop_out_of_system=False))
+    """Ids that overlapping rules, as a caller might give them, put into two regions."""
+    rules = {**REGION_PATTERNS, "HB": [*REGION_PATTERNS["HB"], r"JC0[67]"]}
+    found = ambiguous_stations(_rides(spark, folder, drop_out_of_system=False), rules)
     return found.select("id", F.array_join("regions", ",").alias("regions"))
 
 
@@ -342,7 +372,15 @@ def pair_decode(spark, folder):
 def pair_maps(spark, folder):
     rides = _rides(spark, folder)
     pairs = st.pair_counts(rollup(rides, "se", "c"), st.station_index(st.stations(rides)))
-    return st.pair_maps(pairs).drop("part")
+    return st.pair_maps(pairs)
+
+
+@query
+def pair_remap(spark, folder):
+    """Pair maps read with ids in place of indices."""
+    rides = _rides(spark, folder)
+    index = st.station_index(st.stations(rides))
+    return st.remap_pair_keys(st.pair_maps(st.pair_counts(rollup(rides, "se", "c"), index, "inner")), index)
 
 
 @query
@@ -424,7 +462,7 @@ def backfill_report(spark, folder):
 
 @query
 def snapshot_diff(spark, folder):
-    return bf.snapshot_diff(*_snapshots(_rides(spark, folder)))
+    return bf.snapshot_diff(*_differing(_rides(spark, folder)))
 
 
 @query
@@ -435,13 +473,13 @@ def null_profile(spark, folder):
 
 @query
 def snapshot_outer(spark, folder):
-    new, old = _snapshots(_rides(spark, folder))
+    new, old = _differing(_rides(spark, folder))
     return bf.snapshot_outer(new, old, ["Birth Year", "User Type"])
 
 
 @query
 def snapshot_mismatches(spark, folder):
-    new, old = _snapshots(_rides(spark, folder))
+    new, old = _differing(_rides(spark, folder))
     cols = ["Birth Year", "User Type", "End Region"]
     return bf.mismatch_counts(bf.snapshot_outer(new, old, cols), cols)
 
@@ -457,7 +495,8 @@ def reconcile(spark, folder):
 @query
 def natural_join(spark, folder):
     rides = _rides(spark, folder)
-    return bf.natural_join(rollup(rides, "s", "c"), rollup(_snapshots(rides)[0], "s", "c"))
+    some = rides.where((F.substring("Start Station ID", -1, 1) != "3") | (F.hour("Start Time") != 4))
+    return bf.natural_join(rollup(rides, "s", "c"), rollup(some, "s", "c"))
 
 
 @query
@@ -485,19 +524,19 @@ def monthly_rides(spark, folder):
 
 @query
 def stations_added(spark, folder):
-    early, late = _halves(_rides(spark, folder))
+    early, late = _new_stations(_rides(spark, folder))
     return sets.keys_added(early, late, ["Start Station ID"])
 
 
 @query
 def stations_lost(spark, folder):
-    early, late = _halves(_rides(spark, folder))
+    early, late = _new_stations(_rides(spark, folder))
     return sets.keys_lost(early, late, ["Start Station ID"])
 
 
 @query
 def stations_kept(spark, folder):
-    early, late = _halves(_rides(spark, folder))
+    early, late = _new_stations(_rides(spark, folder))
     return sets.keys_kept(early, late, ["Start Station ID"])
 
 
@@ -520,14 +559,9 @@ def distinct_bikes(spark, folder):
 def schema_profile(spark, folder):
     """Which columns either snapshot holds, with the rows that carry a value."""
     new, old = _snapshots(_rides(spark, folder))
+    new = new.drop("Birth Year")
     old = old.drop("Ride ID")
-    parts = sets.schema_diff(new.columns, old.columns)
-    counted = new.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in new.columns])
-    stacked = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(kind).alias("side"), F.col(f"`{c}`").alias("filled"))
-        for kind, cols in parts.items() for c in cols
-    ])
-    return counted.select(F.inline(stacked))
+    return sets.column_profile(new, old)
 
 
 # ---- series -----------------------------------------------------------------------------------
@@ -536,8 +570,7 @@ def schema_profile(spark, folder):
 @query
 def month_series(spark, folder):
     months = _order_months(spark, folder)
-    both = sr.month_totals(months, "Rides").join(sr.month_totals(months, "Ride minutes"), "m")
-    return _rounded(both, "Ride minutes", digits=4)
+    return _rounded(sr.month_totals(months, ["Rides", "Ride minutes"]), "Ride minutes", digits=4)
 
 
 @query
@@ -743,7 +776,7 @@ def csv_ingest(spark, folder):
 
 @query
 def sorted_csv(spark, folder):
-    return roundtrip.sorted_csv(spark, _raw(spark, folder)).drop("Bike ID")
+    return roundtrip.sorted_csv(spark, _raw(spark, folder))
 
 
 @query
@@ -757,6 +790,90 @@ def partition_write(spark, folder):
     return roundtrip.partition_write(spark, parts)
 
 
+@query
+def month_rebuild(spark, folder):
+    raw = _raw(spark, folder)
+    return roundtrip.month_rebuild(spark, raw.withColumn("src_ym", yyyymm(F.col("started_at"))))
+
+
+@query
+def ride_order(spark, folder):
+    parts = with_part_keys(_rides(spark, folder)).withColumn("src_ym", F.col("start_ym"))
+    return roundtrip.ride_order(spark, parts)
+
+
+@query
+def snapshot_scan(spark, folder):
+    new, old = _differing(_rides(spark, folder))
+    return roundtrip.snapshot_scan(spark, new, old, 202001)
+
+
+@query
+def month_files(spark, folder):
+    return roundtrip.month_files(spark, _rides(spark, folder))
+
+
+@query
+def latest_month(spark, folder):
+    """The last month whose files are all there, when the newest lacks a region's."""
+    manifest = _manifest(_rides(spark, folder))
+    newest = manifest.agg(F.max("ym")).first()[0]
+    months = month_regions(manifest.where((F.col("ym") < newest) | (F.col("src_region") == "NYC")))
+    return months.where(F.col("ym") == latest_complete(months)).select("ym", "regions")
+
+
+@query
+def old_header(spark, folder):
+    """The same trips under an older header, with a junk column and without those it lacked."""
+    raw = _raw(spark, folder).withColumnsRenamed(OLD_SPELLING).drop("rideable_type", "gender", "member_casual", "ride_id")
+    older = raw.withColumn("tripduration", F.lit("1")).withColumn("Unnamed: 0", F.lit("0")).withColumn("usertype", F.lit("Customer"))
+    return conform(older, region_column="src_region").drop("Ride ID", "Start Region", "End Region")
+
+
+@query
+def known_bad_part(spark, folder):
+    """Ride counts by part without the known bad one, the first month being published as that."""
+    parts = with_part_keys(_rides(spark, folder))
+    first = parts.agg(F.min("start_ym")).first()[0]
+    renamed = {c: F.when(F.col(c) == first, F.lit(m)).otherwise(F.col(c)) for c, m in (("start_ym", 201307), ("stop_ym", 201307))}
+    parts = parts.withColumns(renamed).withColumn("src_ym", F.lit(201306))
+    return without_known_bad_parts(parts).groupBy("start_ym", "stop_ym").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def region_union(spark, folder):
+    """Two regions' files of differing columns stacked."""
+    rides = _rides(spark, folder)
+    nyc = rides.where(F.col("Start Region") == "NYC").drop("Bike ID")
+    rest = rides.where(F.col("Start Region") != "NYC").drop("Birth Year")
+    stacked = union_regions(nyc, rest).groupBy("Start Region")
+    return stacked.agg(F.count(F.lit(1)).alias("n"), F.count("Bike ID").alias("bikes"), F.count("Birth Year").alias("births"))
+
+
+@query
+def month_columns(spark, folder):
+    """Columns of each month that are filled and should not be, or the reverse."""
+    parts = with_part_keys(_rides(spark, folder)).withColumnRenamed("stop_ym", "ym")
+    return column_surprises(parts)
+
+
+@query
+def station_hist_order(spark, folder):
+    """The first entries of the name histogram in key order."""
+    return st.station_hist_sorted(_rides(spark, folder), "in").limit(40)
+
+
+@query
+def modal_places(spark, folder):
+    return st.modal_place(st.station_hist(_rides(spark, folder), "il"))
+
+
+@query
+def ride_type_averages(spark, folder):
+    """Six-month averages by bike type, unknown types ending with their last month."""
+    return _rounded(sr.ride_series(_labelled(spark, folder), "Rides", "Rideable Type", average=6), "avg")
+
+
 @query
 def incremental_append(spark, folder):
     return roundtrip.incremental_append(spark, _rides(spark, folder), 202106)
@@ -783,11 +900,12 @@ def saved_formats(spark, folder):
 
 
 def _manifest(rides: DataFrame) -> DataFrame:
-    """Source files the rides would come in: one per stop month and region."""
-    files = rides.groupBy(yyyymm(F.col("Stop Time")).alias("ym"), F.col("Start Region").alias("src_region"))
+    """Source files the rides would come in: one per stop month and region, Hoboken's in Jersey City's."""
+    region = F.when(F.col("Start Region") == "NYC", F.lit("NYC")).otherwise(F.lit("JC"))
+    files = rides.groupBy(yyyymm(F.col("Stop Time")).alias("ym"), region.alias("src_region"))
     name = F.concat_ws("-", F.when(F.col("src_region") != "NYC", F.col("src_region")), F.col("ym"), F.lit("trips.zip"))
     tags = files.agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("Ride ID").cast("bigint")).alias("etag"))
-    return tags.where("src_region in ('NYC', 'JC')").withColumn("path", name)
+    return tags.withColumn("path", name)
 
 
 @query

@@ -15,6 +15,7 @@ from velometric.operators.stations import pair_counts, pair_maps, station_index,
 from velometric.schema import BACKFILL_MONTHS
 from velometric.sinks.writers import (
     save,
+    stored,
     write_by_month,
     write_pair_json,
     write_ride_parts,
@@ -41,8 +42,9 @@ def consolidated(
     """Rides by stop month over all source months, `ym` being the stop month.
 
     In the backfill months rides found in two source files are merged and empty fields are filled
-    from the older snapshot; the other months only lose exact copies. With `check` a pass over the
-    key columns first makes sure that no key has more than two rows to merge.
+    from the older snapshot; the other months pass as they are, since the normalised parts have no
+    exact copies and their rows differ in the part they come from. With `check` a pass over the key columns first makes
+    sure that no key has more than two rows to merge.
     """
     tagged = with_source_part(without_known_bad_parts(parts))
     inside = F.col("stop_ym").between(*backfill_months)
@@ -50,8 +52,7 @@ def consolidated(
     merged = merge_pairs(tagged.where(inside), check=check)
     if old is not None:
         merged = backfill(merged, old, check=False)
-    # Merged rows are unique by start and stop already, so only the others are compared in full.
-    distinct = exact_dedupe(plain).unionByName(merged)
+    distinct = plain.unionByName(merged)
     return distinct.select(*ride_columns_only(distinct).columns, F.col("stop_ym").alias("ym"))
 
 
@@ -64,23 +65,32 @@ def build_rides(
 ) -> DataFrame:
     """Write the normalised parts, then the consolidated months they touch; returns the latter.
 
-    Reading the written parts back cuts the lineage at a durable table and lets the consolidated
-    step prune by month. Ride keys are verified on the written months, from their key columns,
-    before those replace the table's.
+    Touched are the stop months of the source months before and after: a month that a rebuild no longer reaches is
+    rebuilt from what other source months have for it, and goes when that is nothing. Reading the written parts back
+    cuts the lineage at a durable table and lets the consolidated step prune by month. Ride keys are verified on the
+    written months, from their key columns, before those replace the table's.
     """
-    write_ride_parts(normalized(raws), f"{root}/normalized", src_months)
-    parts = spark.read.parquet(f"{root}/normalized")
-    touched = parts.where(F.col("src_ym").isin(list(src_months))).select("stop_ym").distinct()
-    stop_months = [r["stop_ym"] for r in touched.collect()]
-    rides = consolidated(parts.where(F.col("stop_ym").isin(stop_months)), old)
-    write_by_month(rides, f"{root}/rides", verify=assert_unique_key)
-    return spark.read.parquet(f"{root}/rides").where(F.col("ym").isin(stop_months))
+    parts_path, rides_path = f"{root}/normalized", f"{root}/rides"
+    rides = normalized(raws)
 
+    def stop_months() -> set[int]:
+        own = stored(spark, parts_path, rides.schema).where(F.col("src_ym").isin(list(src_months)))
+        return {r["stop_ym"] for r in own.select("stop_ym").distinct().collect()}
 
-def build_rollups(rides: DataFrame, root: str) -> None:
-    """The standard rollups of the given months."""
+    touched = stop_months()
+    write_ride_parts(rides, parts_path, src_months)
+    touched |= stop_months()
+    parts = stored(spark, parts_path, rides.schema)
+    table = consolidated(parts.where(F.col("stop_ym").isin(sorted(touched))), old)
+    write_by_month(table, rides_path, verify=assert_unique_key, months=sorted(touched))
+    return stored(spark, rides_path, table.schema).where(F.col("ym").isin(sorted(touched)))
+
+
+def build_rollups(rides: DataFrame, root: str, months: Sequence[int] | None = None) -> None:
+    """The standard rollups of the given months; `months` without rides lose theirs."""
     for keys, sums in STANDARD_ROLLUPS:
-        write_by_month(rollup(rides, keys, sums, by_month=True), f"{root}/aggregated/{keys}_{sums}")
+        table = rollup(rides, keys, sums, by_month=True)
+        write_by_month(table, f"{root}/aggregated/{keys}_{sums}", months=months)
 
 
 def build_month_documents(spark: SparkSession, rides: DataFrame, root: str, ym: int) -> None:

@@ -88,7 +88,8 @@ lab as (select printf('%d-%02d', "Year", "Month") as m, "Region", "User Type",
 SNAPSHOTS = """snew as (select * replace (
       case when minute("Start Time") % 3 = 0 then 0 else "Gender" end as "Gender",
       case when minute("Start Time") % 3 <> 0 then "Birth Year" end as "Birth Year",
-      case when minute("Start Time") % 3 <> 0 then "Bike ID" end as "Bike ID") from rides where hour("Start Time") <> 4),
+      case when minute("Start Time") % 3 <> 0 then "Bike ID" end as "Bike ID") from rides),
+snew4 as (select * from snew where hour("Start Time") <> 4),
 sold as (select * from rides where hour("Start Time") <> 3),
 dup as (select * from rides union all select * from rides where isodow("Start Time") = 1),
 pair as (select *, 'b' as file from snew union all select *, 'a' as file from rides where isodow("Start Time") >= 6)"""
@@ -181,9 +182,8 @@ def _merged(source: str) -> str:
 def oracle() -> dict[str, str]:
     q: dict[str, str] = {}
     conformed = _with("select * from rides")
-    for name in ("rides_conformed", "csv_ingest", "zip_ingest", "dedupe_rows"):
+    for name in ("rides_conformed", "csv_ingest", "sorted_csv", "zip_ingest", "dedupe_rows"):
         q[name] = conformed
-    q["sorted_csv"] = _with('select * exclude ("Bike ID") from rides')
     q["rides_open_ended"] = _with(
         """select "Ride ID", "Start Region", "End Station ID",
         case when "End Region" = 'None' then "Start Region" else "End Region" end as "End Region" from allrides
@@ -194,7 +194,10 @@ def oracle() -> dict[str, str]:
         (select start_station_id as id, src_region from raw union all select end_station_id, src_region from raw)
         group by id, src_region"""
     )
-    q["region_ambiguity"] = "select '' as id, '' as regions where false"
+    q["region_ambiguity"] = _with(
+        """select distinct id, 'JC,HB' as regions from (select s_id as id from ids union all select e_id from ids)
+        where regexp_matches(id, '^JC0[67][0-9]')"""
+    )
     q["calendar_parts"] = _with(
         """select "Ride ID", y as year, mo as month, d as day, w as weekday, h as hour, secs as seconds,
         total_s as total_seconds, strftime("Start Time", '%Y%m') || '_' || strftime("Stop Time", '%Y%m') as part from t"""
@@ -322,7 +325,7 @@ def oracle() -> dict[str, str]:
           union all select 'Bike ID', (select count(*) from snew where "Bike ID" is null), (select count(*) from f where "Bike ID" is null))""",
         SNAPSHOTS, f"f as ({_backfilled('snew')})"
     )
-    keys_new = 'select distinct "Start Time", "Stop Time" from snew'
+    keys_new = 'select distinct "Start Time", "Stop Time" from snew4'
     keys_old = 'select distinct "Start Time", "Stop Time" from sold'
     q["snapshot_diff"] = _with(
         f"""select (select count(*) from ({keys_new} except {keys_old})) as adds,
@@ -349,12 +352,19 @@ def oracle() -> dict[str, str]:
         f"""select * from (select 'Length' as "column", (select count(*) from sold) as old, (select count(*) from snew) as new
         union all {lines}) where old <> 0 or new <> 0""", SNAPSHOTS
     )
+    sides = {"Ride ID": "extra", "Birth Year": "missing"}
+
+    def side_count(table: str, absent: str, c: str) -> str:
+        return "null" if sides.get(c) == absent else f'(select count("{c}") from {table})'
+
     q["schema_profile"] = _with(
         " union all ".join(
-            f"select '{c}' as \"column\", '{'extra' if c == 'Ride ID' else 'common'}' as side, count(\"{c}\") as filled from snew" for c in cols
+            f"""select '{c}' as "column", '{sides.get(c, 'common')}' as side, {side_count('snew', 'missing', c)} as "left",
+            {side_count('sold', 'extra', c)} as "right\""""
+            for c in cols
         ), SNAPSHOTS
     )
-    joined = """from snew n full join sold o on n."Start Time" = o."Start Time" and n."Stop Time" = o."Stop Time" """
+    joined = """from snew4 n full join sold o on n."Start Time" = o."Start Time" and n."Stop Time" = o."Stop Time" """
     q["snapshot_outer"] = _with(
         f"""select coalesce(n."Start Time", o."Start Time") as "Start Time", coalesce(n."Stop Time", o."Stop Time") as "Stop Time",
         n."Birth Year" as "Birth Year new", n."User Type" as "User Type new",
@@ -365,7 +375,7 @@ def oracle() -> dict[str, str]:
     q["snapshot_mismatches"] = _with(
         " union all ".join(
             f"""select '{c}' as "column", count(*) filter (where n."{c}" is distinct from o."{c}") as differs
-            from snew n join sold o on n."Start Time" = o."Start Time" and n."Stop Time" = o."Stop Time" """
+            from snew4 n join sold o on n."Start Time" = o."Start Time" and n."Stop Time" = o."Stop Time" """
             for c in ("Birth Year", "User Type", "End Region")
         ), SNAPSHOTS
     )
@@ -375,8 +385,9 @@ def oracle() -> dict[str, str]:
         join ({starts.format('dup')}) b using ("Start Station ID") where a.c <> b.c""", SNAPSHOTS
     )
     q["natural_join"] = _with(
-        f"""select "Start Station ID", c as "Count" from ({starts.format('rides')}) join ({starts.format('snew')})
-        using ("Start Station ID", c)""", SNAPSHOTS
+        f"""select "Start Station ID", c as "Count" from ({starts.format('rides')}) join ({starts.format('kept4')})
+        using ("Start Station ID", c)""", SNAPSHOTS,
+        """kept4 as (select * from rides where right("Start Station ID", 1) <> '3' or hour("Start Time") <> 4)""",
     )
     listed = ", ".join(f'"{c}"' for c in cols)
     q["monthly_rides"] = _with(
@@ -392,12 +403,13 @@ def oracle() -> dict[str, str]:
         f"inside2 as ({_backfilled('merged')})",
     )
 
-    halves = """early as (select * from t where y < 2021 and "Start Region" <> 'HB'),
-        later as (select * from t where y >= 2021 and "Start Region" <> 'JC')"""
+    halves = """early as (select * from t where y < 2021), later as (select * from t where y >= 2021)"""
+    changed = """early as (select * from t where y < 2021 and right("Start Station ID", 1) <> '3'),
+        later as (select * from t where y >= 2021 and right("Start Station ID", 1) <> '7')"""
     s = 'select "Start Station ID" from {}'
-    q["stations_added"] = _with(f"{s.format('later')} except {s.format('early')}", halves)
-    q["stations_lost"] = _with(f"{s.format('early')} except {s.format('later')}", halves)
-    q["stations_kept"] = _with(f"{s.format('later')} intersect {s.format('early')}", halves)
+    q["stations_added"] = _with(f"{s.format('later')} except {s.format('early')}", changed)
+    q["stations_lost"] = _with(f"{s.format('early')} except {s.format('later')}", changed)
+    q["stations_kept"] = _with(f"{s.format('later')} intersect {s.format('early')}", changed)
     q["ids_union"] = _with('select "Start Station ID" as id from t union select "End Station ID" from t')
     q["key_pairs_union"] = _with(
         """select "Start Station ID", "End Station ID" from early union select "Start Station ID", "End Station ID" from later""", halves
@@ -522,18 +534,75 @@ def oracle() -> dict[str, str]:
         count(*) as "Count", sum(secs)::bigint as "Duration" from t where "Start Region" is not null group by 1, 2)
         cross join (values ('parquet'), ('csv'), ('json')) f(format)"""
     )
-    files = """select ym, "Start Region" as src_region, count(*) as size, sum(cast("Ride ID" as bigint))::bigint as etag,
-        case when "Start Region" = 'NYC' then '' else "Start Region" || '-' end || ym || '-trips.zip' as path
-        from t where "Start Region" in ('NYC', 'JC') and {} group by all"""
+    files = """select ym, case when "Start Region" = 'NYC' then 'NYC' else 'JC' end as src_region, count(*) as size,
+        sum(cast("Ride ID" as bigint))::bigint as etag,
+        case when "Start Region" = 'NYC' then '' else 'JC-' end || ym || '-trips.zip' as path from t where {} group by all"""
     q["manifest_status"] = _with(
         f"""select path, o.etag as old_etag, c.etag as new_etag, case when o.etag is null then 'new' when c.etag is null then 'gone'
           when o.etag <> c.etag then 'changed' else 'same' end as status
         from ({files.format(chr(34) + 'User Type' + chr(34) + " = 'Subscriber' or y < 2020")}) o
         full join (select * from ({files.format('ym > 201904')}) where not starts_with(path, 'JC-2022')) c using (path)"""
-        .replace("and \"User Type\" = 'Subscriber' or y < 2020", "and (\"User Type\" = 'Subscriber' or y < 2020)")
     )
     q["months_available"] = _with(
         f"""select ym, count(distinct src_region) as regions, 2 as expected, count(distinct src_region) >= 2 as complete
         from ({files.format('true')}) where not (src_region = 'JC' and ym >= 202212) group by ym"""
     )
+    q["latest_month"] = _with(
+        f"""select max(ym) as ym, 2 as regions from ({files.format('true')})
+        where ym < (select max(ym) from t) and ym in (select ym from ({files.format('true')}) group by ym having count(*) = 2)"""
+    )
+    q["pair_remap"] = q["pair_decode"]
+    q["month_rebuild"] = _with(
+        """select ym, count(*) as n from t where y * 100 + mo > (select min(year(started_at) * 100 + month(started_at)) from raw)
+        or ym <= (select min(year(started_at) * 100 + month(started_at)) from raw) group by ym"""
+    )
+    q["ride_order"] = _with("select ym as stop_ym, count(*) as n, 0 as out_of_order from t group by ym")
+    sides = " full join ".join(
+        f"""(select 202001 as src_ym, year("Start Time") * 100 + month("Start Time") as start_ym,
+        year("Stop Time") * 100 + month("Stop Time") as stop_ym, count(*) as rows_{name} from {table} group by all) {name}"""
+        for name, table in (("v1", "snew4"), ("v0", "sold"))
+    )
+    q["snapshot_scan"] = _with(f"select * from {sides} using (src_ym, start_ym, stop_ym)", SNAPSHOTS)
+    q["month_files"] = _with(
+        """select ym, "Start Region" as "Region", "User Type", count(*) as "Count" from t
+        where ym in (202001, 202006, 202012) and "Start Region" is not null group by all"""
+    )
+    q["old_header"] = _with(
+        """select "Start Time", "Stop Time", "Start Station ID", "Start Station Name", "Start Station Latitude",
+        "Start Station Longitude", "End Station ID", "End Station Name", "End Station Latitude", "End Station Longitude",
+        'unknown' as "Rideable Type", 'Customer' as "User Type", 0 as "Gender", "Birth Year", "Bike ID" from rides"""
+    )
+    first = "(select min(y * 100 + mo) from t)"
+    q["known_bad_part"] = _with(
+        f"""select s as start_ym, e as stop_ym, count(*) as n from (
+          select case when y * 100 + mo = {first} then 201307 else y * 100 + mo end as s,
+          case when ym = {first} then 201307 else ym end as e from t) where s <> 201307 or e <> 201307 group by all"""
+    )
+    q["region_union"] = _with(
+        """select "Start Region", count(*) as n, count("Bike ID") filter (where "Start Region" <> 'NYC') as bikes,
+        count("Birth Year") filter (where "Start Region" = 'NYC') as births from t where "Start Region" is not null group by 1"""
+    )
+    unfilled = {"Ride ID": "ym < 202001", "Bike ID": "ym >= 202102", "Birth Year": "ym >= 202102"}
+    q["month_columns"] = _with(
+        "select * from (" + " union all ".join(
+            f"""select ym, '{c}' as "column", count("{c}") as filled, {unfilled.get(c, 'false')} as empty from t group by ym""" for c in cols
+        ) + ") where empty = (filled > 0)"
+    ).replace("select * from (select ym", "select ym, \"column\", filled from (select ym", 1)
+    q["station_hist_order"] = _with("select id, name, cnt as count from hin order by id, name limit 40", ENDS)
+    q["modal_places"] = _with(
+        """select id, lat, lng, mode_count, second, total - mode_count as restsum, total, mode_count / second as "first/second",
+        mode_count / total as mode_pct, num from s join m using (id)""",
+        ENDS,
+        """s as (select id, max(cnt) as mode_count, sum(cnt)::bigint as total, count(*) as num,
+          (list(cnt order by cnt desc))[2] as second from hil group by id)""",
+        """m as (select id, lat, lng from (select *, row_number() over (partition by id order by cnt desc, lat desc, lng desc) as rn from hil) where rn = 1)""",
+    )
+    q["ride_type_averages"] = _with(
+        """select m, k as "Rideable Type", r::bigint as "Rides", round(case when k <> 'Unknown' or m < '2021-02' then avg end, 6) as avg from (
+        select *, case when lag(r, 6) over (partition by k order by m) is not null then
+            sum(coalesce(r, 0)) over (partition by k order by m rows between 5 preceding and current row) / 6.0 end as avg from
+          (select distinct m from lab) cross join (values ('Electric'), ('Classic'), ('Unknown')) kinds(k)
+          left join (select m, "Rideable Type" as k, sum("Rides") as r from lab group by 1, 2) using (m, k))""",
+        RECORDS,
+    )
     return q

@@ -12,7 +12,7 @@ import pyarrow.compute as pa_compute
 import pyarrow.csv as pa_csv
 import pyarrow.fs as pa_fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velometric.operators.conform import conform
@@ -23,10 +23,14 @@ from velometric.operators.stations import (
     station_index,
     stations,
 )
+from velometric.plans.monthly import build_rides
+from velometric.schema import FIRST_MONTH
 from velometric.session import scratch_path
 from velometric.sinks.writers import (
     PART_KEYS,
+    repartition_snapshot,
     save,
+    stored,
     write_by_month,
     write_pair_json,
     write_records,
@@ -34,7 +38,7 @@ from velometric.sinks.writers import (
     write_sorted_csv,
     write_station_json,
 )
-from velometric.sources.archives import read_archives
+from velometric.sources.archives import qualified, read_archives
 from velometric.sources.documents import read_pair_json, read_records, read_station_json
 from velometric.sources.files import read_rides, read_trip_csv
 from velometric.sources.manifest import file_manifest, rides_after
@@ -58,9 +62,8 @@ def csv_ingest(spark: SparkSession, raw: DataFrame) -> DataFrame:
 def sorted_csv(spark: SparkSession, raw: DataFrame) -> DataFrame:
     """Sorted gzipped CSV out, conformed rides back."""
     path = scratch_path(spark, "sorted-csv")
-    write_sorted_csv(_as_text(raw.drop("bikeid")), path)
-    header = [c for c in raw.columns if c != "bikeid"]
-    return conform(read_trip_csv(spark, path, header), region_column="src_region")
+    write_sorted_csv(_as_text(raw), path)
+    return conform(read_trip_csv(spark, path, raw.columns, spread=True), region_column="src_region")
 
 
 def _archive_writer(root: str):
@@ -107,7 +110,7 @@ def _archive_writer(root: str):
 
 def zip_ingest(spark: SparkSession, raw: DataFrame) -> DataFrame:
     """Zip archives written by the tasks, then listed, chosen, streamed and conformed."""
-    root = scratch_path(spark, "archives")
+    root = qualified(spark, scratch_path(spark, "archives"))
     _as_text(raw).mapInArrow(_archive_writer(root), "archives int").agg(F.sum("archives")).collect()
     name = F.element_at(F.split("path", "/"), -1)
     paths = file_manifest(spark, root, "*.zip").select(
@@ -118,12 +121,70 @@ def zip_ingest(spark: SparkSession, raw: DataFrame) -> DataFrame:
     return conform(read_archives(paths), region_column="src_region")
 
 
+def snapshot_scan(spark: SparkSession, new: DataFrame, old: DataFrame, month: int) -> DataFrame:
+    """A new and an older snapshot of one month, stored beside each other, split into parts and compared by part.
+
+    Each snapshot is first kept as the one-file month it was published as.
+    """
+    root = scratch_path(spark, "snapshots")
+    sides = []
+    for name, rides in (("v1", new), ("v0", old)):
+        save(rides, f"{root}/whole/{name}/{month}")
+        repartition_snapshot(spark.read.parquet(f"{root}/whole/{name}/{month}"), f"{root}/{name}", month)
+        counts = read_rides(spark, f"{root}/{name}").groupBy(*PART_KEYS)
+        sides.append(counts.agg(F.count(F.lit(1)).alias(f"rows_{name}")))
+    return sides[0].join(sides[1], PART_KEYS, "full")
+
+
+def month_files(spark: SparkSession, rides: DataFrame) -> DataFrame:
+    """A table of months, of which several are loaded with their month as `ym`."""
+    path = scratch_path(spark, "months")
+    table = rollup(rides, "rt", "c", by_month=True)
+    write_by_month(table, path)
+    return read_rides(spark, path, [202001, 202006, 202012], "ym").select(*table.columns)
+
+
+def month_rebuild(spark: SparkSession, raws: DataFrame) -> DataFrame:
+    """Source months built, then one of them rebuilt with fewer stop months; rows by month of what is left.
+
+    Rides of `raws` carry `src_ym`. The rebuild leaves out the rides that end in a later month, so months that only
+    they reached must lose their rows.
+    """
+    root = scratch_path(spark, "rebuild")
+    months = [r[0] for r in raws.select("src_ym").distinct().orderBy("src_ym").collect()]
+
+    def build(rows: DataFrame, of: list[int]) -> None:
+        by_region = [(rows.where(F.col("src_region") == r).drop("src_region"), r) for r in FIRST_MONTH]
+        build_rides(spark, by_region, root, of)
+
+    build(raws, months)
+    stop = F.year("ended_at") * 100 + F.month("ended_at")
+    first = raws.where((F.col("src_ym") == months[0]) & (stop <= months[0]))
+    build(first, months[:1])
+    return spark.read.parquet(f"{root}/rides").groupBy("ym").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ride_order(spark: SparkSession, parts: DataFrame) -> DataFrame:
+    """Rides per stop month as written, and how many of them stand before a smaller one in their file."""
+    root = scratch_path(spark, "ordered")
+    months = [r[0] for r in parts.select("src_ym").distinct().collect()]
+    write_ride_parts(parts, root, months)
+    key = F.struct("Start Time", "Stop Time", "Ride ID")
+    placed = read_rides(spark, root).select(
+        "stop_ym", key.alias("key"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")
+    )
+    ahead = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+    rows = placed.select("stop_ym", (F.coalesce(ahead > F.col("key"), F.lit(False))).alias("late"))
+    return rows.groupBy("stop_ym").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("out_of_order"))
+
+
 def partition_write(spark: SparkSession, parts: DataFrame) -> DataFrame:
     """Ride parts out, row counts per part back; a second write replaces one source month."""
     root = scratch_path(spark, "rides")
     months = [r[0] for r in parts.select("src_ym").distinct().orderBy("src_ym").collect()]
     write_ride_parts(parts, root, months)
-    write_ride_parts(parts.where(F.col("stop_ym") <= F.col("src_ym")), root, months[:1])
+    first = stored(spark, root, parts.schema).where(F.col("src_ym") == months[0])
+    write_ride_parts(first.where(F.col("stop_ym") <= F.col("src_ym")), root, months[:1])
     return read_rides(spark, root).groupBy(*PART_KEYS).agg(F.count(F.lit(1)).alias("n"))
 
 

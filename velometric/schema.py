@@ -33,6 +33,7 @@ TIME_COLUMNS = ["Start Time", "Stop Time"]
 BACKFILL_COLUMNS = ["Birth Year", "Gender", "Bike ID"]
 
 
+# Fixed rule: how header spellings are compared.
 def squash_header(header: str) -> str:
     """Lower-case a header and drop blanks and slashes."""
     return re.sub(r"[\s/]", "", header.lower())
@@ -133,12 +134,9 @@ COMPACT_CODES = {
     "b": ["classic_bike", "docked_bike", "electric_bike", "unknown"],
 }
 
-
-def expected_columns(ym: int) -> list[str]:
-    """Columns a consolidated month is expected to carry."""
-    missing = set()
-    if ym < 202001:
-        missing = {"Ride ID"}
-    elif ym >= 202102:
-        missing = {"Bike ID", "Birth Year"}
-    return [c for c in RIDE_COLUMNS if c not in missing]
+# Months (half-open, None for no bound) in which a consolidated table has no value in a column.
+UNFILLED_MONTHS = {
+    "Ride ID": (None, 202001),
+    "Bike ID": (202102, None),
+    "Birth Year": (202102, None),
+}

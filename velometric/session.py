@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -35,7 +34,11 @@ def build_session(master: str | None = None, app: str = "velometric", **extra: s
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary folder only on a local master without one."""
+    """The shared folder the cluster names in spark.checkpoint.dir, else one below the session's warehouse.
+
+    Both are shared by all executors. What is written there outlives the session, so that a lost executor or a retried
+    stage finds it; the cluster's owner clears the folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
@@ -45,9 +48,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="velometric-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     context.setCheckpointDir(folder)
     return folder
 

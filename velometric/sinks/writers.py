@@ -5,49 +5,83 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from velometric.operators.conform import conform, with_part_keys
-from velometric.operators.dedupe import ride_sort
+from velometric.operators.dedupe import ride_key
+from velometric.schema import HEADER_ALIASES, TIME_COLUMNS, squash_header
 
 PART_KEYS = ["src_ym", "start_ym", "stop_ym"]
 
 
-def _files(spark: SparkSession, path: str):
-    """Hadoop file system of a path and its path constructor; metadata calls only."""
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that holds nothing of the table any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _write_staged(
+def stored(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A Parquet table, empty where it has not been written or has no part left."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _parts(table: DataFrame, keys: Sequence[str]) -> set[tuple]:
+    """Partitions that hold rows: one small row each."""
+    return {tuple(r) for r in table.select(*keys).distinct().collect()}
+
+
+def _swap_in(
     df: DataFrame,
     root: str,
     keys: Sequence[str],
-    replaced: Sequence[str] | None = None,
+    order: Sequence[str] = (),
+    replaced: Sequence[int] | None = None,
     verify: Callable[[DataFrame], None] | None = None,
 ) -> None:
-    """Write partitions to a staging folder, verify what was written, then swap them in.
+    """Write partitions to a staging table, verify that, then overwrite the table's from it.
 
-    `replaced` names first-level partitions to replace even when nothing was written for them;
-    by default exactly the written ones are replaced. Until the swap `root` is untouched.
+    `replaced` names values of the first key whose partitions go when nothing was written for them; by default only the
+    written ones are replaced. The table is written by Spark's own committer with dynamic overwrite. The staging table is
+    removed last: until then every row is in one place that is whole, and a failure leaves it to start again from.
+    Partitions without new rows are removed only after that commit.
     """
-    spark = df.sparkSession
-    staging = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex}"
-    fs, make = _files(spark, root)
-    try:
-        df.write.partitionBy(*keys).parquet(staging)
-        if verify:
-            verify(spark.read.schema(df.schema).parquet(staging))
-        written = [s.getPath().getName() for s in fs.listStatus(make(staging))]
-        written = [name for name in written if "=" in name]
-        for name in sorted({*written, *(replaced or [])}):
-            old = make(f"{root}/{name}")
-            fs.delete(old, True)
-            if name in written and not fs.rename(make(f"{staging}/{name}"), old):
-                raise OSError(f"could not move {name} into {root}")
-    finally:
-        fs.delete(make(staging), True)
+    spark, root = df.sparkSession, root.rstrip("/")
+    staging = f"{root}/_staging-{uuid.uuid4().hex}"
+
+    def arranged(rows: DataFrame) -> DataFrame:
+        return rows.hint("rebalance", *keys).sortWithinPartitions(*keys, *order)
+
+    arranged(df).write.partitionBy(*keys).parquet(staging)
+    staged = spark.read.schema(df.schema).parquet(staging)
+    if verify:
+        try:
+            verify(staged)
+        except BaseException:
+            _remove(spark, staging)
+            raise
+    fresh = _parts(staged, keys)
+    emptied: set[tuple] = set()
+    if replaced is not None:
+        old = stored(spark, root, df.schema).where(F.col(keys[0]).isin(list(replaced)))
+        emptied = _parts(old, keys) - fresh
+    (
+        arranged(staged)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*keys)
+        .parquet(root)
+    )
+    for part in sorted(emptied):
+        _remove(spark, "/".join([root, *(f"{k}={v}" for k, v in zip(keys, part, strict=True))]))
+    _remove(spark, staging)
 
 
 def write_ride_parts(rides: DataFrame, root: str, src_months: Sequence[int]) -> None:
@@ -58,8 +92,8 @@ def write_ride_parts(rides: DataFrame, root: str, src_months: Sequence[int]) ->
     """
     if "stop_ym" not in rides.columns:
         rides = with_part_keys(rides)
-    spread = rides.where(F.col("src_ym").isin(list(src_months))).hint("rebalance", *PART_KEYS)
-    _write_staged(ride_sort(spread), root, PART_KEYS, [f"src_ym={ym}" for ym in src_months])
+    own = rides.where(F.col("src_ym").isin(list(src_months)))
+    _swap_in(own, root, PART_KEYS, ride_key(own), replaced=src_months)
 
 
 def repartition_snapshot(rides: DataFrame, root: str, src_ym: int) -> None:
@@ -72,12 +106,14 @@ def write_by_month(
     path: str,
     month: str = "ym",
     verify: Callable[[DataFrame], None] | None = None,
+    months: Sequence[int] | None = None,
 ) -> None:
     """Replace the months present in `table`, leaving the others.
 
-    `verify` sees the written rows before they replace anything and raises to call the write off.
+    `months` are replaced also when `table` has no row of them. `verify` sees the written rows before they replace
+    anything and raises to call the write off.
     """
-    _write_staged(table.hint("rebalance", month), path, [month], verify=verify)
+    _swap_in(table, path, [month], replaced=months, verify=verify)
 
 
 def save(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = False, **options) -> None:
@@ -86,17 +122,12 @@ def save(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = False
 
 
 def csv_sort_columns(columns: Sequence[str]) -> list[str]:
-    """Start, stop and id column of a raw header, whichever era it is from."""
-    # Header spellings by era.
-    choices = [
-        ["Start Time", "starttime", "started_at"],
-        ["Stop Time", "stoptime", "ended_at"],
-        ["Bike ID", "bikeid", "ride_id"],
-    ]
-    found = [[c for c in names if c in columns] for names in choices]
-    if any(len(f) != 1 for f in found):
-        raise ValueError(f"cannot tell sort columns among {list(columns)}")
-    return [f[0] for f in found]
+    """The header's spellings of the ride key: start, stop and ride id, or bike id without one."""
+    spelt = {HEADER_ALIASES.get(squash_header(c)): c for c in columns}
+    key = [*TIME_COLUMNS, next((c for c in ("Ride ID", "Bike ID") if c in spelt), "Ride ID")]
+    if missing := [c for c in key if c not in spelt]:
+        raise ValueError(f"no column for {missing} among {list(columns)}")
+    return [spelt[c] for c in key]
 
 
 def write_sorted_csv(raw: DataFrame, path: str, expected_rows: int | None = None) -> int:
@@ -138,16 +169,14 @@ def json_entry(key: Column, value: Column) -> Column:
     return F.concat(quoted, F.lit(":"), value)
 
 
-def write_json_object(df: DataFrame, key: str, value: Column, path: str, *then: str) -> None:
+def write_json_object(df: DataFrame, key: str, value: Column, path: str) -> None:
     """One JSON object spread over part files: concatenated in name order they are the document.
 
-    Entries are range-partitioned by key (and `then`, where a key has several entries) and written
-    one per line, each after the first with a leading comma, between a `{` and a `}` line. Nothing
+    Entries are range-partitioned by key, which is unique, and written one per line, each after the first with a leading comma, between a `{` and a `}` line. Nothing
     is gathered; the only lookup is the smallest key.
     """
-    order = [key, *then]
-    entries = df.select(F.struct(*order).alias("at"), json_entry(F.col(key), value).alias("value"))
-    first = df.agg(F.min(F.struct(*order))).scalar()
+    entries = df.select(F.col(key).alias("at"), json_entry(F.col(key), value).alias("value"))
+    first = df.agg(F.min(key)).first()[0]
     leading = entries.select(
         F.lit(1).alias("line"),
         "at",
@@ -168,11 +197,8 @@ def write_station_json(stations: DataFrame, path: str) -> None:
 
 
 def write_pair_json(pair_maps: DataFrame, path: str) -> None:
-    """Nested pair counts as an object keyed by start index (one line per `pair_maps` row).
-
-    Maps split over several chunks repeat their key; readers that explode entries see all of them.
-    """
-    write_json_object(pair_maps, "sidx", F.col("ends"), path, "part")
+    """Nested pair counts as an object keyed by start index: one line per `pair_maps` row, so every key once."""
+    write_json_object(pair_maps, "sidx", F.col("ends"), path)
 
 
 def renamed_subset(table: DataFrame, names: dict[str, str], where: Column | None = None) -> DataFrame:

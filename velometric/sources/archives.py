@@ -8,10 +8,14 @@ streamed through Arrow's CSV reader in blocks, never held whole. A member cannot
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import io
+import itertools
+import shutil
+import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 import pyarrow.csv as pa_csv
@@ -37,26 +41,28 @@ TEXT_COLUMNS = sorted(set(HEADER_ALIASES.values()))
 # What a column is taken as when a file lacks it.
 MISSING_DEFAULTS = {"Gender": "0", "Rideable Type": "unknown"}
 BLOCK_BYTES = 8 << 20
+SPOOL_BYTES = 64 << 20
+# Spark's names of file systems that Arrow calls otherwise.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfs", "wasb": "abfs"}
 
 
-def archive_name(stem: str, ym: Column, region: Column) -> Column:
+def archive_name(stem: str, ym: Column, region: Column, irregular: Mapping[tuple[str, int], str] | None = None) -> Column:
     """Published archive name of a month and region.
 
-    `stem` is the publisher's file stem. Years before 2024 come as one archive for the main region.
+    `stem` is the publisher's file stem. Years before 2024 come as one archive for the main region. `irregular` names the
+    archives, by region and month, that were published under another name.
     """
     month = ym.cast("string")
-    jc = F.concat(F.lit("JC-"), month)
     year = F.floor(ym / 100).cast("string")
-    # Two Jersey City archives were published under misspelt names.
-    missing_letter = stem[:3] + stem[4:]
-    return (
-        F.when((region == "JC") & (ym == 202207), F.concat(jc, F.lit(f"-{missing_letter}.csv.zip")))
-        .when((region == "JC") & (ym == 201708), F.concat(jc, F.lit(f" {stem}.csv.zip")))
-        .when(region == "JC", F.concat(jc, F.lit(f"-{stem}.csv.zip")))
+    regular = (
+        F.when(region == "JC", F.concat(F.lit("JC-"), month, F.lit(f"-{stem}.csv.zip")))
         .when(ym.between(202401, 202404), F.concat(month, F.lit(f"-{stem}.csv.zip")))
         .when(ym < 202401, F.concat(year, F.lit(f"-{stem}.zip")))
         .otherwise(F.concat(month, F.lit(f"-{stem}.zip")))
     )
+    for (name, at), published in (irregular or {}).items():
+        regular = F.when((region == name) & (ym == at), F.lit(published)).otherwise(regular)
+    return regular
 
 
 def source_months(spark: SparkSession, start: int, end: int) -> DataFrame:
@@ -66,21 +72,32 @@ def source_months(spark: SparkSession, start: int, end: int) -> DataFrame:
     return months.select("ym", regions).where(region_available(F.col("ym"), F.col("src_region")))
 
 
-def archive_paths(months: DataFrame, root: str, stem: str) -> DataFrame:
+def archive_paths(
+    months: DataFrame, root: str, stem: str, irregular: Mapping[tuple[str, int], str] | None = None
+) -> DataFrame:
     """Archive path of every month and region row."""
-    name = archive_name(stem, F.col("ym"), F.col("src_region"))
+    name = archive_name(stem, F.col("ym"), F.col("src_region"), irregular)
+    root = qualified(months.sparkSession, root)
     return months.withColumn("path", F.concat(F.lit(root.rstrip("/") + "/"), name))
 
 
 def _open(path: str):
-    """Random-access file on any file system Arrow knows; plain paths and file: URIs are local."""
-    if "://" in path:
-        fs, inner = pa_fs.FileSystem.from_uri(path)
+    """Random-access file on any file system Arrow knows; paths come qualified from `qualified`."""
+    scheme, _, rest = path.partition("://")
+    uri = f"{ARROW_SCHEMES.get(scheme, scheme)}://{rest}" if rest else path
+    if uri.startswith(("file:", "/")):
+        fs, inner = pa_fs.LocalFileSystem(), uri.removeprefix("file:").removeprefix("//")
     else:
-        fs, inner = pa_fs.LocalFileSystem(), path.removeprefix("file:")
+        fs, inner = pa_fs.FileSystem.from_uri(uri)
     return fs.open_input_file(inner)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme that Spark's default file system gives it; worked out once, on the driver."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def _is_csv(name: str) -> bool:
     return name.endswith(".csv") and not name.startswith("_")
 
@@ -96,6 +113,18 @@ def _contents(archive: zipfile.ZipFile, nested: str | None) -> Iterator[tuple]:
                 yield nested, info.filename, info.file_size, _first_line(stream)
 
 
+def _spooled(archive: zipfile.ZipFile, name: str):
+    """A nested archive inflated once, in memory up to SPOOL_BYTES and else in the task's own spill file.
+
+    A deflated stream can only go forward, and a zip's table of contents is at its end.
+    """
+    out = tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES)
+    with archive.open(name) as inner:
+        shutil.copyfileobj(inner, out, 1 << 20)
+    out.seek(0)
+    return out
+
+
 def _list_batches(batches: Iterator) -> Iterator:
     import pandas as pd
 
@@ -107,7 +136,7 @@ def _list_batches(batches: Iterator) -> Iterator:
                 for name in archive.namelist():
                     base = name.rsplit("/", 1)[-1]
                     if name.endswith(".zip") and not name.startswith("_") and not base.startswith("_"):
-                        with archive.open(name) as inner, zipfile.ZipFile(inner) as inner_zip:
+                        with _spooled(archive, name) as inner, zipfile.ZipFile(inner) as inner_zip:
                             found += _contents(inner_zip, name)
             rows += [(row.path, *f) for f in found]
         yield pd.DataFrame(rows, columns=["path", "nested", "member", "bytes", "header"])
@@ -117,11 +146,12 @@ def list_members(paths: DataFrame) -> DataFrame:
     """CSV members of each archive (directly or in a nested archive) with size and header line.
 
     `paths` has path, ym and src_region. Each archive's table of contents is read once, also when
-    several months share it.
+    several months share it; a fixed number of partitions, which is not coalesced, spreads the archives over tasks.
     """
     wanted = paths.select("path", F.col("ym").cast("int"), "src_region")
-    contents = wanted.select("path").distinct().mapInPandas(_list_batches, MEMBER_SCHEMA)
-    return wanted.join(contents, "path")
+    tasks = paths.sparkSession.sparkContext.defaultParallelism * 4
+    archives = wanted.select("path").distinct().repartition(tasks, "path")
+    return wanted.join(archives.mapInPandas(_list_batches, MEMBER_SCHEMA), "path")
 
 
 def choose_members(members: DataFrame, name_type: int = 1) -> DataFrame:
@@ -158,7 +188,7 @@ def choose_members(members: DataFrame, name_type: int = 1) -> DataFrame:
             ),
         )
         .when(F.col("nested").isNull(), F.lit(3))
-        .otherwise(F.lit(4))
+        .when(F.col("nested").endswith(".csv.zip"), F.lit(4))
     )
     typed = members.withColumn("kind", kind).where("kind is not null")
     per_month = Window.partitionBy("path", "ym", "src_region")
@@ -185,6 +215,10 @@ def check_headers(members: DataFrame) -> DataFrame:
     return spread.where(same).drop("__low", "__high")
 
 
+def _constant(value: str | None, n: int) -> pa.Array:
+    return pa.nulls(n, pa.string()) if value is None else pa.repeat(pa.scalar(value, pa.string()), n)
+
+
 def _csv_batches(stream, header: list[str]) -> Iterator[pa.RecordBatch]:
     """Canonical all-text batches of one CSV stream whose header line has been read."""
     targets = {}
@@ -208,7 +242,7 @@ def _csv_batches(stream, header: list[str]) -> Iterator[pa.RecordBatch]:
         columns = [
             batch.column(targets[c])
             if c in targets
-            else pa.array([MISSING_DEFAULTS.get(c)] * len(batch), pa.string())
+            else _constant(MISSING_DEFAULTS.get(c), len(batch))
             for c in TEXT_COLUMNS
         ]
         yield pa.RecordBatch.from_arrays(columns, names=TEXT_COLUMNS)
@@ -250,24 +284,25 @@ class _Rest(io.RawIOBase):
 def _tagged(batch: pa.RecordBatch, ym: int, region: str) -> pa.RecordBatch:
     n = len(batch)
     return pa.RecordBatch.from_arrays(
-        [pa.array([ym] * n, pa.int32()), pa.array([region] * n, pa.string()), *batch.columns],
+        [pa.repeat(pa.scalar(ym, pa.int32()), n), _constant(region, n), *batch.columns],
         names=["src_ym", "src_region", *TEXT_COLUMNS],
     )
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            with _open(row["path"]) as raw, zipfile.ZipFile(raw) as archive:
-                if row["nested"]:
-                    with archive.open(row["nested"]) as inner, zipfile.ZipFile(inner) as inner_zip:
-                        with inner_zip.open(row["member"]) as stream:
+    """Rows are sorted by archive and nested archive: each is opened once for all of its members."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    for path, of_path in itertools.groupby(rows, key=lambda r: r["path"]):
+        with _open(path) as raw, zipfile.ZipFile(raw) as archive:
+            for nested, members in itertools.groupby(of_path, key=lambda r: r["nested"]):
+                with contextlib.ExitStack() as stack:
+                    holder = archive
+                    if nested:
+                        holder = stack.enter_context(zipfile.ZipFile(stack.enter_context(_spooled(archive, nested))))
+                    for row in members:
+                        with holder.open(row["member"]) as stream:
                             for out in _member_batches(_Rest(stream)):
                                 yield _tagged(out, row["ym"], row["src_region"])
-                else:
-                    with archive.open(row["member"]) as stream:
-                        for out in _member_batches(_Rest(stream)):
-                            yield _tagged(out, row["ym"], row["src_region"])
 
 
 def _scan_schema() -> str:
@@ -278,20 +313,29 @@ def _scan_schema() -> str:
 def read_members(members: DataFrame, partitions: int | None = None, spread: bool = True) -> DataFrame:
     """Rows of the chosen members as text columns with their source month and region.
 
-    Members are dealt to tasks by hash; `spread` rebalances the rows afterwards so that one huge
-    member does not leave all later work to a single task.
+    Direct members are dealt to tasks by hash, those of one nested archive together, so that it is inflated once;
+    `spread` rebalances the rows afterwards so that one huge member does not leave all later work to a single task.
     """
     count = partitions or members.sparkSession.sparkContext.defaultParallelism * 4
-    dealt = members.select("path", "ym", "src_region", "nested", "member").repartition(
-        count, "path", "nested", "member"
-    )
-    rows = dealt.mapInArrow(_scan, _scan_schema())
+    alone = F.when(F.col("nested").isNull(), F.col("member"))
+    dealt = members.select("path", "ym", "src_region", "nested", "member").repartition(count, "path", "nested", alone)
+    rows = dealt.sortWithinPartitions("path", "nested", "member").mapInArrow(_scan, _scan_schema())
     # Both eras' user columns exist here; a file fills one of them.
     member = lookup(F.col("Member/Casual"), MEMBER_TO_USER)
     rows = rows.withColumn("User Type", F.coalesce(F.col("User Type"), member)).drop("Member/Casual")
     return rows.hint("rebalance") if spread else rows
 
 
+def check_present(members: DataFrame, paths: DataFrame) -> DataFrame:
+    """Members unchanged; an error in the plan for a wanted month and region of which no member was found."""
+    wanted = paths.select("path", F.col("ym").cast("int").alias("ym"), "src_region")
+    all_wanted = wanted.join(members, ["path", "ym", "src_region"], "left")
+    error = F.raise_error(F.format_string("no file for %d %s in %s", "ym", "src_region", "path")).cast("boolean")
+    found = all_wanted.where(F.when(F.col("member").isNull(), error).otherwise(F.lit(True)))
+    return found.select(*members.columns)
+
+
 def read_archives(paths: DataFrame, name_type: int = 1, spread: bool = True) -> DataFrame:
-    """All trips of the archives: list, choose, check headers, stream."""
-    return read_members(check_headers(choose_members(list_members(paths), name_type)), spread=spread)
+    """All trips of the archives: list, choose, check that no month is missing and headers agree, stream."""
+    chosen = check_present(choose_members(list_members(paths), name_type), paths)
+    return read_members(check_headers(chosen), spread=spread)

@@ -12,11 +12,13 @@ from velometric.operators.conform import nulls_from_tokens
 from velometric.schema import KNOWN_BAD_PARTS
 
 
-def read_trip_csv(spark: SparkSession, paths: str | Sequence[str], header: Sequence[str]) -> DataFrame:
+def read_trip_csv(
+    spark: SparkSession, paths: str | Sequence[str], header: Sequence[str], spread: bool = False
+) -> DataFrame:
     """Plain or gzipped CSV of one header era as text columns.
 
-    The header line of every file is checked against `header`. Gzip files cannot be split, so rows
-    are rebalanced after the scan when there are any.
+    The header line of every file is checked against `header`. Gzip files cannot be split: `spread` rebalances the rows
+    after the scan, which is worth its shuffle when few large gzip files would leave later work to few tasks.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
@@ -27,7 +29,7 @@ def read_trip_csv(spark: SparkSession, paths: str | Sequence[str], header: Seque
         .option("mode", "FAILFAST")
         .csv(paths)
     )
-    if any(p.endswith(".gz") for p in paths):
+    if spread:
         raw = raw.hint("rebalance")
     return nulls_from_tokens(raw)
 
