@@ -20,6 +20,7 @@ from velometric.llm import (
     token_counts,
 )
 from velometric.llm.common import read_table
+from velometric.llm.oracle import ORACLE as ORACLE  # noqa: PLC0414
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -83,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+
