@@ -784,6 +784,16 @@ def zip_ingest(spark, folder):
     return roundtrip.zip_ingest(spark, _raw(spark, folder))
 
 
+@query
+def zip_name_types(spark, folder):
+    return roundtrip.zip_name_types(spark, _raw(spark, folder))
+
+
+@query
+def zip_to_csv(spark, folder):
+    return roundtrip.zip_to_csv(spark, _raw(spark, folder))
+
+
 @query
 def partition_write(spark, folder):
     parts = with_part_keys(_rides(spark, folder)).withColumn("src_ym", F.col("start_ym"))

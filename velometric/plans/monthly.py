@@ -19,11 +19,28 @@ from velometric.sinks.writers import (
     write_by_month,
     write_pair_json,
     write_ride_parts,
+    write_sorted_csv,
     write_station_json,
 )
+from velometric.sources.archives import read_archives
 from velometric.sources.files import with_source_part, without_known_bad_parts
 
 
+def build_sorted_csvs(paths: DataFrame, root: str) -> list[tuple[str, str, list[str]]]:
+    """Archives to one sorted gzipped CSV set per month and region: (path, region, header) of each.
+
+    The rows written must be as many as the archives' members hold, else the month is an error.
+    """
+    done = []
+    for row in paths.select("ym", "src_region").distinct().orderBy("ym", "src_region").collect():
+        own = paths.where((F.col("ym") == row["ym"]) & (F.col("src_region") == row["src_region"]))
+        trips = read_archives(own, spread=False).drop("src_ym", "src_region")
+        path = f"{root}/{row['src_region']}-{row['ym']}"
+        write_sorted_csv(trips, path, expected_rows=trips.count())
+        done.append((path, row["src_region"], trips.columns))
+    return done
+
+
 def normalized(raws: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """Distinct conformed rides of several regions with their source, start and stop months.
 

@@ -182,7 +182,7 @@ def _merged(source: str) -> str:
 def oracle() -> dict[str, str]:
     q: dict[str, str] = {}
     conformed = _with("select * from rides")
-    for name in ("rides_conformed", "csv_ingest", "sorted_csv", "zip_ingest", "dedupe_rows"):
+    for name in ("rides_conformed", "csv_ingest", "sorted_csv", "zip_ingest", "zip_to_csv", "dedupe_rows"):
         q[name] = conformed
     q["rides_open_ended"] = _with(
         """select "Ride ID", "Start Region", "End Station ID",
@@ -551,6 +551,10 @@ def oracle() -> dict[str, str]:
         f"""select max(ym) as ym, 2 as regions from ({files.format('true')})
         where ym < (select max(ym) from t) and ym in (select ym from ({files.format('true')}) group by ym having count(*) = 2)"""
     )
+    q["zip_name_types"] = _with(
+        """select 1 + id % 2 as name_type, count(*) as n, sum(id)::bigint as ids
+        from (select cast(ride_id as bigint) as id from raw where src_region = 'NYC') group by 1"""
+    )
     q["pair_remap"] = q["pair_decode"]
     q["month_rebuild"] = _with(
         """select ym, count(*) as n from t where y * 100 + mo > (select min(year(started_at) * 100 + month(started_at)) from raw)

@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import io
 import os
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.compute as pa_compute
-import pyarrow.csv as pa_csv
-import pyarrow.fs as pa_fs
-from pyspark import TaskContext
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from velometric.operators.conform import conform
+from velometric.operators.conform import conform, union_regions
 from velometric.operators.rollup import dashboard_records, rollup
 from velometric.operators.stations import (
     pair_counts,
@@ -23,7 +15,8 @@ from velometric.operators.stations import (
     station_index,
     stations,
 )
-from velometric.plans.monthly import build_rides
+from velometric.plans.monthly import build_rides, build_sorted_csvs
+from velometric.plans.publishing import both_member_types, mixed_layouts, publish
 from velometric.schema import FIRST_MONTH
 from velometric.session import scratch_path
 from velometric.sinks.writers import (
@@ -38,14 +31,10 @@ from velometric.sinks.writers import (
     write_sorted_csv,
     write_station_json,
 )
-from velometric.sources.archives import qualified, read_archives
+from velometric.sources.archives import read_archives
 from velometric.sources.documents import read_pair_json, read_records, read_station_json
 from velometric.sources.files import read_rides, read_trip_csv
-from velometric.sources.manifest import file_manifest, rides_after
-
-# Stand-in for the publisher's file stem.
-STEM = "bikeshare-tripdata"
-ARCHIVE_MONTH = 202405
+from velometric.sources.manifest import rides_after
 
 
 def _as_text(raw: DataFrame) -> DataFrame:
@@ -66,59 +55,27 @@ def sorted_csv(spark: SparkSession, raw: DataFrame) -> DataFrame:
     return conform(read_trip_csv(spark, path, raw.columns, spread=True), region_column="src_region")
 
 
-def _archive_writer(root: str):
-    """Each task streams its rows into one archive per region holding one CSV.
-
-    Archives are written under an attempt's own name and moved to the partition's name at the end,
-    so a task that runs again replaces its output.
-    """
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "://" in root:
-            fs, base = pa_fs.FileSystem.from_uri(root)
-        else:
-            fs, base = pa_fs.LocalFileSystem(), root.removeprefix("file:")
-        task = TaskContext.get()
-        folder = f"{base}/part-{task.partitionId():05d}"
-        archives: dict[str, tuple] = {}
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for region in table["src_region"].unique().to_pylist():
-                rows = table.filter(pa_compute.equal(table["src_region"], region)).drop_columns(["src_region"])
-                fresh = region not in archives
-                if fresh:
-                    fs.create_dir(folder, recursive=True)
-                    name = f"{'JC-' if region == 'JC' else ''}{ARCHIVE_MONTH}-{STEM}"
-                    final = f"{folder}/{name}{'.csv.zip' if region == 'JC' else '.zip'}"
-                    draft = f"{final}.{task.taskAttemptId()}"
-                    raw = fs.open_output_stream(draft)
-                    archive = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
-                    member = archive.open(f"{name}.csv", "w", force_zip64=True)
-                    archives[region] = (draft, final, raw, archive, member)
-                block = io.BytesIO()
-                pa_csv.write_csv(rows, block, pa_csv.WriteOptions(include_header=fresh))
-                archives[region][-1].write(block.getvalue())
-        for draft, final, raw, archive, member in archives.values():
-            member.close()
-            archive.close()
-            raw.close()
-            fs.move(draft, final)
-        yield pa.RecordBatch.from_pydict({"archives": pa.array([len(archives)], pa.int32())})
-
-    return write
+def zip_ingest(spark: SparkSession, raw: DataFrame) -> DataFrame:
+    """Zip archives of several layouts, then listed, chosen, streamed and conformed."""
+    return conform(read_archives(publish(spark, raw, mixed_layouts())), region_column="src_region")
 
 
-def zip_ingest(spark: SparkSession, raw: DataFrame) -> DataFrame:
-    """Zip archives written by the tasks, then listed, chosen, streamed and conformed."""
-    root = qualified(spark, scratch_path(spark, "archives"))
-    _as_text(raw).mapInArrow(_archive_writer(root), "archives int").agg(F.sum("archives")).collect()
-    name = F.element_at(F.split("path", "/"), -1)
-    paths = file_manifest(spark, root, "*.zip").select(
-        "path",
-        F.regexp_extract(name, r"(\d{6})-", 1).cast("int").alias("ym"),
-        F.when(name.startswith("JC-"), F.lit("JC")).otherwise(F.lit("NYC")).alias("src_region"),
-    )
-    return conform(read_archives(paths), region_column="src_region")
+def zip_name_types(spark: SparkSession, raw: DataFrame) -> DataFrame:
+    """What each preference reads of a month that is there both in parts and as one file."""
+    paths = publish(spark, raw.where("src_region = 'NYC'"), both_member_types())
+    sides = []
+    for name_type in (1, 2):
+        ids = read_archives(paths, name_type).select(F.col("Ride ID").cast("bigint").alias("id"))
+        sides.append(ids.agg(F.lit(name_type).alias("name_type"), F.count("id").alias("n"), F.sum("id").alias("ids")))
+    return sides[0].unionAll(sides[1])
+
+
+def zip_to_csv(spark: SparkSession, raw: DataFrame) -> DataFrame:
+    """Archives rewritten as one sorted CSV set per month and region, read back and conformed."""
+    root = scratch_path(spark, "csvs")
+    written = build_sorted_csvs(publish(spark, raw, mixed_layouts()), root)
+    frames = [conform(read_trip_csv(spark, path, header, spread=True), region) for path, region, header in written]
+    return union_regions(*frames)
 
 
 def snapshot_scan(spark: SparkSession, new: DataFrame, old: DataFrame, month: int) -> DataFrame:

@@ -123,7 +123,7 @@ def save(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = False
 
 def csv_sort_columns(columns: Sequence[str]) -> list[str]:
     """The header's spellings of the ride key: start, stop and ride id, or bike id without one."""
-    spelt = {HEADER_ALIASES.get(squash_header(c)): c for c in columns}
+    spelt = {HEADER_ALIASES.get(squash_header(c), c): c for c in columns}
     key = [*TIME_COLUMNS, next((c for c in ("Ride ID", "Bike ID") if c in spelt), "Ride ID")]
     if missing := [c for c in key if c not in spelt]:
         raise ValueError(f"no column for {missing} among {list(columns)}")
