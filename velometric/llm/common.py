@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +33,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def whole_text(name: str = "text") -> Column:
-    """The text, null as empty."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def whole_text(column: str) -> Column:
+    """A field of the packed `row` as text, null as empty."""
+    return F.coalesce(F.col(f"row.`{column}`").cast("string"), F.lit(""))
+
+
+def text_bytes(column: str) -> Column:
+    """The same as UTF-8 bytes, which Arrow functions take without decoding."""
+    return whole_text(column).cast("binary")
 
 
 def row_key(df: DataFrame) -> Column:
@@ -48,5 +58,9 @@ def packed(df: DataFrame, keep_key: bool = False) -> DataFrame:
     return df.select(row, row_key(df).alias("key")) if keep_key else df.select(row)
 
 
-def unpacked(df: DataFrame) -> DataFrame:
-    return df.select("row.*")
+def slices(array: pa.Array, most: int = 2 << 20) -> Iterator[pa.Array]:
+    """A binary array in slices of about `most` bytes, so that what a function makes of one stays small."""
+    at = np.asarray(pc.fill_null(pc.binary_length(array), 0), dtype=np.int64).cumsum() // most
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(array)]
+    for begin, end in zip(cuts, cuts[1:], strict=False):
+        yield array.slice(begin, end - begin)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from velometric.llm.common import packed
+from velometric.llm.common import packed, text_bytes
 from velometric.llm.quality_rules import counts_of
 
 WORDS = 1 << 13
@@ -148,10 +148,6 @@ def fold(id_column: Column) -> Column:
     return F.crc32(id_column.cast("string").cast("binary")) % FOLDS
 
 
-def text_bytes(column: Column) -> Column:
-    return F.coalesce(column.cast("string"), F.lit("")).cast("binary")
-
-
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -166,7 +162,7 @@ def train(
     known = known.groupBy("id").agg(F.min("label").alias("label"))
     # `sample` narrow rows at most, so they may be broadcast against the documents.
     drawn = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_bytes(F.col(f"`{text_col}`")).alias("body"))
+    texts = packed(docs).select(F.col(f"row.`{id_col}`").alias("id"), text_bytes(text_col).alias("body"))
     joined = texts.join(F.broadcast(drawn), "id").groupBy("id").agg(F.min("body").alias("body"), F.min("label").alias("label"))
     found = joined.select("id", "label", feature_lists("body").alias("f")).orderBy("id")
     table = found.select("label", "f.index", "f.value").toArrow()
@@ -184,6 +180,6 @@ def score_quality(
     rows = packed(docs).select(
         F.col(f"row.`{id_col}`").alias(id_col),
         F.coalesce(fold(F.col(f"row.`{id_col}`")) == HELD_OUT, F.lit(False)).alias("held_out"),
-        score_function(machine)(text_bytes(F.col(f"row.`{text_col}`"))).alias("score"),
+        score_function(machine)(text_bytes(text_col)).alias("score"),
     )
     return rows.select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from velometric.llm.common import packed
+from velometric.llm.common import packed, slices, text_bytes
 
 #: Never text.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title"}
@@ -307,15 +307,14 @@ def main_text(html: str) -> str:
 
 @F.arrow_udf(StringType())
 def extracted(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for array in arrays:
+    for array in (part for whole in arrays for part in slices(whole)):
         pages = (x.as_buffer().to_pybytes().decode("utf-8", "replace") for x in array)
         yield pa.array([main_text(page) for page in pages], pa.string())
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: id, url, `text` and `n_chars`."""
-    body = F.coalesce(F.col(f"row.`{html_col}`").cast("string"), F.lit("")).cast("binary")
     rows = packed(pages).select(
-        F.col(f"row.`{id_col}`").alias(id_col), F.col(f"row.`{url_col}`").alias(url_col), extracted(body).alias("text")
+        F.col(f"row.`{id_col}`").alias(id_col), F.col(f"row.`{url_col}`").alias(url_col), extracted(text_bytes(html_col)).alias("text")
     )
     return rows.select("*", F.char_length("text").cast("long").alias("n_chars"))

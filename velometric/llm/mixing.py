@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from velometric.llm.common import WORD, packed, written
+from velometric.llm.common import WORD, packed, whole_text, written
 
 MOST_COPIES = 3
 
@@ -36,12 +36,11 @@ def offset_of(source: Column) -> Column:
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    body = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
     rows = packed(docs).select(
         "row",
         F.col(f"row.`{id_col}`").cast("string").alias("id"),
         F.col(f"row.`{source_col}`").cast("string").alias("source"),
-        F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"),
+        F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long").alias("size"),
     )
     rows = rows.select("*", F.md5(F.coalesce("id", F.lit(""))).alias("hash"))
     return rows.select("*", size_class(F.col("size")).alias("class"), F.substring("hash", 1, 3).alias("part"))

@@ -20,7 +20,6 @@ from velometric.llm import (
     token_counts,
 )
 from velometric.llm.common import read_table
-from velometric.llm.oracle import ORACLE as ORACLE  # noqa: PLC0414
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -83,5 +82,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_html, op10_token_counts,
     )
 }
-
-

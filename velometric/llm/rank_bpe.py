@@ -23,14 +23,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.normalizers import NFC
 
-from velometric.llm.common import packed
+from velometric.llm.common import packed, slices, text_bytes
 
 LONG_WORD = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 NO_RANK = 1 << 30
 
 
@@ -165,7 +165,7 @@ def encode_function(vocabulary: str):
     @F.arrow_udf("binary")
     def encode(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(vocabulary)
-        for array in arrays:
+        for array in (part for whole in arrays for part in slices(whole)):
             texts = (x.as_buffer().to_pybytes().decode("utf-8", "replace") for x in array)
             yield pa.array([bpe.encode(t) for t in texts], pa.binary())
 
@@ -178,20 +178,16 @@ def decode_function(vocabulary: str):
     @F.arrow_udf("string")
     def decode(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(vocabulary)
-        for array in arrays:
+        for array in (part for whole in arrays for part in slices(whole)):
             ids = (x.as_buffer().to_pybytes() if x.is_valid else None for x in array)
             yield pa.array([None if x is None else bpe.decode(x) for x in ids], pa.string())
 
     return decode
 
 
-def text_bytes(column: Column) -> Column:
-    return F.coalesce(column.cast("string"), F.lit("")).cast("binary")
-
-
 def encode_rows(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """`row` and its packed `ids`."""
-    return packed(docs).select("row", encode_function(vocabulary)(text_bytes(F.col(f"row.`{text_col}`"))).alias("ids"))
+    return packed(docs).select("row", encode_function(vocabulary)(text_bytes(text_col)).alias("ids"))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

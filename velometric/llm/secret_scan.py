@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velometric.llm.common import packed
+from velometric.llm.common import packed, whole_text, written
 
 #: Fixed values of the contract: kind, pattern, group holding the value, least characters of that group.
 BASE_KINDS = [
@@ -86,7 +86,7 @@ def find_spans(docs: DataFrame, text_col: str, owner_col: str, repo_col: str) ->
     marked = packed(docs, keep_key=True).select(
         "row",
         "key",
-        F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")).alias("body"),
+        whole_text(text_col).alias("body"),
         F.struct(F.col(f"row.`{owner_col}`").cast("string").alias("owner")).alias("owner"),
         F.struct(
             F.col(f"row.`{owner_col}`").cast("string").alias("owner"), F.col(f"row.`{repo_col}`").cast("string").alias("repo")
@@ -205,14 +205,14 @@ def mask_secrets(
 ) -> DataFrame:
     """`docs` with every live span replaced by `mask`; copied examples and clean rows stay as they are.
 
-    Only rows with a span are shuffled, the others pass from the scan. `length_col`, if present, follows the new text.
+    Patterns run twice over the texts: once to set the rows with a span aside, which alone are shuffled, and once to let
+    the others pass from the scan. `length_col`, if present, follows the new text.
     """
     found = find_spans(docs, text_col, owner_col, repo_col)
     clean = found.where(F.size("spans") == 0).select("row.*")
-    held = found.where(F.size("spans") > 0)
+    held = written(found.where(F.size("spans") > 0).select("key", "row", "owner", "repo", "spans"), "secret-rows")
     judged = judged_spans(held.select("key", "owner", "repo", "spans"), [], max_owners)
-    body = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
-    held = held.select("key", "row", body.alias("body")).join(judged.select("key", "judged"), "key")
+    held = held.select("key", "row", whole_text(text_col).alias("body")).join(judged.select("key", "judged"), "key")
     held = held.select("row", "body", F.filter("judged", lambda s: s["is_live"]).alias("live"))
 
     def step(state: Column, span: Column) -> Column:

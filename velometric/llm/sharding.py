@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from velometric.llm.common import packed
+from velometric.llm.common import packed, whole_text
 
 RANGES = 1024
 DRAWS = 32
@@ -28,7 +28,7 @@ _UNIT = 1 << 30
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    body = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    body = whole_text(text_col)
     rows = packed(docs).select(
         "row", F.col(f"row.`{id_col}`").cast("string").alias("id"),
         (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("key"),

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from velometric.llm.common import packed, written
+from velometric.llm.common import packed, text_bytes, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -100,7 +100,7 @@ def bucketed(prints: DataFrame, masks: list[int]) -> DataFrame:
     return rows.select("mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp", "ones")
 
 
-def tile_table(buckets: DataFrame, tile: int, radius: int) -> DataFrame:
+def tile_table(buckets: DataFrame, tile: int) -> DataFrame:
     """Buckets of over `tile` fingerprints: (mask, key, ones) with `before`, `n` and the bucket's `layout`.
 
     Counts are combined on the map side; a bucket has at most 65 population counts, so its layout is a short array.
@@ -236,7 +236,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     """(v, w): links among the distinct fingerprints `fp` that span every class within `radius` bits."""
     masks = block_plan(prints.count(), radius)
     buckets = bucketed(prints, masks)
-    tiles = written(tile_table(buckets, tile, radius), "simhash-tiles")
+    tiles = written(tile_table(buckets, tile), "simhash-tiles")
     dealt = units(buckets, tiles, tile, radius)
     by = ["mask", "key", "a", "b"]
     ordered = dealt.repartition(*by).sortWithinPartitions(*by)
@@ -291,9 +291,8 @@ def classes(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """`row`, its key and its fingerprint."""
-    body = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")).cast("binary")
-    rows = packed(docs, keep_key=True)
-    return rows.select("row", "key", F.col(f"row.`{id_col}`").alias("id"), fingerprint_function(shingle)(body).alias("fp"))
+    fp = fingerprint_function(shingle)(text_bytes(text_col)).alias("fp")
+    return packed(docs, keep_key=True).select("row", "key", F.col(f"row.`{id_col}`").alias("id"), fp)
 
 
 def near_duplicates(

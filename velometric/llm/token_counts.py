@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from velometric.llm.common import packed
+from velometric.llm.common import packed, text_bytes
 
 PIECE = 32_768
 BATCH_BYTES = 1 << 20
@@ -83,7 +83,7 @@ def count_tokens(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT
 ) -> DataFrame:
     """One row per input row: id, `n_bytes` (UTF-8), `n_tokens`, `over_limit` (more tokens than `limit`)."""
-    body = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")).cast("binary")
+    body = text_bytes(text_col)
     rows = packed(docs).select(
         F.col(f"row.`{id_col}`").alias(id_col),
         F.octet_length(body).cast("long").alias("n_bytes"),
