@@ -124,3 +124,50 @@ def test_clashing_rides_leave_the_table_untouched(spark, tmp_path):
         build_rides(spark, [(clash, "JC")], str(tmp_path), [202301])
     left = list((tmp_path / "rides").glob("*")) if (tmp_path / "rides").exists() else []
     assert not [p for p in left if p.name.startswith(("ym=", "_staging"))]
+
+
+def test_merging_leaves_single_rides_unshuffled(spark, rides):
+    """Rows of repeated keys alone are shuffled; the others pass a broadcast anti join."""
+    from velometric.operators.dedupe import merge_pairs
+
+    again = rides.where("`Start Station ID` = 'JC065'").withColumn("file", F.lit("b"))
+    merged = merge_pairs(rides.withColumn("file", F.lit("a")).unionByName(again))
+    text = plan(merged)
+    assert "LeftAnti" in text and "LeftSemi" in text and "SortMergeJoin" not in text
+    assert text.count("Exchange hashpartitioning") == 1
+    assert merged.count() == rides.count()
+
+
+def test_a_hot_key_fails_in_the_count(spark, rides):
+    from velometric.operators.dedupe import merge_pairs
+
+    hot = hot_rides(spark).withColumns({"file": F.lit("a"), "Gender": F.lit(0), "Birth Year": F.lit(1), "Bike ID": F.lit(1)})
+    with pytest.raises(DuplicateKeyError):
+        merge_pairs(hot)
+
+
+def test_a_failing_overwrite_keeps_the_staging_table(spark, tmp_path, monkeypatch):
+    """Until the table holds the new rows, the verified ones stay in the staging table."""
+    from pyspark.sql import DataFrameWriter
+
+    from velometric.sinks.writers import write_by_month
+
+    path = str(tmp_path / "table")
+    rows = spark.createDataFrame([(202001, 1), (202002, 2)], "ym int, n int")
+    write_by_month(rows, path)
+    plain = DataFrameWriter.parquet
+
+    def broken(self, to, *args, **kw):
+        if to == path:
+            raise OSError("no space left")
+        return plain(self, to, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", broken)
+    with pytest.raises(OSError):
+        write_by_month(rows.withColumn("n", F.col("n") + 10), path)
+    assert {tuple(r) for r in spark.read.parquet(path).select("ym", "n").collect()} == {(202001, 1), (202002, 2)}
+    staged = next((tmp_path / "table").glob("_staging-*"))
+    assert {tuple(r) for r in spark.read.parquet(str(staged)).select("ym", "n").collect()} == {(202001, 11), (202002, 12)}
+    monkeypatch.undo()
+    write_by_month(rows.withColumn("n", F.col("n") + 10).where("ym = 202001"), path, months=[202001, 202002])
+    assert {tuple(r) for r in spark.read.parquet(path).select("ym", "n").collect()} == {(202001, 11)}
