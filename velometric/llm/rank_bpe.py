@@ -16,8 +16,10 @@ library's tables were made may fall on the other side of its letter class.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -58,10 +60,13 @@ class WordBpe:
         pattern = next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
         self.word = regex.compile(pattern, regex.V0)
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        # Rank of a pair of ids, packed in one integer, and what the pair of each rank becomes.
+        self.ranks: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
-            self.ranks.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
+            self.ranks.setdefault(ids[left] << 32 | ids[right], rank)
+            self.merged.append(ids[left + right])
         letters = byte_letters()
         self.inner = [ids.get(x) for x in letters]
         self.last = [ids.get(x + suffix) for x in letters]
@@ -75,19 +80,19 @@ class WordBpe:
 
     def merge_short(self, parts: list[int]) -> list[int]:
         """Merges in place; `ranks[i]` is the rank of parts i and i + 1, the least is taken leftmost."""
-        known, none = self.ranks.get, (NO_RANK, -1)
-        ranks = [known(pair, none)[0] for pair in zip(parts, parts[1:], strict=False)]
+        known, merged = self.ranks.get, self.merged
+        ranks = [known(a << 32 | b, NO_RANK) for a, b in itertools.pairwise(parts)]
         while ranks:
             least = min(ranks)
             if least == NO_RANK:
                 break
             i = ranks.index(least)
-            parts[i] = known((parts[i], parts[i + 1]))[1]
+            new = parts[i] = merged[least]
             del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = known((parts[i - 1], parts[i]), none)[0]
+                ranks[i - 1] = known(parts[i - 1] << 32 | new, NO_RANK)
             if i < len(ranks):
-                ranks[i] = known((parts[i], parts[i + 1]), none)[0]
+                ranks[i] = known(new << 32 | parts[i + 1], NO_RANK)
         return parts
 
     def merge_long(self, parts: list[int]) -> list[int]:
@@ -97,17 +102,20 @@ class WordBpe:
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
-            if i >= 0 and after[i] < count and (found := self.ranks.get((parts[i], parts[after[i]]))):
-                heapq.heappush(heap, (found[0], i, parts[i], parts[after[i]]))
+            if i < 0 or after[i] >= count:
+                return
+            rank = self.ranks.get(parts[i] << 32 | parts[after[i]])
+            if rank is not None:
+                heapq.heappush(heap, (rank, i, parts[i], parts[after[i]]))
 
         for i in range(count - 1):
             offer(i)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i] if parts[i] == left else count
             if j >= count or parts[j] != right:
                 continue
-            parts[i], parts[j] = self.ranks[left, right][1], -1
+            parts[i], parts[j] = self.merged[rank], -1
             after[i] = after[j]
             if after[i] < count:
                 before[after[i]] = i
@@ -118,7 +126,7 @@ class WordBpe:
     def word_ids(self, word: str) -> bytes:
         parts = self.parts(word)
         merged = self.merge_short(parts) if len(parts) <= LONG_WORD else self.merge_long(parts)
-        packed_ids = b"".join(x.to_bytes(4, "little") for x in merged)
+        packed_ids = struct.pack(f"<{len(merged)}I", *merged)
         if len(word) <= LONG_WORD:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
