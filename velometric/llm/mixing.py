@@ -35,15 +35,24 @@ def offset_of(source: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(1048576.0)
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def home_of(source: Column) -> Column:
+    """The source as a key that is never null, so joins and windows over it share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: list[str] | None) -> DataFrame:
+    """`row` (of the columns `carry`, by default all) with its size and the cell it falls into."""
+    row = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in carry or docs.columns])
     rows = packed(docs).select(
-        "row",
+        row.alias("row"),
         F.col(f"row.`{id_col}`").cast("string").alias("id"),
-        F.col(f"row.`{source_col}`").cast("string").alias("source"),
+        home_of(F.col(f"row.`{source_col}`").cast("string")).alias("home"),
         F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long").alias("size"),
     )
     rows = rows.select("*", F.md5(F.coalesce("id", F.lit(""))).alias("hash"))
-    return rows.select("*", size_class(F.col("size")).alias("class"), F.substring("hash", 1, 3).alias("part"))
+    # Never null, so that joins on it need no filter that would count the words once more.
+    own_class = F.coalesce(size_class(F.col("size")), F.lit(0))
+    return rows.select("*", own_class.alias("class"), F.substring("hash", 1, 3).alias("part"))
 
 
 def targets(sizes: DataFrame, cycle: int = 3, most: int = MOST_COPIES) -> DataFrame:
@@ -71,39 +80,42 @@ def targets(sizes: DataFrame, cycle: int = 3, most: int = MOST_COPIES) -> DataFr
     return rows.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """`row` with `size`, `source_size`, `target` (its source's) and `copies`, one row per input row."""
-    rows = sized(docs, id_col, text_col, source_col)
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """`row` with `size`, `source_size`, `target` (its source's) and `copies`, one row per input row.
+
+    Rows travel once, to the window over their cell; `carry` names the columns that they take along.
+    """
+    rows = sized(docs, id_col, text_col, source_col, carry)
     cells = written(
-        rows.groupBy("source", "class", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-cells"
+        rows.groupBy("home", "class", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-cells"
     )
-    classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-    past = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
-    classes = classes.select("source", "class", "words", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"))
-    rates = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
+    classes = cells.groupBy("home", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    past = Window.partitionBy("home").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.select("home", "class", "words", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("class_before"))
+    sizes = classes.groupBy("home").agg(F.sum("words").alias("source_size"))
+    source = F.when(F.col("home") != "", F.substr("home", F.lit(2)))
+    rates = targets(sizes.select(source.alias("source"), "source_size"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES))))
-    rates = rates.select("source", "source_size", "target", F.coalesce(rate, F.lit(0.0)).alias("rate"))
-
-    def same(left: str, right: str, *columns: str) -> Column:
-        out = F.lit(True)
-        for c in columns:
-            out = out & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-        return out
-
-    within = Window.partitionBy("c.source", "c.class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    rates = rates.select(
+        home_of(F.col("source")).alias("home"), "source_size", "target",
+        F.coalesce(rate, F.lit(0.0)).alias("rate"), offset_of(F.col("source")).alias("offset"),
+    )
+    within = Window.partitionBy("home", "class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    cell_before = F.col("class_before") + F.coalesce(F.sum("n").over(within), F.lit(0))
     placed = (
-        cells.alias("c")
-        .join(classes.alias("k"), same("c", "k", "source", "class"))
-        .select("c.source", "c.class", "part", (F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("before"))
-        .alias("p")
-        .join(rates.alias("r"), same("p", "r", "source"))
-        .select("p.source", "p.class", "p.part", "before", "source_size", "target", "rate", offset_of(F.col("p.source")).alias("offset"))
+        cells.join(classes.drop("words"), ["home", "class"])
+        .select("home", "class", "part", cell_before.alias("before"))
+        .join(rates, "home")
     )
-    in_cell = Window.partitionBy("d.source", "d.class", "d.part").orderBy("hash", "id", "size")
-    ranked = (
-        rows.alias("d")
-        .join(placed.alias("p"), same("d", "p", "source", "class", "part"))
-        .select("row", "size", "source_size", "target", "rate", "offset", (F.col("before") + F.row_number().over(in_cell)).alias("rank"))
+    in_cell = Window.partitionBy("home", "class", "part").orderBy("hash", "id", "size")
+    ranked = rows.join(placed, ["home", "class", "part"]).select(
+        "row", "size", "source_size", "target", "rate", "offset", (F.col("before") + F.row_number().over(in_cell)).alias("rank")
     )
     crossed = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor(
         (F.col("rank") - 1) * F.col("rate") + F.col("offset")

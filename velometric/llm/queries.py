@@ -53,7 +53,7 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.digest(mixing.mix(documents(spark, folder, "doc_id", "text", "source")))
+    return mixing.digest(mixing.mix(documents(spark, folder, "doc_id", "text", "source"), carry=["doc_id"]))
 
 
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
