@@ -79,7 +79,7 @@ def parts(ranged: DataFrame, total: int, shards: int, ranges: int) -> DataFrame:
 
 
 def part_of(grain: str, n_parts: str) -> Column:
-    return F.floor(F.col(grain) * F.col(n_parts) / F.lit(GRAINS)).cast("int")
+    return F.coalesce(F.floor(F.col(grain) * F.col(n_parts) / F.lit(GRAINS)).cast("int"), F.lit(0))
 
 
 def assign_shards(
@@ -96,7 +96,8 @@ def assign_shards(
     cuts = splitters(rows, total, ranges, draws)
     ranged = rows.select(
         "*",
-        range_of(F.col("key"), cuts).alias("range"),
+        # Never null, so that joins on it need no filter that would work it out once more.
+        F.coalesce(range_of(F.col("key"), cuts), F.lit(0)).alias("range"),
         F.floor(F.col("spread") * GRAINS / F.lit(_UNIT)).cast("int").alias("grain"),
     )
     table = parts(ranged, total, shards, ranges)
