@@ -192,6 +192,15 @@ def test_keep_one(docs):
     assert len({prints[r["doc_id"]] for r in rows}) == len(rows)
 
 
+def test_keep_one_tells_classes_apart(spark):
+    """Ids that are null or repeat on different texts name no class."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[4]), (7, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = multiset(simhash.keep_one(docs).collect())
+    assert kept == Counter([(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (7, texts[5])])
+
+
 def named_classes(docs):
     return {r["component"] for r in simhash.near_duplicates(docs).select("component").collect()}
 

@@ -281,12 +281,15 @@ def roots(edges: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(fp, component): for distinct fingerprints with their least `id`, the least id of the class."""
+    """(fp, component, root): for distinct fingerprints with their least `id`, the least id of the class.
+
+    Ids may be null or repeat over classes, so a class is known by its `root`, one of its fingerprints.
+    """
     root = written(roots(links(prints.select("fp"), radius, tile)), "simhash-classes")
     named = prints.join(root, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     named = written(named, "simhash-named")
     least = written(named.groupBy("root").agg(F.min("id").alias("component")), "simhash-least")
-    return named.join(least, "root").select("fp", "component")
+    return named.join(least, "root").select("fp", "component", "root")
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -303,7 +306,7 @@ def near_duplicates(
     radius: int = RADIUS,
     tile: int = TILE,
 ) -> DataFrame:
-    """One row per input row: `id`, its row `key`, `fp` and `component`, the least id of its class.
+    """One row per input row: `id`, its row `key`, `fp`, `component`, the least id of its class, and the class's `root`.
 
     Texts are read once; ids and fingerprints are written, then classes joined to them. Both sides of that join are
     scans, so a fingerprint that a third of all rows share is split.
@@ -311,7 +314,7 @@ def near_duplicates(
     rows = written(marked(docs, id_col, text_col, shingle).select("id", "key", "fp"), "simhash-prints")
     prints = written(rows.groupBy("fp").agg(F.min("id").alias("id")), "simhash-distinct")
     found = written(classes(prints, radius, tile), "simhash-components")
-    return rows.join(found, "fp").select("id", "key", "fp", "component")
+    return rows.join(found, "fp").select("id", "key", "fp", "component", "root")
 
 
 def keep_one(
@@ -326,9 +329,13 @@ def keep_one(
 
     Of rows equal in everything one stays. Rows travel once, to meet the keys of those that stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius, tile)
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col, shingle, radius, tile))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `docs` that come first in their class; `found` has the `id`, `key` and class `root` of every row."""
     order = F.struct(F.col("id").isNull().alias("null_id"), F.col("id").alias("id"), F.col("key").alias("key"))
-    stay = found.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("rows"))
+    stay = found.groupBy("root").agg(F.min(order).alias("best"))
     keys = written(stay.select(F.col("best.key.low").alias("low"), F.col("best.key.high").alias("high")), "simhash-kept")
     rows = packed(docs, keep_key=True).select("row", F.col("key.low").alias("low"), F.col("key.high").alias("high"))
     once = Window.partitionBy("low", "high").orderBy(F.lit(1))
