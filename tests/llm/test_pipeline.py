@@ -70,6 +70,56 @@ def test_pipeline(spark):
     assert len(want) > 50 and Counter(map(tuple, rows)) == want
 
 
+def shingles(text):
+    words = re.sub("[A-Z]", lambda m: m.group().lower(), text or "").encode().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def similar_classes(texts):
+    """Place -> least place of its class, by all pairs of five-word Jaccard similarity 0.8 or more."""
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [find(x) for x in range(len(texts))]
+
+
+def near_copies():
+    """Texts with a shared passage, and copies of them with some words changed, from similar to not similar."""
+    rng = np.random.default_rng(3)
+    passage = [f"common{i}" for i in range(40)]
+    texts = []
+    for k in range(25):
+        base = [f"t{k}w{i}" for i in range(int(rng.integers(20, 200)))] + passage
+        for changes in (0, 1, 2, 3, 4, 6, 9):
+            words = list(base)
+            for at in rng.integers(0, len(words), changes):
+                words[at] = f"new{rng.integers(1 << 30)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("kind", ["given", "planted"])
+def test_near_duplicates_by_all_pairs(spark, kind):
+    if kind == "given":
+        rows = duckdb.sql(f"select doc_id, text from '{FOLDER}/documents.parquet' order by doc_id").fetchall()
+    else:
+        rows = list(enumerate(near_copies()))
+    classes = similar_classes([t for _, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {rows[place][0] for place in set(classes)}
+    assert len(kept) < len(rows)
+
+
 @pytest.mark.parametrize("place", range(len(corpus_pipeline.STAGES)))
 @pytest.mark.parametrize("kind", ["odd", "none"])
 def test_stages_on_odd_rows(spark, odd_docs, no_docs, place, kind):
