@@ -448,6 +448,13 @@ def test_broken_pages(html):
     assert isinstance(html_cut.main_text(html), str)
 
 
+@pytest.mark.parametrize("odd", ["<![foo]>", "<![foo[ x ]]>", "<![>", "<![ ]>", "<![1]>", "<![endif]>", "<!-->", "<!foo>"])
+def test_text_after_odd_declarations(odd):
+    page = f"<article><p>The first paragraph of the story.</p>{odd}<p>The second one, which is kept.</p></article>"
+    assert html_cut.main_text(page).startswith("The first paragraph of the story.\n")
+    assert html_cut.main_text(page).endswith("The second one, which is kept.")
+
+
 def test_pages_of_the_table(spark):
     """In the given pages the article's blocks, and only they, are the text."""
     import re

@@ -165,6 +165,12 @@ class BlockReader(HTMLParser):
         if at.parent is not None:
             self.leave(at)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # of unknown name or none: a bogus comment up to the next `>`, as in browsers
+            return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data: str) -> None:
         if self.node.silent:
             return
@@ -180,11 +186,8 @@ class BlockReader(HTMLParser):
 
 def read_blocks(html: str) -> list[Block]:
     reader = BlockReader()
-    try:
-        reader.feed(html)
-        reader.close()
-    except AssertionError:  # the parser's answer to some malformed declarations
-        pass
+    reader.feed(html)
+    reader.close()
     reader.flush()
     return reader.blocks
 
