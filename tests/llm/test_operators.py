@@ -455,6 +455,37 @@ def test_text_after_odd_declarations(odd):
     assert html_cut.main_text(page).endswith("The second one, which is kept.")
 
 
+STORY = (
+    "<article><h1>A title of the story</h1><p>The first paragraph of the story, which is long enough to be read as one.</p>"
+    "<p>The second paragraph of the story with <math><mi>x</mi><mo>=</mo><mn>2</mn></math> in it.</p></article>"
+)
+MENU = "<nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav>"
+NOTE = "<p>Some words on another matter that nobody asked for, and which go on for a while, as such words will do.</p>"
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<body class='has-sidebar'>", "</body>"),
+        ("<body class='sidebar ads'>", "</body>"),
+        ("<body><div class='page no-sidebar'>", "</div></body>"),
+        ("<body><div class='sidebar-left'><div>", "</div></div></body>"),
+        ("<body><form id='page'>", "</form></body>"),
+        ("<body><div id='with-header'><main>", "</main></div></body>"),
+    ],
+)
+def test_layout_names_around_an_article(before, after):
+    page = f"{before}{MENU}{STORY}<div class='sidebar'><div><div>{NOTE}</div></div></div>{after}"
+    want = "A title of the story\nThe first paragraph of the story, which is long enough to be read as one.\n"
+    assert html_cut.main_text(page) == want + "The second paragraph of the story with x=2 in it."
+
+
+@pytest.mark.parametrize("around", ["<aside>", "<div hidden>", "<div class='comments'>", "<div role='navigation'>", "<footer>"])
+def test_article_below_firm_evidence(around):
+    page = f"<body>{STORY}{around}<article>{NOTE}</article></body>"
+    assert "another matter" not in html_cut.main_text(page) and "second paragraph" in html_cut.main_text(page)
+
+
 def test_pages_of_the_table(spark):
     """In the given pages the article's blocks, and only they, are the text."""
     import re

@@ -28,13 +28,16 @@ from pyspark.sql.types import StringType
 from velometric.llm.common import packed, slices, text_bytes
 
 #: Never text.
-SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title"}
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video", "title", "annotation"}
 #: Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
     "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt",
     "u", "var",
+    # Of formulas, whose source in an annotation is silent.
+    "annotation", "math", "menclose", "mfrac", "mi", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "ms", "mspace",
+    "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics",
 }
 #: Elements that end at the next of their kind or at a block element.
 CLOSED_BY = {
@@ -57,7 +60,16 @@ AWAY_NAMES = {
 HOME_TAGS = {"article", "main"}
 HOME_NAMES = {"article", "body", "content", "entry", "main", "post", "story", "text"}
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
+#: What an article below does not undo, beside tags other than a form's, roles and hidden elements.
+FIRM_NAMES = {
+    "comment", "comments", "disqus", "modal", "popup", "promo", "promoted", "related", "replies", "respond", "sponsor",
+    "sponsored", "teaser",
+}
+#: Names that tell how a page is laid out (such as "has-sidebar"), not what the element is.
+STATES = {"has", "is", "no", "with", "without"}
 _NAME = re.compile(r"[a-z]+")
+#: Weight of evidence against an element's content, and what is left of it for each element further down.
+AWAY, FADE = 12.0, 0.85
 #: Capacities are integers: a unit of evidence, and the ties between blocks.
 UNIT = 100
 NEXT_TIE, SIBLING_TIE = 60, 30
@@ -68,7 +80,9 @@ class Node:
     tag: str
     parent: Node | None
     depth: int
-    away: bool
+    away: float
+    #: Whether an article below is away too.
+    firm: bool
     home: bool
     silent: bool
 
@@ -80,22 +94,27 @@ class Block:
     linked: int
 
 
-def evidence(tag: str, attrs: dict[str, str | None], inside: bool) -> tuple[bool, bool]:
-    """Whether a tag with these attributes speaks against, or for, content below it.
+def evidence(tag: str, attrs: dict[str, str | None], inside: bool) -> tuple[bool, bool, bool]:
+    """Whether a tag with these attributes speaks against content below it, firmly so, or for it.
 
     `inside` an article a header holds its title; elsewhere it is the page's.
     """
-    names = set(_NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+    words = [_NAME.findall(x) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()]
+    names = {n for x in words if x and x[0] not in STATES for n in x}
     hidden = "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
     hidden |= "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
     if tag == "header":
         names.add("header")
     if inside:
         names.discard("header")
-    away = tag in AWAY_TAGS or hidden or bool(names & AWAY_NAMES) or (attrs.get("role") or "").lower() in AWAY_ROLES
-    home = tag in HOME_TAGS or bool(names & HOME_NAMES) or (attrs.get("role") or "").lower() in ("main", "article")
+    if tag in ("html", "body"):
+        names -= AWAY_NAMES
+    role = (attrs.get("role") or "").lower()
+    firm = hidden or tag in AWAY_TAGS - {"form"} or bool(names & FIRM_NAMES) or role in AWAY_ROLES - {"form"}
+    away = firm or tag == "form" or bool(names & AWAY_NAMES) or role == "form"
+    home = tag in HOME_TAGS or bool(names & HOME_NAMES) or role in ("main", "article")
     # An element that calls itself both (such as "article-comments") is judged by the narrower word.
-    return away, home and not away
+    return away, firm, home and not away
 
 
 class BlockReader(HTMLParser):
@@ -103,7 +122,7 @@ class BlockReader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("", None, 0, False, False, False)
+        self.root = Node("", None, 0, 0.0, False, False, False)
         self.node, self.holder = self.root, self.root
         self.blocks: list[Block] = []
         self.held: list[str] = []
@@ -145,8 +164,15 @@ class BlockReader(HTMLParser):
         if tag in VOID:
             return
         up = self.node
-        away, home = evidence(tag, dict(attrs), up.home) if attrs or tag not in INLINE else (False, False)
-        self.node = Node(tag, up, up.depth + 1, up.away or away, (up.home or home) and not away, up.silent or tag in SILENT)
+        values = dict(attrs)
+        away, firm, home = evidence(tag, values, up.home) if attrs or tag not in INLINE else (False, False, False)
+        # Firm evidence stays. Other evidence fades on its way down, and an article undoes what its ancestors' names say of the
+        # page's layout.
+        fresh = not up.firm and (tag in HOME_TAGS or (values.get("role") or "").lower() in ("main", "article"))
+        weight = AWAY if away or up.firm else 0.0 if fresh else up.away * (1 if tag in INLINE else FADE)
+        self.node = Node(
+            tag, up, up.depth + 1, weight, up.firm or firm, (up.home or home) and not away, up.silent or tag in SILENT
+        )
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -176,7 +202,7 @@ class BlockReader(HTMLParser):
             return
         if not self.held:
             at = self.node
-            while at.parent is not None and at.tag in INLINE and not at.away:
+            while at.parent is not None and at.tag in INLINE and at.away <= at.parent.away:
                 at = at.parent
             self.holder = at
         self.held.append(data)
@@ -196,8 +222,7 @@ def costs(block: Block) -> tuple[int, int]:
     """(cost of calling it boilerplate, cost of calling it content)."""
     content, boiler = 0.0, 0.0
     node = block.node
-    if node.away:
-        boiler += 12
+    boiler += node.away
     if node.home:
         content += 6
     density = min(1.0, block.linked / max(len(block.text), 1))
