@@ -23,5 +23,10 @@ def test_query(spark, con, name):
     assert difference(spark, con, FOLDER, queries()[name], oracle_sql()[name]) is None
 
 
+def test_station_hist_whole_is_in_order(spark):
+    rows = [(r["id"], r["name"]) for r in queries()["station_hist_whole"](spark, FOLDER).collect()]
+    assert len(rows) > 40 and rows == sorted(rows)
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0

@@ -873,6 +873,12 @@ def station_hist_order(spark, folder):
     return st.station_hist_sorted(_rides(spark, folder), "in").limit(40)
 
 
+@query
+def station_hist_whole(spark, folder):
+    """The whole name histogram in key order."""
+    return st.station_hist_sorted(_rides(spark, folder), "in")
+
+
 @query
 def modal_places(spark, folder):
     return st.modal_place(st.station_hist(_rides(spark, folder), "il"))

@@ -593,6 +593,7 @@ def oracle() -> dict[str, str]:
         ) + ") where empty = (filled > 0)"
     ).replace("select * from (select ym", "select ym, \"column\", filled from (select ym", 1)
     q["station_hist_order"] = _with("select id, name, cnt as count from hin order by id, name limit 40", ENDS)
+    q["station_hist_whole"] = _with("select id, name, cnt as count from hin", ENDS)
     q["modal_places"] = _with(
         """select id, lat, lng, mode_count, second, total - mode_count as restsum, total, mode_count / second as "first/second",
         mode_count / total as mode_pct, num from s join m using (id)""",
