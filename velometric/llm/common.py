@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,3 +64,31 @@ def slices(array: pa.Array, most: int = 2 << 20) -> Iterator[pa.Array]:
     cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(array)]
     for begin, end in zip(cuts, cuts[1:], strict=False):
         yield array.slice(begin, end - begin)
+
+
+class WordTable:
+    """What `make` gives for each of a list of words, kept for later lists.
+
+    The table is emptied before a list that finds it over `most` characters, so it holds that and one list's words.
+    """
+
+    def __init__(self, make: Callable[[list[str]], Iterable], most: int = 4 << 20) -> None:
+        self.make, self.most = make, most
+        self.known: dict[str, object] = {}
+        self.held = 0
+
+    def take(self, words: list[str]) -> list:
+        if self.held > self.most:
+            self.known.clear()
+            self.held = 0
+        known = self.known
+        fresh = [w for w in dict.fromkeys(words) if w not in known]
+        if fresh:
+            known.update(zip(fresh, self.make(fresh), strict=True))
+            self.held += sum(map(len, fresh))
+        return [known[w] for w in words]
+
+
+def decoded_texts(array: pa.Array) -> list[str]:
+    """The texts of a binary array; nulls are empty."""
+    return [str(x.as_buffer(), "utf-8", "replace") if x.is_valid else "" for x in array]

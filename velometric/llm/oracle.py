@@ -125,4 +125,21 @@ def _mixing() -> str:
       from ranked r join rates t on r.source is not distinct from t.source)"""
 
 
-ORACLE = {"op1_secrets": _secrets(), "op2_quality": _quality(), "op6_mixing": _mixing()}
+def _strata_rank() -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    terms = rf"regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""with docs as (select row_number() over () as r, doc_id, {terms} as terms from documents),
+    stats as (select count(*) filter (len(terms) > 0) as documents, coalesce(sum(len(terms)), 0)::bigint as length from docs),
+    held as (select r, term, count(*) as tf from (select r, unnest(terms) as term from docs) group by r, term),
+    asked as (select distinct item_id, unnest({terms}) as term from benchmark),
+    weighed as (select term, floor(1000 * ln((2 * documents + 2) / (2 * df + 1)::double))::bigint as w
+      from (select term, count(*) as df from held where term in (select term from asked) group by term), stats),
+    normed as (select r, doc_id, 100 - 50 + (50 * len(terms)::hugeint * documents) // greatest(length, 1) as m from docs, stats),
+    scored as (select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score
+      from asked join weighed using (term) join held using (term) join normed using (r) group by item_id, r, doc_id),
+    ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last)::integer as rank
+      from scored where score > 0)
+    select item_id, rank, doc_id, score from ranked where rank <= 50"""
+
+
+ORACLE = {"op1_secrets": _secrets(), "op2_quality": _quality(), "op6_mixing": _mixing(), "op11_strata_rank": _strata_rank()}

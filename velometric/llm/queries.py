@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from velometric.llm import (
+    byte_bpe,
     factor_machine,
     html_cut,
     mixing,
@@ -17,11 +18,14 @@ from velometric.llm import (
     secret_scan,
     sharding,
     simhash,
+    spelling,
+    strata_rank,
     token_counts,
 )
 from velometric.llm.common import read_table
 
 VOCABULARY = "word_bpe_49k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -75,10 +79,24 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path(VOCABULARY))
 
 
+def op11_strata_rank(spark: SparkSession, folder: str) -> DataFrame:
+    items = read_table(spark, folder, "benchmark").select("item_id", "text")
+    return strata_rank.digest(strata_rank.search(documents(spark, folder, "doc_id", "text"), items))
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, folder, "doc_id", "text"))
+
+
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text")
+    return byte_bpe.digest(byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secrets, op2_quality, op3_simhash, op4_multi_index, op5_bpe, op6_mixing, op7_sharding, op8_factor_machine,
-        op9_html, op10_token_counts,
+        op9_html, op10_token_counts, op11_strata_rank, op12_spelling, op13_byte_bpe,
     )
 }
