@@ -137,9 +137,8 @@ def encode_function(rank_file: str, pattern: str):
     @F.arrow_udf("array<int>")
     def encode(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(rank_file, pattern)
-        for array in arrays:
-            parts = [bpe.encode(decoded_texts(part)) for part in slices(array)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        for array in (part for whole in arrays for part in slices(whole)):
+            yield bpe.encode(decoded_texts(array))
 
     return encode
 
@@ -163,7 +162,7 @@ def decode_function(rank_file: str, pattern: str):
     @F.arrow_udf("binary")
     def decode(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(rank_file, pattern)
-        for array in arrays:
+        for array in (part for whole in arrays for part in slices(whole, 1 << 19)):
             yield bpe.decode(array)
 
     return decode

@@ -59,8 +59,12 @@ def packed(df: DataFrame, keep_key: bool = False) -> DataFrame:
 
 
 def slices(array: pa.Array, most: int = 2 << 20) -> Iterator[pa.Array]:
-    """A binary array in slices of about `most` bytes, so that what a function makes of one stays small."""
-    at = np.asarray(pc.fill_null(pc.binary_length(array), 0), dtype=np.int64).cumsum() // most
+    """A binary array in slices of about `most` bytes, so that what a function makes of one stays small.
+
+    Of an array of lists, `most` counts their values.
+    """
+    length = pc.list_value_length if pa.types.is_list(array.type) else pc.binary_length
+    at = np.asarray(pc.fill_null(length(array), 0), dtype=np.int64).cumsum() // most
     cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(array)]
     for begin, end in zip(cuts, cuts[1:], strict=False):
         yield array.slice(begin, end - begin)
@@ -72,7 +76,7 @@ class WordTable:
     The table is emptied before a list that finds it over `most` characters, so it holds that and one list's words.
     """
 
-    def __init__(self, make: Callable[[list[str]], Iterable], most: int = 4 << 20) -> None:
+    def __init__(self, make: Callable[[list[str]], Iterable], most: int = 1 << 20) -> None:
         self.make, self.most = make, most
         self.known: dict[str, object] = {}
         self.held = 0
