@@ -19,12 +19,14 @@ an empty table gives an empty one; other columns of any name take no part, as id
 from __future__ import annotations
 
 import base64
+import functools
 import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +51,18 @@ def merge_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | N
     return parts[0], parts[1]
 
 
+def rank_table(rank_file: str) -> dict[bytes, int]:
+    with open(rank_file, "rb") as file:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+
+
+def shown(token: bytes, letters: list[str]) -> str:
+    """A token as characters, one for each byte."""
+    return "".join([letters[b] for b in token])
+
+
 class ByteBpe:
-    """Encodes and decodes with a rank file; `pattern` splits texts before the merges."""
+    """Encodes with a rank file; `pattern` splits texts before the merges."""
 
     def __init__(self, rank_file: str, pattern: str) -> None:
         import os
@@ -58,15 +70,11 @@ class ByteBpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-        with open(rank_file, "rb") as file:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        letters = byte_letters()
-        shown = lambda token: "".join([letters[b] for b in token])
-        vocabulary = {shown(token): rank for token, rank in ranks.items()}
+        ranks, letters = rank_table(rank_file), byte_letters()
         pairs = (merge_pair(t, ranks) for t in sorted(ranks, key=ranks.get) if len(t) > 1)
-        merges = [(shown(a), shown(b)) for a, b in filter(None, pairs)]
+        merges = [(shown(a, letters), shown(b, letters)) for a, b in filter(None, pairs)]
         # A piece that is a token itself is taken whole, as rank files have it.
-        model = models.BPE(vocabulary, merges, ignore_merges=True, cache_capacity=0)
+        model = models.BPE({shown(t, letters): r for t, r in ranks.items()}, merges, ignore_merges=True, cache_capacity=0)
         self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [
@@ -74,12 +82,6 @@ class ByteBpe:
                 pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False),
             ]
         )
-        # The way back: characters to bytes, ids to the bytes of their characters.
-        byte_of = {letter: b for b, letter in enumerate(letters)}
-        tokens: list[bytes | None] = [None] * (max(vocabulary.values(), default=-1) + 1)
-        for text, i in vocabulary.items():
-            tokens[i] = bytes([byte_of[c] for c in text])
-        self.tokens = pa.array(tokens, pa.binary())
         self.ids = WordTable(lambda words: [np.array(e.ids, "<i4").tobytes() for e in self.encodings(words)])
         self.marked = WordTable(
             lambda words: [(np.array(e.ids, "<i4"), np.array(e.offsets, "<i4").reshape(-1, 2)) for e in self.encodings(words, True)]
@@ -109,26 +111,40 @@ class ByteBpe:
             at += len(word)
         return out
 
+
+class ByteTable:
+    """The way back: characters to bytes, ids to the bytes of their characters."""
+
+    def __init__(self, rank_file: str) -> None:
+        letters = byte_letters()
+        byte_of = {letter: b for b, letter in enumerate(letters)}
+        vocabulary = {shown(token, letters): i for token, i in rank_table(rank_file).items()}
+        tokens: list[bytes | None] = [None] * (max(vocabulary.values(), default=-1) + 1)
+        for text, i in vocabulary.items():
+            tokens[i] = bytes([byte_of[c] for c in text])
+        self.tokens = pa.array(tokens, pa.binary())
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Each list's bytes."""
         starts = np.asarray(ids.offsets, dtype=np.int64)
         taken = self.tokens.take(ids.values.slice(starts[0], starts[-1] - starts[0]))
         if taken.null_count:
             raise ValueError("an id without a token")
-        where = np.frombuffer(taken.buffers()[1], "<i4", len(taken) + 1, offset=0) if len(taken) else np.zeros(1, "<i4")
+        where = np.frombuffer(taken.buffers()[1], "<i4", len(taken) + 1) if len(taken) else np.zeros(1, "<i4")
         offsets = pa.array(where[starts - starts[0]], pa.int32())
         data = taken.buffers()[2] or pa.py_buffer(b"")
         out = pa.Array.from_buffers(pa.binary(), len(ids), [None, offsets.buffers()[1], data])
-        return out if not ids.null_count else pa.array([x if ok else None for x, ok in zip(out, ids.is_valid(), strict=True)], pa.binary())
+        return out if not ids.null_count else pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.binary()))
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
+@functools.cache
+def encoder(rank_file: str, pattern: str) -> ByteBpe:
+    return ByteBpe(rank_file, pattern)
 
 
-def loaded(rank_file: str, pattern: str) -> ByteBpe:
-    if (rank_file, pattern) not in _LOADED:
-        _LOADED[rank_file, pattern] = ByteBpe(rank_file, pattern)
-    return _LOADED[rank_file, pattern]
+@functools.cache
+def decoder(rank_file: str) -> ByteTable:
+    return ByteTable(rank_file)
 
 
 def encode_function(rank_file: str, pattern: str):
@@ -136,7 +152,7 @@ def encode_function(rank_file: str, pattern: str):
 
     @F.arrow_udf("array<int>")
     def encode(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = loaded(rank_file, pattern)
+        bpe = encoder(rank_file, pattern)
         for array in (part for whole in arrays for part in slices(whole)):
             yield bpe.encode(decoded_texts(array))
 
@@ -149,21 +165,21 @@ def spans_function(rank_file: str, pattern: str):
 
     @F.arrow_udf("array<struct<id:int,begin:int,end:int>>")
     def spans(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = loaded(rank_file, pattern)
+        bpe = encoder(rank_file, pattern)
         for array in arrays:
             yield pa.array([[dict(zip(("id", "begin", "end"), s, strict=True)) for s in bpe.spans(t)] for t in decoded_texts(array)], kind)
 
     return spans
 
 
-def decode_function(rank_file: str, pattern: str):
+def decode_function(rank_file: str):
     """Arrow function: ids to bytes."""
 
     @F.arrow_udf("binary")
     def decode(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = loaded(rank_file, pattern)
+        table = decoder(rank_file)
         for array in (part for whole in arrays for part in slices(whole, 1 << 19)):
-            yield bpe.decode(array)
+            yield table.decode(array)
 
     return decode
 
@@ -191,7 +207,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",
-        decode_function(rank_file, pattern)("ids").alias("decoded"),
+        decode_function(rank_file)("ids").alias("decoded"),
     )
 
 
