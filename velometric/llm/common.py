@@ -33,6 +33,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one computation, which can be removed once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` as `written` has it."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = path
+        self.tables.append(table)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            if path := self.paths.pop(id(table), None):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        """All tables but these."""
+        self.drop(*[t for t in self.tables if not any(t is k for k in kept)])
+
+
 def whole_text(column: str) -> Column:
     """A field of the packed `row` as text, null as empty."""
     return F.coalesce(F.col(f"row.`{column}`").cast("string"), F.lit(""))
@@ -76,12 +104,12 @@ class WordTable:
     The table is emptied before a list that finds it over `most` characters, so it holds that and one list's words.
     """
 
-    def __init__(self, make: Callable[[list[str]], Iterable], most: int = 1 << 20) -> None:
+    def __init__(self, make: Callable[[list], Iterable], most: int = 1 << 20) -> None:
         self.make, self.most = make, most
-        self.known: dict[str, object] = {}
+        self.known: dict[str | bytes, object] = {}
         self.held = 0
 
-    def take(self, words: list[str]) -> list:
+    def take(self, words: list) -> list:
         if self.held > self.most:
             self.known.clear()
             self.held = 0

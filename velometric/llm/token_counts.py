@@ -1,23 +1,29 @@
 """Token counts: batch encoding in an Arrow function that returns lengths only.
 
 Within a task, texts are cut into pieces of at most PIECE characters at white space, where no token of the vocabulary
-can lie across, and the pieces are encoded in batches of about BATCH_BYTES bytes, so a very long text neither makes one
-huge encoding nor shares a batch with thousands of others. Only the numbers leave Python.
-
-Defined results: a null text is empty and has no tokens; equal rows each get their row; an empty table gives an empty one.
+can lie across, and the pieces are taken in batches of about BATCH_BYTES bytes, so a very long text neither makes one
+huge encoding nor shares a batch with thousands of others. Of a batch the library encodes each distinct word (what lies
+between ASCII white space) once; its length is kept for later batches in a table that is emptied when full. Only the numbers
+leave Python.
+
+Defined results: a null text is empty and has no tokens; very long texts count whole, a word without white space is never cut;
+no order matters, so ties do not arise; equal rows each get their row; other columns of any name are packed away; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from velometric.llm.common import packed, text_bytes
+from velometric.llm.common import WordTable, decoded_texts, packed, slices, text_bytes
 
 PIECE = 32_768
 BATCH_BYTES = 1 << 20
@@ -66,15 +72,20 @@ def length_function(tokenizer_path: str):
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        for array in arrays:
-            counts = [0] * len(array)
-            texts = (x.as_buffer().to_pybytes().decode("utf-8", "replace") for x in array)
-            cut = ((row, piece) for row, text in enumerate(texts) for piece in pieces(text))
+
+        def measured(words: list[bytes]) -> list[int]:
+            return [len(e) for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+        table = WordTable(measured)
+        for array in (part for whole in arrays for part in slices(whole)):
+            counts = np.zeros(len(array), dtype=np.int64)
+            cut = ((row, piece) for row, text in enumerate(decoded_texts(array)) for piece in pieces(text))
             for batch in batches(cut):
-                done = tokenizer.encode_batch_fast([piece for _, piece in batch], add_special_tokens=False)
-                for (row, _), encoding in zip(batch, done, strict=True):
-                    counts[row] += len(encoding)
-            yield pa.array(counts, pa.int64())
+                words = [piece.encode().split() for _, piece in batch]
+                taken = np.array([0, *table.take(list(itertools.chain.from_iterable(words)))], dtype=np.int64).cumsum()
+                ends = np.cumsum([0, *map(len, words)])
+                np.add.at(counts, [row for row, _ in batch], np.diff(taken[ends]))
+            yield pa.array(counts)
 
     return lengths
 
