@@ -14,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from velometric.llm import similar_sets
 from velometric.llm.oracle import ORACLE
 
 FOLDER = f"{os.environ.get('TESTDATA_ROOT', '/root/testdata')}/sf0.001"
@@ -55,8 +56,8 @@ def test_pipeline(spark):
     docs = duckdb.sql(f"select * from '{FOLDER}/documents.parquet'").df()
     kept = sql("op2_quality", docs).query("kept")["doc_id"]
     docs = docs[docs["doc_id"].isin(kept)]
-    classes = brute.components([(i, brute.fingerprint(t)) for i, t in zip(docs["doc_id"], docs["text"], strict=True)])
-    docs = masked(docs[[classes[i] == i for i in docs["doc_id"]]])
+    docs = docs.sort_values("doc_id").reset_index(drop=True)
+    docs = masked(docs.iloc[sorted(set(similar_classes(docs["text"])))].reset_index(drop=True))
     copies = sql("op6_mixing", docs).set_index("doc_id")["copies"]
     tokenizer, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
     for i, text in zip(docs["doc_id"], docs["text"], strict=True):
@@ -129,3 +130,53 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs, place, kind):
     if place < len(corpus_pipeline.STAGES) - 1:
         assert out.schema.simpleString() == docs.schema.simpleString()
     assert bool(rows) == (kind == "odd")
+
+
+def test_shared_passage_costs_nothing(spark):
+    """One passage in thousands of otherwise different texts makes next to no buckets, however many they are."""
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"common{i}" for i in range(40))
+    for count in (1000, 4000):
+        rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 60)) + " " + passage) for i in range(count)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        source = docs.selectExpr("doc_id id", "doc_id low", "doc_id high", "cast(text as binary) text")
+        schema = "id long, low long, high long, node long, n long, fp long, stripe int, counts array<long>"
+        sketch = similar_sets.frequency_sketch(source.mapInArrow(similar_sets.set_function(5, 1 << 20), schema), 1 << 20)
+        prefixes = source.select("text").mapInArrow(similar_sets.prefix_function(5, 0.8, sketch), "node long, prefix array<long>")
+        assert sketch.sum() == count * 96
+        assert similar_sets.buckets(prefixes, sketch).count() < count / 20
+
+
+@pytest.mark.parametrize("share, tile", [(1 << 14, 4096), (8, 16)])
+def test_families_of_copies(spark, monkeypatch, share, tile):
+    """Chains, families of near copies and pairs just below the similarity, with buckets and centres split and whole."""
+    monkeypatch.setattr(similar_sets, "SHARE", share)
+    rng = np.random.default_rng(9)
+    texts = near_copies()
+    base = [f"hub{i}" for i in range(200)]
+    for _ in range(150):
+        words = list(base)
+        for at in rng.integers(0, 200, int(rng.integers(1, 8))):
+            words[at] = f"own{rng.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    for _ in range(30):
+        # A chain: each text changes a word of the one before.
+        base = list(base)
+        base[int(rng.integers(0, 200))] = f"link{rng.integers(1 << 30)}"
+        texts.append(" ".join(base))
+    texts += ["a b c d e f", "a b c d e g", "short", "Short", "", None, "short one"] + texts[:3]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r["id"]: r["root"] for r in similar_sets.similar(docs, tile=tile).collect()}
+    want = similar_classes(texts)
+    pairs = {(found[i], want[i]) for i in range(len(texts))}
+    assert len(pairs) == len(set(want)) == len(set(found.values()))
+
+
+def test_sketch_only_orders(spark):
+    """However small the sketch is, no pair is lost."""
+    rows = list(enumerate(near_copies()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["id"]: r["root"] for r in similar_sets.similar(docs, width=similar_sets.STRIPE).collect()}
+    want = similar_classes([t for _, t in rows])
+    assert len({(found[i], want[i]) for i, _ in rows}) == len(set(want)) == len(set(found.values()))

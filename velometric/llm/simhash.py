@@ -356,125 +356,6 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     return kept.where("n = 1").select("row.*")
 
 
-# Classes by similarity
-
-
-def set_function(shingle: int, similarity: float):
-    """Arrow function: texts (binary) to `node`, which names the set of shingles, its size `n`, and the set's `prefix`.
-
-    Sets of a similarity s or more share at least s times the size of either. So of the least n - ceil(s n) + 1 hashes of the
-    one, some are among as many of the other. An empty set has the prefix 0.
-    """
-
-    @F.arrow_udf("node bigint, n bigint, prefix array<bigint>")
-    def sets(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for array in (part for whole in arrays for part in slices(whole)):
-            nodes, sizes, prefixes = [], [], []
-            for x in array:
-                hashes = shingle_hashes(x.as_buffer().to_pybytes(), shingle)
-                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-                sizes.append(len(hashes))
-                # A hair is taken off, so that rounding never shortens a prefix.
-                least = int(np.ceil(similarity * len(hashes) - 1e-9))
-                prefixes.append(hashes[: len(hashes) - least + 1] if len(hashes) else np.zeros(1, np.int64))
-            offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
-            node = pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))
-            yield pa.StructArray.from_arrays([node, pa.array(sizes, pa.int64()), lists], names=["node", "n", "prefix"])
-
-    return sets.asNondeterministic()
-
-
-def hash_function(shingle: int):
-    """Arrow function: texts (binary) to their shingles' hashes."""
-
-    @F.arrow_udf("array<bigint>")
-    def hashes(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for array in (part for whole in arrays for part in slices(whole)):
-            yield pa.array([shingle_hashes(x.as_buffer().to_pybytes(), shingle) for x in array], pa.list_(pa.int64()))
-
-    return hashes.asNondeterministic()
-
-
-def possible(pairs: DataFrame, similarity: float) -> DataFrame:
-    """(v, w) of `pairs` (v, w, n_v, n_w; a row for each shared hash of their prefixes) that can have this similarity.
-
-    Below the lesser end of the two prefixes a shared hash is in both, above it at most the rest of one set is shared.
-    """
-    counted = pairs.groupBy("v", "w", "n_v", "n_w").agg(F.count("*").alias("shared"))
-    rest = F.ceil(F.lit(similarity) * F.greatest("n_v", "n_w") - 1e-9) - 1
-    needed = F.lit(similarity / (1 + similarity)) * (F.col("n_v") + F.col("n_w")) - 1e-9
-    fits = F.least("n_v", "n_w") >= F.lit(similarity) * F.greatest("n_v", "n_w") - 1e-9
-    return counted.where(fits & (F.col("shared") + rest >= needed)).select("v", "w")
-
-
-def confirmed(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The (v, w) of `pairs` whose sets have at least this Jaccard similarity.
-
-    `rows` has the `node` and `key` of every row and `texts` (low, high, text) its text, of which one a set is read.
-    """
-    nodes = written(pairs.select(F.explode(F.array("v", "w")).alias("node")).distinct(), "simhash-nodes")
-    wanted = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    wanted = written(wanted.select("node", "key.low", "key.high"), "simhash-wanted")
-    found = texts.join(wanted, ["low", "high"]).dropDuplicates(["node"])
-    sets = written(found.select("node", hash_function(shingle)("text").alias("hashes")), "simhash-hashes")
-    left = sets.select(F.col("node").alias("v"), F.col("hashes").alias("a"))
-    right = sets.select(F.col("node").alias("w"), F.col("hashes").alias("b"))
-    shared, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-    near = pairs.join(left, "v").join(right, "w").where((1 + similarity) * shared >= similarity * total - 1e-9)
-    return near.select("v", "w")
-
-
-def similar(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """One row per input row: `id`, its row `key` and the `root` of its class under Jaccard similarity of word shingles.
-
-    Classes are the connected parts of all pairs of that similarity or more. Equal sets are first made one. Pairs that share a
-    hash of their prefixes are candidates, and no similar pair is without one; those that share too few are left out. In the
-    first round each set is paired with the least of its bucket alone, so many copies of one text cost a link each; in the
-    second with every set of a bucket that is still in another class. Every link is confirmed by the exact similarity.
-    """
-    parts = set_function(shingle, similarity)(text_bytes(text_col))
-    rows = packed(docs, keep_key=True).select(F.col(f"row.`{id_col}`").alias("id"), "key", parts.alias("part"))
-    rows = written(rows.select("id", "key", "part.*"), "simhash-sets")
-    hashed = rows.select("node", "n", F.explode("prefix").alias("h"))
-    # Of a bucket: the least and the largest set, which differ unless it has one alone; a map-side aggregation.
-    ends = hashed.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    shared = written(ends.select("h"), "simhash-shared")
-    buckets = written(hashed.join(shared, "h").distinct(), "simhash-buckets")
-    ends = buckets.groupBy("h").agg(F.min(F.struct("node", "n")).alias("end"))
-    stars = buckets.join(ends, "h").where("node <> end.node")
-    stars = stars.select(F.col("end.node").alias("v"), F.col("node").alias("w"), F.col("end.n").alias("n_v"), F.col("n").alias("n_w"))
-    stars = written(possible(stars, similarity), "simhash-stars")
-    texts = packed(docs, keep_key=True).select(
-        F.col("key.low").alias("low"), F.col("key.high").alias("high"), text_bytes(text_col).alias("text")
-    )
-    links = written(confirmed(stars, rows, texts, shingle, similarity), "simhash-confirmed")
-    first = written(roots(links), "simhash-first")
-    # Sets of one bucket that the first round left in different classes.
-    named = buckets.join(first.withColumnRenamed("fp", "node"), "node", "left")
-    named = written(named.select("h", "node", "n", F.coalesce("root", "node").alias("root")), "simhash-named")
-    split = named.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    apart = written(named.join(split, "h", "left_semi"), "simhash-apart")
-    left = apart.select("h", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
-    right = apart.select("h", F.col("node").alias("w"), F.col("n").alias("n_w"), F.col("root").alias("root_w"))
-    near = F.least("n_v", "n_w") >= F.lit(similarity) * F.greatest("n_v", "n_w") - 1e-9
-    across = left.join(right, "h").where((F.col("v") < F.col("w")) & (F.col("root_v") != F.col("root_w")) & near)
-    pairs = written(possible(across, similarity), "simhash-across")
-    more = confirmed(pairs, rows, texts, shingle, similarity)
-    root = written(roots(links.unionAll(more)), "simhash-classes").withColumnRenamed("fp", "node")
-    return rows.select("id", "key", "node").join(root, "node", "left").select("id", "key", F.coalesce("root", "node").alias("root"))
-
-
-def keep_one_similar(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """`keep_one` with the classes of `similar`."""
-    return first_of_each(docs, similar(docs, id_col, text_col, shingle, similarity))
-
-
 def digest(rows: DataFrame) -> DataFrame:
     """The contract's columns from `near_duplicates`."""
     bits = F.lpad(F.lower(F.hex("fp")), 16, "0")
