@@ -140,7 +140,7 @@ def test_shared_passage_costs_nothing(spark):
         rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 60)) + " " + passage) for i in range(count)]
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         source = docs.selectExpr("doc_id id", "doc_id low", "doc_id high", "cast(text as binary) text")
-        schema = "id long, low long, high long, node long, n long, fp long, stripe int, counts array<long>"
+        schema = "id long, low long, high long, node long, n long, fp long, map binary, stripe int, counts array<long>"
         sketch = similar_sets.frequency_sketch(source.mapInArrow(similar_sets.set_function(5, 1 << 20), schema), 1 << 20)
         prefixes = source.select("text").mapInArrow(similar_sets.prefix_function(5, 0.8, sketch), "node long, prefix array<long>")
         assert sketch.sum() == count * 96
