@@ -88,6 +88,27 @@ def resum(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
+def signed(table: DataFrame, sign: int) -> DataFrame:
+    """A rollup's counts and sums times +1 or -1."""
+    return table.withColumns({c: F.col(c) * sign for c in ("Count", "Duration") if c in table.columns})
+
+
+def merge_signed(table: DataFrame, *changes: DataFrame) -> DataFrame:
+    """A rollup with signed changes of the same columns added; keys whose count comes to nothing go.
+
+    Counts and sums invert, so an old contribution is taken out without the rides of other sources. One aggregation with
+    map-side combination; a count below zero means that the change is not of this table and is an error.
+    """
+    sums = [c for c in ("Count", "Duration") if c in table.columns]
+    keys = [c for c in table.columns if c not in sums]
+    rows = table
+    for change in changes:
+        rows = rows.unionByName(change.select(*table.columns))
+    total = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).where(F.col("Count") != 0)
+    message = F.concat(F.lit("a change takes out more rides than there are: "), F.to_json(F.struct(*keys)))
+    return total.withColumn("Count", F.when(F.col("Count") < 0, F.raise_error(message).cast("long")).otherwise(F.col("Count")))
+
+
 def dashboard_records(ymrgtb_cd: DataFrame) -> DataFrame:
     """Relabelled, renamed and sorted records; an unknown user type is an error."""
     user = lookup(

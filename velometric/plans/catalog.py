@@ -806,6 +806,12 @@ def month_rebuild(spark, folder):
     return roundtrip.month_rebuild(spark, raw.withColumn("src_ym", yyyymm(F.col("started_at"))))
 
 
+@query
+def rollup_delta(spark, folder):
+    raw = _raw(spark, folder)
+    return roundtrip.rollup_delta(spark, raw.withColumn("src_ym", yyyymm(F.col("started_at"))))
+
+
 @query
 def ride_order(spark, folder):
     parts = with_part_keys(_rides(spark, folder)).withColumn("src_ym", F.col("start_ym"))
@@ -869,8 +875,8 @@ def month_columns(spark, folder):
 
 @query
 def station_hist_order(spark, folder):
-    """The first entries of the name histogram in key order."""
-    return st.station_hist_sorted(_rides(spark, folder), "in").limit(40)
+    """The name histogram in key order."""
+    return st.station_hist_sorted(_rides(spark, folder), "in")
 
 
 @query

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from velometric.operators.backfill import backfill
 from velometric.operators.conform import conform, union_regions, with_part_keys
-from velometric.operators.dedupe import assert_unique_key, exact_dedupe, merge_pairs, ride_columns_only
+from velometric.operators.dedupe import assert_unique_key, exact_dedupe, merge_pairs, ride_columns_only, ride_key
 from velometric.operators.rollup import STANDARD_ROLLUPS, dashboard_records, rollup
 from velometric.operators.stations import pair_counts, pair_maps, station_index, stations
 from velometric.schema import BACKFILL_MONTHS
+from velometric.sinks.journal import folders, fresh, note, noted, remove, whole
 from velometric.sinks.writers import (
+    PART_KEYS,
+    finish_swaps,
     save,
     stored,
     write_by_month,
@@ -73,6 +77,37 @@ def consolidated(
     return distinct.select(*ride_columns_only(distinct).columns, F.col("stop_ym").alias("ym"))
 
 
+MONTHS = "kind string, ym int"
+
+
+def stop_months(parts: DataFrame, src_months: Collection[int]) -> set[int]:
+    own = parts.where(F.col("src_ym").isin(sorted(src_months)))
+    return {r["stop_ym"] for r in own.select("stop_ym").distinct().collect()}
+
+
+def rebuild_months(spark: SparkSession, root: str, parts: DataFrame, months: Collection[int], old: DataFrame | None = None) -> DataFrame:
+    """Consolidate stop months anew from the written parts; ride keys are verified before anything is replaced."""
+    table = consolidated(parts.where(F.col("stop_ym").isin(sorted(months))), old)
+    write_by_month(table, f"{root}/rides", verify=assert_unique_key, months=sorted(months))
+    return stored(spark, f"{root}/rides", table.schema)
+
+
+def resume_build(spark: SparkSession, root: str, schema: T.StructType, old: DataFrame | None = None) -> None:
+    """Finish what a stopped build left: swaps that were noted, then the stop months of its note."""
+    open_notes = folders(spark, root, "_build-")
+    if not open_notes:
+        return
+    parts_path = f"{root}/normalized"
+    parts = stored(spark, parts_path, schema)
+    finish_swaps(spark, parts_path, PART_KEYS, ride_key(parts), schema)
+    parts = stored(spark, parts_path, schema)
+    left = [row for path in open_notes if whole(spark, path) for row in noted(spark, path, MONTHS)]
+    touched = {ym for kind, ym in left if kind == "stop"} | stop_months(parts, {ym for kind, ym in left if kind == "src"})
+    rebuild_months(spark, root, parts, touched, old)
+    for path in open_notes:
+        remove(spark, path)
+
+
 def build_rides(
     spark: SparkSession,
     raws: Sequence[tuple[DataFrame, str]],
@@ -83,24 +118,26 @@ def build_rides(
     """Write the normalised parts, then the consolidated months they touch; returns the latter.
 
     Touched are the stop months of the source months before and after: a month that a rebuild no longer reaches is
-    rebuilt from what other source months have for it, and goes when that is nothing. Reading the written parts back
-    cuts the lineage at a durable table and lets the consolidated step prune by month. Ride keys are verified on the
-    written months, from their key columns, before those replace the table's.
+    rebuilt from what other source months have for it, and goes when that is nothing. Which source months are written and
+    which stop months they had is noted durably before the parts change; a build that finds the note of a stopped one
+    finishes that first. Reading the written parts back cuts the lineage at a durable table and lets the consolidated
+    step prune by month. Ride keys are verified on the written months, from their key columns, before those replace the
+    table's.
     """
-    parts_path, rides_path = f"{root}/normalized", f"{root}/rides"
+    parts_path = f"{root}/normalized"
     rides = normalized(raws)
+    resume_build(spark, root, rides.schema, old)
 
-    def stop_months() -> set[int]:
-        own = stored(spark, parts_path, rides.schema).where(F.col("src_ym").isin(list(src_months)))
-        return {r["stop_ym"] for r in own.select("stop_ym").distinct().collect()}
+    def touched_now() -> set[int]:
+        return stop_months(stored(spark, parts_path, rides.schema), src_months)
 
-    touched = stop_months()
+    touched, own_note = touched_now(), fresh(root, "_build-")
+    note(spark, own_note, [*(("src", m) for m in src_months), *(("stop", m) for m in sorted(touched))], MONTHS)
     write_ride_parts(rides, parts_path, src_months)
-    touched |= stop_months()
-    parts = stored(spark, parts_path, rides.schema)
-    table = consolidated(parts.where(F.col("stop_ym").isin(sorted(touched))), old)
-    write_by_month(table, rides_path, verify=assert_unique_key, months=sorted(touched))
-    return stored(spark, rides_path, table.schema).where(F.col("ym").isin(sorted(touched)))
+    touched |= touched_now()
+    table = rebuild_months(spark, root, stored(spark, parts_path, rides.schema), touched, old)
+    remove(spark, own_note)
+    return table.where(F.col("ym").isin(sorted(touched)))
 
 
 def build_rollups(rides: DataFrame, root: str, months: Sequence[int] | None = None) -> None:

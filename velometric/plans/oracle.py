@@ -560,6 +560,7 @@ def oracle() -> dict[str, str]:
         """select ym, count(*) as n from t where y * 100 + mo > (select min(year(started_at) * 100 + month(started_at)) from raw)
         or ym <= (select min(year(started_at) * 100 + month(started_at)) from raw) group by ym"""
     )
+    q["rollup_delta"] = _rollup(_cols("rymgtb"), "cd", True)
     q["ride_order"] = _with("select ym as stop_ym, count(*) as n, 0 as out_of_order from t group by ym")
     sides = " full join ".join(
         f"""(select 202001 as src_ym, year("Start Time") * 100 + month("Start Time") as start_ym,
@@ -592,7 +593,7 @@ def oracle() -> dict[str, str]:
             f"""select ym, '{c}' as "column", count("{c}") as filled, {unfilled.get(c, 'false')} as empty from t group by ym""" for c in cols
         ) + ") where empty = (filled > 0)"
     ).replace("select * from (select ym", "select ym, \"column\", filled from (select ym", 1)
-    q["station_hist_order"] = _with("select id, name, cnt as count from hin order by id, name limit 40", ENDS)
+    q["station_hist_order"] = _with("select id, name, cnt as count from hin", ENDS)
     q["station_hist_whole"] = _with("select id, name, cnt as count from hin", ENDS)
     q["modal_places"] = _with(
         """select id, lat, lng, mode_count, second, total - mode_count as restsum, total, mode_count / second as "first/second",

@@ -15,7 +15,8 @@ from velometric.operators.stations import (
     station_index,
     stations,
 )
-from velometric.plans.monthly import build_rides, build_sorted_csvs
+from velometric.plans.deltas import apply_changes
+from velometric.plans.monthly import build_rides, build_rollups, build_sorted_csvs
 from velometric.plans.publishing import both_member_types, mixed_layouts, publish
 from velometric.schema import FIRST_MONTH
 from velometric.session import scratch_path
@@ -34,7 +35,7 @@ from velometric.sinks.writers import (
 from velometric.sources.archives import read_archives
 from velometric.sources.documents import read_pair_json, read_records, read_station_json
 from velometric.sources.files import read_rides, read_trip_csv
-from velometric.sources.manifest import rides_after
+from velometric.sources.manifest import changed_months, manifest_diff, rides_after
 
 
 def _as_text(raw: DataFrame) -> DataFrame:
@@ -121,6 +122,30 @@ def month_rebuild(spark: SparkSession, raws: DataFrame) -> DataFrame:
     return spark.read.parquet(f"{root}/rides").groupBy("ym").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rollup_delta(spark: SparkSession, raws: DataFrame) -> DataFrame:
+    """Rollups after some source files changed: the changed months found by manifest and carried over as signed deltas.
+
+    At first the files of every fourth source month lack a third of their rides and one month is not there at all.
+    """
+    root = scratch_path(spark, "deltas")
+    months = sorted(r[0] for r in raws.select("src_ym").distinct().collect())
+    short = F.col("src_ym").isin(months[1::4]) & (F.col("ride_id").cast("bigint") % 3 == 0)
+    first = raws.where(~short & (F.col("src_ym") != months[-1]))
+
+    def by_region(rows: DataFrame) -> list[tuple[DataFrame, str]]:
+        return [(rows.where(F.col("src_region") == r).drop("src_region"), r) for r in FIRST_MONTH]
+
+    def manifest(rows: DataFrame) -> DataFrame:
+        files = rows.groupBy("src_ym", "src_region").agg(F.sum(F.col("ride_id").cast("bigint")).cast("string").alias("etag"))
+        return files.select(F.concat_ws("-", "src_region", "src_ym", F.lit("trips.zip")).alias("path"), "etag")
+
+    build_rollups(build_rides(spark, by_region(first), root, months[:-1]), root)
+    changed = changed_months(manifest_diff(manifest(first), manifest(raws)))
+    apply_changes(spark, by_region(raws.where(F.col("src_ym").isin(changed))), root, changed)
+    table = spark.read.parquet(f"{root}/aggregated/ymrgtb_cd")
+    return table.select("ym", *[c for c in table.columns if c != "ym"])
+
+
 def ride_order(spark: SparkSession, parts: DataFrame) -> DataFrame:
     """Rides per stop month as written, and how many of them stand before a smaller one in their file."""
     root = scratch_path(spark, "ordered")

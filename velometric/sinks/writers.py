@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -13,16 +12,11 @@ from pyspark.sql import types as T
 from velometric.operators.conform import conform, with_part_keys
 from velometric.operators.dedupe import ride_key
 from velometric.schema import HEADER_ALIASES, TIME_COLUMNS, squash_header
+from velometric.sinks.journal import exists, folders, fresh, note, noted, remove, whole
 
 PART_KEYS = ["src_ym", "start_ym", "stop_ym"]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that holds nothing of the table any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def stored(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A Parquet table, empty where it has not been written or has no part left."""
     try:
@@ -51,10 +45,12 @@ def _swap_in(
     `replaced` names values of the first key whose partitions go when nothing was written for them; by default only the
     written ones are replaced. The table is written by Spark's own committer with dynamic overwrite. The staging table is
     removed last: until then every row is in one place that is whole, and a failure leaves it to start again from.
-    Partitions without new rows are removed only after that commit.
+    Partitions without new rows are removed only after that commit. A note of what goes where is written before the table is
+    touched; the next write to this root finishes what such a note left open.
     """
     spark, root = df.sparkSession, root.rstrip("/")
-    staging = f"{root}/_staging-{uuid.uuid4().hex}"
+    finish_swaps(spark, root, keys, order, df.schema)
+    staging = fresh(root, "_staging-")
 
     def arranged(rows: DataFrame) -> DataFrame:
         return rows.hint("rebalance", *keys).sortWithinPartitions(*keys, *order)
@@ -65,23 +61,44 @@ def _swap_in(
         try:
             verify(staged)
         except BaseException:
-            _remove(spark, staging)
+            remove(spark, staging)
             raise
-    fresh = _parts(staged, keys)
+    now = _parts(staged, keys)
     emptied: set[tuple] = set()
     if replaced is not None:
         old = stored(spark, root, df.schema).where(F.col(keys[0]).isin(list(replaced)))
-        emptied = _parts(old, keys) - fresh
-    (
-        arranged(staged)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys)
-        .parquet(root)
-    )
-    for part in sorted(emptied):
-        _remove(spark, "/".join([root, *(f"{k}={v}" for k, v in zip(keys, part, strict=True))]))
-    _remove(spark, staging)
+        emptied = _parts(old, keys) - now
+    paths = ["/".join(f"{k}={v}" for k, v in zip(keys, part, strict=True)) for part in sorted(emptied)]
+    swap = fresh(root, "_swap-")
+    note(spark, swap, [(staging.rsplit("/", 1)[1], None), *((None, path) for path in paths)], SWAP)
+    _swap(arranged(staged), root, keys, paths)
+    remove(spark, staging)
+    remove(spark, swap)
+
+
+SWAP = "staging string, emptied string"
+
+
+def _swap(rows: DataFrame, root: str, keys: Sequence[str], emptied: Sequence[str]) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(root)
+    for part in emptied:
+        remove(rows.sparkSession, f"{root}/{part}")
+
+
+def finish_swaps(spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[str], schema: T.StructType) -> None:
+    """Repeat swaps that a stopped job left open; their staging tables are whole. What was never noted goes."""
+    for swap in folders(spark, root, "_swap-"):
+        if whole(spark, swap):
+            rows = noted(spark, swap, SWAP)
+            staging = next(f"{root}/{name}" for name, _ in rows if name)
+            if exists(spark, staging):
+                staged = spark.read.schema(schema).parquet(staging)
+                staged = staged.hint("rebalance", *keys).sortWithinPartitions(*keys, *order)
+                _swap(staged, root, keys, [part for _, part in rows if part])
+                remove(spark, staging)
+        remove(spark, swap)
+    for staging in folders(spark, root, "_staging-"):
+        remove(spark, staging)
 
 
 def write_ride_parts(rides: DataFrame, root: str, src_months: Sequence[int]) -> None:

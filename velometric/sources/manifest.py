@@ -57,6 +57,14 @@ def to_import(diff: DataFrame) -> DataFrame:
     return diff.where(F.col("status").isin("new", "changed")).select("path")
 
 
+def changed_months(diff: DataFrame) -> list[int]:
+    """Source months whose files are new, changed or gone; the month is the first six digits of a file's name."""
+    name = F.element_at(F.split("path", "/"), -1)
+    month = F.regexp_extract(name, r"(\d{6})", 1)
+    found = diff.where((F.col("status") != "same") & (month != "")).select(month.cast("int").alias("ym")).distinct()
+    return sorted(r["ym"] for r in found.collect())
+
+
 def month_regions(manifest: DataFrame) -> DataFrame:
     """Per month: regions present, regions expected, and whether the month is complete."""
     expected = sum((F.col("ym") >= first).cast("int") for first in FIRST_MONTH.values())
