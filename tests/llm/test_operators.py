@@ -138,6 +138,45 @@ def test_fences_follow_the_group(spark):
     assert {r["source"]: r["count"] for r in got} == {"calm": 400, "loud": 400}
 
 
+def habits(share, kind):
+    """Texts with about this many words in a hundred that are symbols, repeats, repeated lines, capitals, or long words."""
+    rng = np.random.default_rng(share)
+    texts = []
+    for i in range(300):
+        words = [f"{chr(97 + int(x) % 26)}{chr(97 + int(x) // 26 % 26)}x{i}q{j}"[:9] for j, x in enumerate(rng.integers(0, 676, 100))]
+        n = max(1, int(rng.normal(share, share / 8)))
+        lines = [words[k : k + 5] for k in range(0, 100, 5)]
+        if kind == "symbols":
+            lines += [["#"] * n]
+        elif kind == "repeats":
+            lines += [lines[0]] and [words[:3] + [f"s{i}z{k}"] for k in range(n)]
+        elif kind == "lines":
+            lines += [["same", f"line{i}"]] * n
+        elif kind == "capitals":
+            lines = [[w.upper() if 5 * a + b < n else w for b, w in enumerate(line)] for a, line in enumerate(lines)]
+        else:
+            lines = [[w + "e" * share + "i" * (i % 2) * (a == 0) for w in line] for a, line in enumerate(lines)]
+        texts.append("\n".join(map(" ".join, lines)))
+    return texts
+
+
+@pytest.mark.parametrize(
+    "kind, rule", [("symbols", "symbol_share"), ("repeats", "repeat_share"), ("lines", "dup_line_share"), ("capitals", "upper_share"), ("length", "word_length")]
+)
+def test_every_fence_adapts(spark, kind, rule):
+    """What is a habit of one source is junk in another, for every rule; most texts stay in both."""
+    few, many = habits(3, kind), habits(24, kind)
+    rows = [(i, t, "en", "few") for i, t in enumerate(few)] + [(1000 + i, t, "en", "many") for i, t in enumerate(many)]
+    rows += [(5000 + i, t, "en", "few") for i, t in enumerate(many[:10])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_report(docs).collect()}
+    limits = {r["source"]: r[f"upper_{rule}"] for r in quality_rules.fences(quality_rules.measured(docs, "text", "lang", "source")).collect()}
+    assert limits["few"] < limits["many"]
+    assert not any(got[5000 + i]["kept"] for i in range(10)) and not any(got[5000 + i]["base_failed"] for i in range(10))
+    assert np.mean([got[i]["kept"] for i in range(300)]) > 0.95
+    assert np.mean([got[1000 + i]["kept"] for i in range(300)]) > 0.95
+
+
 # SimHash
 
 

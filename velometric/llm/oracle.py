@@ -47,22 +47,27 @@ def _secrets() -> str:
 
 
 def _quality() -> str:
-    rules = {"symbol_share": 5, "dup_line_share": 60, "repeat_share": 80, "upper_share": 15, "word_length": 60}
+    rules = ["symbol_share", "dup_line_share", "repeat_share", "upper_share", "word_length"]
     stacked = " union all ".join(
         f"select lang, source, '{r}' as rule, case when {r} < 1024 then {r} else "
         f"(({r} // (1::bigint << (length(bin({r})) - 10)::integer)) * (1::bigint << (length(bin({r})) - 10)::integer)) end as bucket "
-        "from shares where not base_failed"
+        f"from shares where not base_failed{f' and {r} > 0' if r in ('dup_line_share', 'repeat_share') else ''}"
         for r in rules
     )
 
     def quantiles(name: str, keys: str) -> str:
         by = f"{keys}, rule" if keys else "rule"
         at = lambda q: f"min(bucket) filter (where seen >= {q} * total)"
-        return f"""{name} as (select {by}, any_value(total) as total, {at('0.1')} as q10, {at('0.5')} as q50 from (
+        return f"""{name} as (select *, q50 + 12 * greatest(q75 - q50, least) as upper, q50 - 12 * greatest(q50 - q25, least) as lower from (
+          select *, case when rule in ('dup_line_share', 'repeat_share') then greatest(1, q50 // 8) else 1 end as least from (
+          select {by}, any_value(total)::bigint as total, {at('0.25')} as q25, {at('0.5')} as q50, {at('0.75')} as q75 from (
           select *, sum(n) over (partition by {by} order by bucket) as seen, sum(n) over (partition by {by}) as total from (
-            select {by}, bucket, count(*) as n from stacked group by {by}, bucket)) group by {by})"""
+            select {by}, bucket, count(*) as n from stacked group by {by}, bucket)) group by {by})))"""
+
+    def blended(side: str) -> str:
+        language = f"coalesce((b.total * b.{side} + 10 * c.{side}) // (b.total + 10), c.{side})"
+        return f"coalesce((a.total * a.{side} + 10 * {language}) // (a.total + 10), {language}) as {side}"
 
-    least = " ".join(f"when '{r}' then {v}" for r, v in rules.items())
     fits = " and ".join(
         f"coalesce(bool_and({r} <= upper) filter (where rule = '{r}'), true)"
         + (f" and coalesce(bool_and({r} >= lower) filter (where rule = '{r}'), true)" if r == "word_length" else "")
@@ -89,14 +94,10 @@ def _quality() -> str:
       case when n_words > 0 then 100 * word_chars // n_words else 0 end as word_length from counts),
     stacked as ({stacked}),
     {quantiles('own', 'lang, source')}, {quantiles('language', 'lang')}, {quantiles('corpus', '')},
-    keys as (select * from (select distinct lang, source from shares) cross join (select unnest({list(rules)}) as rule)),
-    picked as (select k.lang, k.source, k.rule,
-      case when a.total >= 200 then a.q10 when b.total >= 200 then b.q10 else c.q10 end as q10,
-      case when a.total >= 200 then a.q50 when b.total >= 200 then b.q50 else c.q50 end as q50
+    keys as (select * from (select distinct lang, source from shares) cross join (select unnest({rules}) as rule)),
+    fences as (select k.lang, k.source, k.rule, {blended('upper')}, {blended('lower')}
       from keys k left join own a on k.lang is not distinct from a.lang and k.source is not distinct from a.source and k.rule = a.rule
-      left join language b on k.lang is not distinct from b.lang and k.rule = b.rule left join corpus c on k.rule = c.rule),
-    fences as (select lang, source, rule, q50 + 6 * greatest(q50 - q10, case rule {least} end) as upper,
-      q50 - 6 * greatest(q50 - q10, case rule {least} end) as lower from picked)
+      left join language b on k.lang is not distinct from b.lang and k.rule = b.rule left join corpus c on k.rule = c.rule)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and ({fits}) as kept
     from shares s join fences f on s.lang is not distinct from f.lang and s.source is not distinct from f.source
     group by doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"""

@@ -2,9 +2,14 @@
 
 Features are counted once per text in an Arrow function. A sketch is a histogram over log-linear buckets (values below
 1024 exactly, above it to ten bits, so within 0.2 %); sketches merge by adding counts, in any order, to the same result.
-From each group's sketch come the median and the tenth percentile, which junk in the upper tail does not move, and from
-those the fence. Groups with few texts use their language's fence, else the corpus's. Fences are a table of one row per
-group, joined to the features by language and source.
+A fence lies SPREADS upper spreads above the group's median, the spread being the third quartile less the median, so it widens
+where a source's own habit is wide and junk in the upper quarter does not move it; word length has a lower fence likewise. A
+spread is at least a bucket's width. Repetition (lines, words) is absent from most texts of any group and common in some clean
+ones, so its fences come from the texts that have any, with an eighth of their median as least spread.
+
+A group's fence is averaged with its language's, and that with the corpus's, weighing as its number of texts against PRIOR, so
+small groups lean on large ones without a switch. Fences are a table of one row per group, joined to the features by language
+and source.
 
 Defined results: a null text has no words and fails the base rules; null languages and sources form groups of their own;
 equal rows are judged alike and all returned; an empty table gives an empty one.
@@ -23,18 +28,15 @@ from pyspark.sql.types import LongType, StructField, StructType
 from velometric.llm.common import WHITE, packed, text_bytes, written
 
 SYMBOLS = "#*$%&|<>"
-#: Feature, fences: spreads above the median and the least spread. Shares are per mille, word length in hundredths.
-RULES = {
-    "symbol_share": 5,
-    "dup_line_share": 60,
-    "repeat_share": 80,
-    "upper_share": 15,
-    "word_length": 60,
-}
-SPREADS = 6
+#: Features. Shares are per mille, word length in hundredths.
+RULES = ["symbol_share", "dup_line_share", "repeat_share", "upper_share", "word_length"]
+SPREADS = 12
+#: Features whose quantiles are those of the texts that have any.
+REPETITION = {"dup_line_share", "repeat_share"}
 #: Features that can also be too small.
 TWO_SIDED = {"word_length"}
-MIN_GROUP = 200
+#: Texts that the fence of the wider group weighs.
+PRIOR = 10
 MIN_WORDS = 50
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
@@ -116,18 +118,19 @@ def bucket(value: Column) -> Column:
 
 
 def sketches(features: DataFrame, groups: list[str]) -> DataFrame:
-    """Mergeable sketches: (groups, rule, bucket) -> texts; summing them merges."""
+    """Mergeable sketches: (groups, rule, bucket) -> texts; summing them merges. Repetition leaves out texts without any."""
     long = features.select(
         *groups,
         F.explode(
             F.array(*[F.struct(F.lit(r).alias("rule"), bucket(F.col(r)).alias("bucket")) for r in RULES])
         ).alias("entry"),
     )
-    return long.groupBy(*groups, "entry.rule", "entry.bucket").agg(F.count("*").alias("n"))
+    voting = ~F.col("entry.rule").isin(sorted(REPETITION)) | (F.col("entry.bucket") > 0)
+    return long.where(voting).groupBy(*groups, "entry.rule", "entry.bucket").agg(F.count("*").alias("n"))
 
 
 def quantiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """Per group and rule: texts, tenth percentile and median, each the least bucket that reaches the rank."""
+    """Per group and rule: texts and quartiles, each the least bucket that reaches the rank."""
     by = [*groups, "rule"]
     entries = F.array_sort(F.collect_list(F.struct("bucket", "n")))
     each = sketch.groupBy(*by).agg(entries.alias("entries"), F.sum("n").alias("total"))
@@ -142,7 +145,18 @@ def quantiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
 
         return F.aggregate("entries", start, step, lambda state: state["value"])
 
-    return each.select(*by, "total", at(0.1).alias("q10"), at(0.5).alias("q50"))
+    return each.select(*by, "total", at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
+
+
+def level_fences(table: DataFrame) -> DataFrame:
+    """A level's own fences from its quartiles."""
+    least = F.when(F.col("rule").isin(sorted(REPETITION)), F.greatest(F.lit(1), F.floor(F.col("q50") / 8))).otherwise(1)
+    return table.withColumns(
+        {
+            "upper": F.col("q50") + SPREADS * F.greatest(F.col("q75") - F.col("q50"), least),
+            "lower": F.col("q50") - SPREADS * F.greatest(F.col("q50") - F.col("q25"), least),
+        }
+    )
 
 
 def fences(features: DataFrame) -> DataFrame:
@@ -157,7 +171,7 @@ def fences(features: DataFrame) -> DataFrame:
     tables = []
     for level in levels:
         merged = fine if level == groups else fine.groupBy(*level, "rule", "bucket").agg(F.sum("n").alias("n"))
-        tables.append(quantiles(merged, level))
+        tables.append(level_fences(quantiles(merged, level)))
     own, language, corpus = tables
     keys = features.select(*groups).distinct().withColumn("rule", F.explode(F.array(*[F.lit(r) for r in RULES])))
 
@@ -174,19 +188,14 @@ def fences(features: DataFrame) -> DataFrame:
         .join(corpus.alias("c"), same("k", "c", ["rule"]), "left")
     )
 
-    def pick(column: str) -> Column:
-        return (
-            F.when(F.col("a.total") >= MIN_GROUP, F.col(f"a.{column}"))
-            .when(F.col("b.total") >= MIN_GROUP, F.col(f"b.{column}"))
-            .otherwise(F.col(f"c.{column}"))
-        )
-
-    least = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])
-    spread = F.greatest(pick("q50") - pick("q10"), F.element_at(least, F.col("k.rule")).cast("long"))
-    long = picked.select(
-        "k.lang", "k.source", "k.rule",
-        (pick("q50") + SPREADS * spread).alias("upper"), (pick("q50") - SPREADS * spread).alias("lower"),
-    )
+    def blended(side: str) -> Column:
+        wide = F.col(f"c.{side}")
+        for level in ("b", "a"):
+            total, own = F.col(f"{level}.total"), F.col(f"{level}.{side}")
+            wide = F.coalesce(F.call_function("div", total * own + PRIOR * wide, total + PRIOR), wide)
+        return wide.alias(side)
+
+    long = picked.select("k.lang", "k.source", "k.rule", blended("upper"), blended("lower"))
     at = lambda rule, side: F.max(F.when(F.col("rule") == rule, F.col(side)))
     return long.groupBy(*groups).agg(
         *[at(r, "upper").alias(f"upper_{r}") for r in RULES], *[at(r, "lower").alias(f"lower_{r}") for r in TWO_SIDED]
