@@ -22,7 +22,10 @@ from velometric.sinks.writers import (
     write_station_json,
 )
 from velometric.operators.stations import pair_maps
+from velometric.sources import archives
 from velometric.sources.archives import (
+    RECORDS,
+    Records,
     archive_name,
     archive_paths,
     check_headers,
@@ -206,6 +209,51 @@ def test_sorted_csv(spark, tmp_path):
         csv_sort_columns(["starttime", "stoptime"])
 
 
+RECORD_TEXTS = {
+    b"": 0, b"a,b": 1, b"a,b\n": 1, b"a\n\n\nb\n": 2, b"a\r\nb\r\n\r\nc": 3, b"a\rb": 2, b'"a\nb",c\n': 1,
+    b'"a""b\n",c\nd\n': 2, b'5" pipe,"x\ny"\nz\n': 2, b'"","a"\n"b",""\n': 2, b'a,",""\n""",b\nc\n': 2, b'"a\n\nb': 1,
+}
+
+
+@pytest.mark.parametrize("text, want", RECORD_TEXTS.items())
+def test_records_are_counted_from_bytes(text, want):
+    """However the bytes are cut."""
+    for step in range(1, len(text) + 2):
+        records = Records()
+        for at in range(0, len(text), step):
+            records.feed(text[at : at + step])
+        assert records.total() == want
+
+
+def test_lost_rows_are_an_error(spark, tmp_path):
+    (tmp_path / "JC-202403-x.csv.zip").write_bytes(make_zip({"JC-202403-x.csv": new_csv("a", 9)}))
+    (tmp_path / "202403-x.csv.zip").write_bytes(make_zip({"1.csv": new_csv("b", 4), "2.csv": new_csv("c", 3), "3.csv": NEW_HEADER + "\n"}))
+    wanted = paths(spark, (tmp_path / "JC-202403-x.csv.zip", 202403, "JC"), (tmp_path / "202403-x.csv.zip", 202403, "NYC"))
+    trips = read_archives(wanted, records=True)
+    told = {r["src_region"]: r["n"] for r in trips.groupBy("src_region").agg(F.sum(RECORDS).alias("n")).collect()}
+    assert told == {"JC": 9, "NYC": 7}
+    assert RECORDS not in read_archives(wanted).columns
+    rows = trips.drop("src_ym", "src_region")
+    assert write_sorted_csv(rows, str(tmp_path / "all"), records=RECORDS) == 16
+    for lost in ("a1", "b3", "c0"):
+        with pytest.raises(ValueError, match="expected"):
+            write_sorted_csv(rows.where(F.col("Ride ID") != lost), str(tmp_path / lost), records=RECORDS)
+
+
+def test_a_parser_that_loses_rows_is_an_error(monkeypatch):
+    class Short:
+        def __init__(self, stream):
+            stream.read()
+            self.rows = pa.record_batch({f"c{i}": pa.array(["x"]) for i in range(13)})
+
+        def __iter__(self):
+            return iter([self.rows])
+
+    monkeypatch.setattr(archives.pa_csv, "open_csv", lambda stream, **kw: Short(stream))
+    with pytest.raises(ValueError, match="read 1 rows of 2 records"):
+        list(archives._member_batches(archives._Rest(io.BytesIO(new_csv("a", 2).encode()))))
+
+
 def test_stem_parquet_layout(spark, tmp_path):
     for src, stem, n in [(202001, "202001_202001", 2), (202002, "202001_202001", 1)]:
         folder = tmp_path / str(src)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velometric.functions.columns import yyyymm
 from velometric.operators.rollup import rollup
 from velometric.session import checkpoint_root
 
@@ -80,25 +81,34 @@ def stations_from_hists(hist_in: DataFrame, hist_il: DataFrame, e_c: DataFrame)
     return joined.withColumn("ends", F.coalesce("ends", F.lit(0)))
 
 
-def stations(rides: DataFrame) -> DataFrame:
-    """The same table as `stations_from_hists` from a single scan of the rides.
+def station_states(rides: DataFrame, by_month: bool = False) -> DataFrame:
+    """What rides add to each (id, name): mergeable counts and place sums, by stop month if wanted.
 
-    Rides reduce to one row per (id, name) before anything is grouped by id alone, so a hot
-    station costs its number of name spellings rather than its number of rides, and the widely
-    varying coordinates never become grouping keys.
+    States of disjoint rides add up, so months can be joined, replaced and left out without the rides of any other.
     """
     columns = [pair for pairs in STATION_KEYS.values() for pair in pairs]
-    ends = ride_ends(rides, columns).where("id is not null")
+    month = [yyyymm(F.col("Stop Time")).alias("ym")] if by_month else []
+    ends = ride_ends(rides, columns, *month).where("id is not null")
     placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    by_name = ends.groupBy("id", "name").agg(
+    return ends.groupBy(*(["ym"] if by_month else []), "id", "name").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(placed).alias("placed"),
         F.sum(F.when(placed, F.col("lat"))).alias("lat"),
         F.sum(F.when(placed, F.col("lng"))).alias("lng"),
         F.count_if(~F.col("start")).alias("ends"),
     )
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """States of several months as one per (id, name)."""
+    sums = ["n", "placed", "lat", "lng", "ends"]
+    return states.groupBy("id", "name").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def stations_from_states(states: DataFrame) -> DataFrame:
+    """The station table from one state per (id, name): modal name, mean place, end count."""
     named = F.col("name").isNotNull()
-    dim = by_name.groupBy("id").agg(
+    dim = states.groupBy("id").agg(
         F.min_by(
             F.when(named, F.col("name")), F.when(named, F.struct(-F.col("n"), F.col("name")))
         ).alias("name"),
@@ -110,6 +120,16 @@ def stations(rides: DataFrame) -> DataFrame:
     return dim.where("name is not null or placed > 0 or ends > 0").drop("placed")
 
 
+def stations(rides: DataFrame) -> DataFrame:
+    """The same table as `stations_from_hists` from a single scan of the rides.
+
+    Rides reduce to one row per (id, name) before anything is grouped by id alone, so a hot
+    station costs its number of name spellings rather than its number of rides, and the widely
+    varying coordinates never become grouping keys.
+    """
+    return stations_from_states(station_states(rides))
+
+
 def mode_diagnostics(hist_in: DataFrame) -> DataFrame:
     """Per (id, name): total, number of names, share, and ratio to the next most frequent name."""
     per_id = Window.partitionBy("id")

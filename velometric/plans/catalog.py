@@ -916,6 +916,26 @@ def pair_json(spark, folder):
     return roundtrip.pair_json(spark, _rides(spark, folder))
 
 
+@query
+def station_json_whole(spark, folder):
+    return _rounded(roundtrip.station_json_whole(spark, _rides(spark, folder)), "lat", "lng")
+
+
+@query
+def pair_json_whole(spark, folder):
+    return roundtrip.pair_json_whole(spark, _rides(spark, folder))
+
+
+@query
+def rollup_routed(spark, folder):
+    return roundtrip.rollup_routed(spark, _rides(spark, folder))
+
+
+@query
+def stations_all_time(spark, folder):
+    return _rounded(roundtrip.stations_all_time(spark, _rides(spark, folder)), "lat", "lng")
+
+
 @query
 def saved_formats(spark, folder):
     return roundtrip.saved_formats(spark, rollup(_rides(spark, folder), "rt", "cd"))

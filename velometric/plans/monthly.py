@@ -12,7 +12,15 @@ from velometric.operators.backfill import backfill
 from velometric.operators.conform import conform, union_regions, with_part_keys
 from velometric.operators.dedupe import assert_unique_key, exact_dedupe, merge_pairs, ride_columns_only, ride_key
 from velometric.operators.rollup import STANDARD_ROLLUPS, dashboard_records, rollup
-from velometric.operators.stations import pair_counts, pair_maps, station_index, stations
+from velometric.operators.stations import (
+    merge_states,
+    pair_counts,
+    pair_maps,
+    station_index,
+    station_states,
+    stations,
+    stations_from_states,
+)
 from velometric.schema import BACKFILL_MONTHS
 from velometric.sinks.journal import folders, fresh, note, noted, remove, whole
 from velometric.sinks.writers import (
@@ -26,22 +34,23 @@ from velometric.sinks.writers import (
     write_sorted_csv,
     write_station_json,
 )
-from velometric.sources.archives import read_archives
+from velometric.sources.archives import RECORDS, read_archives
 from velometric.sources.files import with_source_part, without_known_bad_parts
 
 
 def build_sorted_csvs(paths: DataFrame, root: str) -> list[tuple[str, str, list[str]]]:
     """Archives to one sorted gzipped CSV set per month and region: (path, region, header) of each.
 
-    The rows written must be as many as the archives' members hold, else the month is an error.
+    The rows written must be as many as the records that the archives' members hold, counted from their bytes while these
+    are read, else the month is an error.
     """
     done = []
     for row in paths.select("ym", "src_region").distinct().orderBy("ym", "src_region").collect():
         own = paths.where((F.col("ym") == row["ym"]) & (F.col("src_region") == row["src_region"]))
-        trips = read_archives(own, spread=False).drop("src_ym", "src_region")
+        trips = read_archives(own, spread=False, records=True).drop("src_ym", "src_region")
         path = f"{root}/{row['src_region']}-{row['ym']}"
-        write_sorted_csv(trips, path, expected_rows=trips.count())
-        done.append((path, row["src_region"], trips.columns))
+        write_sorted_csv(trips, path, records=RECORDS)
+        done.append((path, row["src_region"], [c for c in trips.columns if c != RECORDS]))
     return done
 
 
@@ -147,6 +156,19 @@ def build_rollups(rides: DataFrame, root: str, months: Sequence[int] | None = No
         write_by_month(table, f"{root}/aggregated/{keys}_{sums}", months=months)
 
 
+def build_station_states(rides: DataFrame, root: str, months: Sequence[int] | None = None) -> None:
+    """Mergeable station states of the stop months in `rides`; `months` without rides lose theirs."""
+    write_by_month(station_states(rides, by_month=True), f"{root}/stations/states", months=months)
+
+
+def all_time_stations(spark: SparkSession, root: str, months: Sequence[int] | None = None) -> DataFrame:
+    """The station table over all stored months, or some of them; no ride is read."""
+    states = spark.read.parquet(f"{root}/stations/states")
+    if months is not None:
+        states = states.where(F.col("ym").isin(list(months)))
+    return stations_from_states(merge_states(states))
+
+
 def build_month_documents(spark: SparkSession, rides: DataFrame, root: str, ym: int) -> None:
     """Station and pair documents of one month."""
     month = rides.where(F.col("ym") == ym)

@@ -224,6 +224,15 @@ def oracle() -> dict[str, str]:
         """select "Start Station ID", count(*) as "Count", sum(secs)::bigint as "Duration" from t
         where "Start Station ID" is not null and "End Station ID" is not null and "Rideable Type" is not null group by 1"""
     )
+    routed = {"r": "cd", "gt": "cd", "yw": "c", "s": "c", "rh": "d"}
+    q["rollup_routed"] = _with(
+        " union all ".join(
+            f"""select '{keys}' as keys, concat_ws('|', {", ".join(cols.values())}) as key,
+            {"count(*)" if "c" in sums else "null::bigint"} as "Count", {"sum(secs)::bigint" if "d" in sums else "null::bigint"} as "Duration"
+            from t where {" and ".join(f"{e} is not null" for e in cols.values())} group by {", ".join(cols.values())}"""
+            for keys, sums, cols in ((k, v, _cols(k)) for k, v in routed.items())
+        )
+    )
     q["grand_totals"] = _with(
         """select sum(cnt)::bigint as total, count(distinct sid) as "distinct Start Station ID",
         count(distinct eid) as "distinct End Station ID" from sec""", ENDS
@@ -260,8 +269,12 @@ def oracle() -> dict[str, str]:
     q["station_mode"] = _with("select id, name from names", ENDS)
     q["station_latlng"] = _with("select id, round(lat, 6) as lat, round(lng, 6) as lng from places", ENDS)
     dim = _with("select id, name, round(lat, 6) as lat, round(lng, 6) as lng, ends from dim", ENDS)
-    for name in ("stations_dim", "stations_joined", "station_json"):
+    for name in ("stations_dim", "stations_joined", "station_json", "station_json_whole"):
         q[name] = dim
+    later = ENDS.replace('as moment from t\n', 'as moment from t where ym > (select min(ym) from t)\n').replace(
+        '"Stop Time" from t),', '"Stop Time" from t where ym > (select min(ym) from t)),'
+    )
+    q["stations_all_time"] = _with("select id, name, round(lat, 6) as lat, round(lng, 6) as lng, ends from dim", later)
     q["mode_diagnostics"] = _with(
         """select id, name, cnt as count, sum(cnt) over (partition by id)::bigint as total, count(*) over (partition by id) as n,
         round(cnt / sum(cnt) over (partition by id), 6) as frac,
@@ -278,7 +291,7 @@ def oracle() -> dict[str, str]:
         "select id, round(max(cnt) / sum(cnt), 6) as mode_pct from hin group by id having max(cnt) / sum(cnt) < 0.8", ENDS
     )
     q["pair_idx"] = _with("select sidx, eidx, count from pairs", ENDS)
-    q["pair_json"] = q["pair_idx"]
+    q["pair_json"] = q["pair_json_whole"] = q["pair_idx"]
     q["pair_encode"] = _with(
         """select s.idx as sidx, e.idx as eidx, cnt as count from sec join own s on sid = s.id join own e on eid = e.id""",
         ENDS,

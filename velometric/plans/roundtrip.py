@@ -7,8 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from velometric.functions.columns import yyyymm
 from velometric.operators.conform import conform, union_regions
-from velometric.operators.rollup import dashboard_records, rollup
+from velometric.operators.rollup import dashboard_records, key_columns, rollup
 from velometric.operators.stations import (
     pair_counts,
     pair_maps,
@@ -16,7 +17,14 @@ from velometric.operators.stations import (
     stations,
 )
 from velometric.plans.deltas import apply_changes
-from velometric.plans.monthly import build_rides, build_rollups, build_sorted_csvs
+from velometric.plans.lattice import answer, write_lattice
+from velometric.plans.monthly import (
+    all_time_stations,
+    build_rides,
+    build_rollups,
+    build_sorted_csvs,
+    build_station_states,
+)
 from velometric.plans.publishing import both_member_types, mixed_layouts, publish
 from velometric.schema import FIRST_MONTH
 from velometric.session import scratch_path
@@ -200,6 +208,55 @@ def pair_json(spark: SparkSession, rides: DataFrame) -> DataFrame:
     return read_pair_json(spark, path)
 
 
+def station_json_whole(spark: SparkSession, rides: DataFrame) -> DataFrame:
+    """Stations as indented objects, one file for the stations of each first letter, read back as whole files."""
+    path = scratch_path(spark, "stations-indented")
+    entry = F.struct("id", F.struct("name", "lat", "lng", "ends"))
+    objects = stations(rides).groupBy(F.substring("id", 1, 1).alias("letter")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(entry)), {"pretty": "true"}).alias("value")
+    )
+    objects.repartition("letter").write.partitionBy("letter").text(path)
+    return read_station_json(spark, path, whole=True)
+
+
+def pair_json_whole(spark: SparkSession, rides: DataFrame) -> DataFrame:
+    """Pair counts as indented objects, one file for each start, read back as whole files."""
+    path = scratch_path(spark, "pairs-indented")
+    maps = pair_maps(pair_counts(rollup(rides, "se", "c"), station_index(stations(rides))))
+    ends = F.from_json("ends", "map<string, bigint>")
+    pretty = F.to_json(F.create_map(F.col("sidx").cast("string"), ends), {"pretty": "true"}).alias("value")
+    maps.select("sidx", pretty).repartition("sidx").write.partitionBy("sidx").text(path)
+    return read_pair_json(spark, path, whole=True)
+
+
+ROUTED = [("r", "cd"), ("gt", "cd"), ("yw", "c"), ("s", "c"), ("rh", "d")]
+
+
+def rollup_routed(spark: SparkSession, rides: DataFrame) -> DataFrame:
+    """Rollups of several shapes, each answered from the smallest stored one that covers it; keys as one text."""
+    root = scratch_path(spark, "lattice")
+    write_lattice(rides, root)
+    answers = []
+    for keys, sums in ROUTED:
+        table = answer(spark, root, keys, sums)
+        totals = [(F.col(c) if c in table.columns else F.lit(None)).cast("bigint").alias(c) for c in ("Count", "Duration")]
+        key = F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in key_columns(keys)])
+        answers.append(table.select(F.lit(keys).alias("keys"), key.alias("key"), *totals))
+    return union_regions(*answers)
+
+
+def stations_all_time(spark: SparkSession, rides: DataFrame) -> DataFrame:
+    """The station table from stored monthly states, after one month was taken out and another built wrong and replaced."""
+    root = scratch_path(spark, "states")
+    build_station_states(rides, root)
+    months = sorted(r["ym"] for r in spark.read.parquet(f"{root}/stations/states").select("ym").distinct().collect())
+    build_station_states(rides.limit(0), root, months[:1])
+    last = rides.where(yyyymm(F.col("Stop Time")) == months[-1])
+    build_station_states(last.unionAll(last), root, months[-1:])
+    build_station_states(last, root, months[-1:])
+    return all_time_stations(spark, root)
+
+
 def saved_formats(spark: SparkSession, table: DataFrame) -> DataFrame:
     """The generic sink in each format; an existing output is left alone unless overwritten."""
     root = scratch_path(spark, "saved")

@@ -147,23 +147,29 @@ def csv_sort_columns(columns: Sequence[str]) -> list[str]:
     return [spelt[c] for c in key]
 
 
-def write_sorted_csv(raw: DataFrame, path: str, expected_rows: int | None = None) -> int:
+def write_sorted_csv(
+    raw: DataFrame, path: str, expected_rows: int | None = None, records: str | None = None
+) -> int:
     """Gzipped CSV in global order of start, stop and id; returns the rows written.
 
     The order comes from a range partitioning, so part files follow each other and no task sorts
     more than its range; the input position as last sort column keeps ties in order and lets many
-    copies of one key spread over several ranges. A row count other than `expected_rows` is an error.
+    copies of one key spread over several ranges. A row count other than `expected_rows` is an error, as is one other
+    than the sum of the column `records`, which is not written: the sources' own record counts, in the same pass.
     """
     seen = Observation()
-    keys = [F.col(f"`{c}`") for c in csv_sort_columns(raw.columns)]
+    columns = [c for c in raw.columns if c != records]
+    keys = [F.col(f"`{c}`") for c in csv_sort_columns(columns)]
     placed = raw.withColumn("__at", F.monotonically_increasing_id())
     ordered = placed.orderBy(*keys, "__at").drop("__at")
     # Counted after the sort: the range bounds are sampled by an extra pass over what is below it.
-    counted = ordered.observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.write.option("header", True).option("compression", "gzip").csv(path)
-    rows = seen.get["rows"]
-    if expected_rows is not None and rows != expected_rows:
-        raise ValueError(f"wrote {rows} rows, expected {expected_rows}")
+    told = F.sum(F.col(records) if records else F.lit(None).cast("bigint"))
+    counted = ordered.observe(seen, F.count(F.lit(1)).alias("rows"), told.alias("told"))
+    counted.select(*[F.col(f"`{c}`") for c in columns]).write.option("header", True).option("compression", "gzip").csv(path)
+    rows, told = seen.get["rows"], seen.get["told"] or 0
+    for expected in ([expected_rows] if expected_rows is not None else []) + ([told] if records else []):
+        if rows != expected:
+            raise ValueError(f"wrote {rows} rows, expected {expected}")
     return rows
 
 

@@ -12,11 +12,13 @@ import contextlib
 import csv
 import io
 import itertools
+import re
 import shutil
 import tempfile
 import zipfile
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.csv as pa_csv
 import pyarrow.fs as pa_fs
@@ -38,6 +40,8 @@ from velometric.sources.manifest import region_available
 MEMBER_SCHEMA = "path string, nested string, member string, bytes bigint, header string"
 # Text columns handed on by the scan: every canonical source column, as strings.
 TEXT_COLUMNS = sorted(set(HEADER_ALIASES.values()))
+# On the last row of every member: how many records its bytes hold.
+RECORDS = "__records"
 # What a column is taken as when a file lacks it.
 MISSING_DEFAULTS = {"Gender": "0", "Rideable Type": "unknown"}
 BLOCK_BYTES = 8 << 20
@@ -219,8 +223,48 @@ def _constant(value: str | None, n: int) -> pa.Array:
     return pa.nulls(n, pa.string()) if value is None else pa.repeat(pa.scalar(value, pa.string()), n)
 
 
-def _csv_batches(stream, header: list[str]) -> Iterator[pa.RecordBatch]:
-    """Canonical all-text batches of one CSV stream whose header line has been read."""
+class Records:
+    """Counts the records of a CSV stream from its bytes alone, as a check on what the parser made of them.
+
+    A record ends at a line break outside a quoted field; empty lines are none. Only a quote at a field's start opens
+    one. Blocks are counted up to the last whole record, the rest is carried on.
+    """
+
+    # A quoted field, closed or running to the end of the bytes.
+    QUOTED = re.compile(rb'(?<![^,\r\n])"[^"]*+(?:""[^"]*+)*+(?:"|\Z)')
+
+    def __init__(self) -> None:
+        self.count, self.rest = 0, b""
+
+    def feed(self, block: bytes) -> None:
+        cut = max(block.rfind(b"\n"), block.rfind(b"\r")) + 1
+        if not cut:
+            self.rest += block
+            return
+        data, self.rest = self.rest + block[:cut], block[cut:]
+        if b'"' in data:
+            plain = self.QUOTED.sub(lambda m: b"x" * len(m[0]), data)
+            cut = max(plain.rfind(b"\n"), plain.rfind(b"\r")) + 1
+            data, self.rest = plain[:cut], data[cut:] + self.rest
+        self._add(data)
+
+    def _add(self, data: bytes) -> None:
+        at = np.frombuffer(data, np.uint8)
+        text = (at != 10) & (at != 13)
+        self.count += int(np.count_nonzero(text[1:] & ~text[:-1])) + int(text[:1].any())
+
+    def total(self) -> int:
+        """The records, once everything was fed."""
+        self._add(self.QUOTED.sub(b"x", self.rest))
+        self.rest = b""
+        return self.count
+
+
+def _csv_batches(stream: _Rest, header: list[str]) -> Iterator[pa.RecordBatch]:
+    """Canonical all-text batches of one CSV stream whose header line has been read.
+
+    The last row carries the number of records that the stream's bytes hold; fewer or more rows than that are an error.
+    """
     targets = {}
     for position, name in enumerate(header):
         target = HEADER_ALIASES.get(squash_header(name))
@@ -238,17 +282,33 @@ def _csv_batches(stream, header: list[str]) -> Iterator[pa.RecordBatch]:
             strings_can_be_null=True,
         ),
     )
+    rows, held = 0, None
     for batch in reader:
+        if not len(batch):
+            continue
         columns = [
             batch.column(targets[c])
             if c in targets
             else _constant(MISSING_DEFAULTS.get(c), len(batch))
             for c in TEXT_COLUMNS
         ]
-        yield pa.RecordBatch.from_arrays(columns, names=TEXT_COLUMNS)
+        if held:
+            yield _counted(held, None)
+        held = pa.RecordBatch.from_arrays(columns, names=TEXT_COLUMNS)
+        rows += len(held)
+    records = stream.records.total()
+    if rows != records:
+        raise ValueError(f"read {rows} rows of {records} records")
+    if held:
+        yield _counted(held, records)
+
 
+def _counted(batch: pa.RecordBatch, records: int | None) -> pa.RecordBatch:
+    told = pa.array([None] * (len(batch) - 1) + [records], pa.int64())
+    return pa.RecordBatch.from_arrays([*batch.columns, told], names=[*TEXT_COLUMNS, RECORDS])
 
-def _member_batches(stream) -> Iterator[pa.RecordBatch]:
+
+def _member_batches(stream: _Rest) -> Iterator[pa.RecordBatch]:
     line = b""
     while not line.endswith(b"\n"):
         byte = stream.read(1)
@@ -256,16 +316,18 @@ def _member_batches(stream) -> Iterator[pa.RecordBatch]:
             break
         line += byte
     header = next(csv.reader([line.decode("utf-8-sig").strip("\r\n")]), [])
+    stream.records = Records()
     if header and stream.peek_more():
         yield from _csv_batches(stream, header)
 
 
 class _Rest(io.RawIOBase):
-    """A readable view that can tell whether data follows (Arrow rejects an empty CSV)."""
+    """A readable view that can tell whether data follows (Arrow rejects an empty CSV) and counts the records read."""
 
     def __init__(self, stream):
         self._stream = stream
         self._ahead = b""
+        self.records = Records()
 
     def readable(self):
         return True
@@ -275,20 +337,31 @@ class _Rest(io.RawIOBase):
         return bool(self._ahead)
 
     def read(self, size=-1):
+        data = b""
         if self._ahead and size != 0:
-            head, self._ahead = self._ahead, b""
-            return head + self._stream.read(size - 1 if size > 0 else size)
-        return self._stream.read(size)
+            data, self._ahead = self._ahead, b""
+            size = size - 1 if size > 0 else size
+        data += self._stream.read(size)
+        self.records.feed(data)
+        return data
 
 
 def _tagged(batch: pa.RecordBatch, ym: int, region: str) -> pa.RecordBatch:
     n = len(batch)
     return pa.RecordBatch.from_arrays(
         [pa.repeat(pa.scalar(ym, pa.int32()), n), _constant(region, n), *batch.columns],
-        names=["src_ym", "src_region", *TEXT_COLUMNS],
+        names=["src_ym", "src_region", *batch.schema.names],
     )
 
 
+@contextlib.contextmanager
+def _naming(*place: str | None):
+    try:
+        yield
+    except ValueError as error:
+        raise ValueError(f"{'/'.join(p for p in place if p)}: {error}") from error
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows are sorted by archive and nested archive: each is opened once for all of its members."""
     rows = (row for batch in batches for row in batch.to_pylist())
@@ -300,21 +373,25 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if nested:
                         holder = stack.enter_context(zipfile.ZipFile(stack.enter_context(_spooled(archive, nested))))
                     for row in members:
-                        with holder.open(row["member"]) as stream:
+                        with holder.open(row["member"]) as stream, _naming(path, nested, row["member"]):
                             for out in _member_batches(_Rest(stream)):
                                 yield _tagged(out, row["ym"], row["src_region"])
 
 
 def _scan_schema() -> str:
     texts = ", ".join(f"`{c}` string" for c in TEXT_COLUMNS)
-    return f"src_ym int, src_region string, {texts}"
+    return f"src_ym int, src_region string, {texts}, {RECORDS} bigint"
 
 
-def read_members(members: DataFrame, partitions: int | None = None, spread: bool = True) -> DataFrame:
+def read_members(
+    members: DataFrame, partitions: int | None = None, spread: bool = True, records: bool = False
+) -> DataFrame:
     """Rows of the chosen members as text columns with their source month and region.
 
     Direct members are dealt to tasks by hash, those of one nested archive together, so that it is inflated once;
     `spread` rebalances the rows afterwards so that one huge member does not leave all later work to a single task.
+    Every member's rows must be as many as its bytes hold records; `records` keeps that number in the column RECORDS, on
+    the member's last row, for a check of what becomes of the rows later.
     """
     count = partitions or members.sparkSession.sparkContext.defaultParallelism * 4
     alone = F.when(F.col("nested").isNull(), F.col("member"))
@@ -323,6 +400,7 @@ def read_members(members: DataFrame, partitions: int | None = None, spread: bool
     # Both eras' user columns exist here; a file fills one of them.
     member = lookup(F.col("Member/Casual"), MEMBER_TO_USER)
     rows = rows.withColumn("User Type", F.coalesce(F.col("User Type"), member)).drop("Member/Casual")
+    rows = rows if records else rows.drop(RECORDS)
     return rows.hint("rebalance") if spread else rows
 
 
@@ -335,7 +413,7 @@ def check_present(members: DataFrame, paths: DataFrame) -> DataFrame:
     return found.select(*members.columns)
 
 
-def read_archives(paths: DataFrame, name_type: int = 1, spread: bool = True) -> DataFrame:
+def read_archives(paths: DataFrame, name_type: int = 1, spread: bool = True, records: bool = False) -> DataFrame:
     """All trips of the archives: list, choose, check that no month is missing and headers agree, stream."""
     chosen = check_present(choose_members(list_members(paths), name_type), paths)
-    return read_members(check_headers(chosen), spread=spread)
+    return read_members(check_headers(chosen), spread=spread, records=records)
