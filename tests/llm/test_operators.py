@@ -337,6 +337,21 @@ def test_bpe_letters():
         assert bpe.merge_short(list(parts)) == bpe.merge_long(list(parts))
 
 
+def test_bpe_code_points():
+    """Every code point of the first four planes inside a word, between digits and alone, assigned or not."""
+    tokenizer, bpe = library(), rank_bpe.WordBpe(VOCABULARY)
+    texts = [f"ab{c}cd 1{c}2 {c}!" for c in map(chr, range(0x40000)) if not "\ud800" <= c <= "\udfff"]
+    got = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, e in zip(texts, got, strict=True) if e.ids != list(memoryview(bpe.encode(t)).cast("I"))] == []
+
+
+def test_bpe_normal_form_beside_newer_code_points():
+    tokenizer, bpe = library(), rank_bpe.WordBpe(VOCABULARY)
+    texts = ["E\u0301te\u0301 \u1c89\u03a3 don't", "\ua7cb\u0301<|endoftext|>\u208f \u3000 x", "\U0003fc3b", "\u0558" * 300]
+    for t in texts:
+        assert list(memoryview(bpe.encode(t)).cast("I")) == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_token_counts(docs):
     tokenizer, want = library(), Counter()
     for r in by_row(docs):

@@ -9,8 +9,9 @@ The vocabulary file gives merges, special tokens and the word pattern; the norma
 lower case. Word results are memoised per worker in a table of bounded size that is emptied when full.
 
 Defined results: a null text is empty and has no tokens; ids are packed as little-endian unsigned 32-bit integers; equal
-rows each get their row; an empty table gives an empty one. Code points that Unicode had not assigned when the tokenizers
-library's tables were made may fall on the other side of its letter class.
+rows each get their row; an empty table gives an empty one; other columns are not read, whatever their names. A text with a
+code point that Python's Unicode tables have not assigned is brought to normal form and cut into words by the tokenizers
+library itself, as its tables may be newer; its words are merged like any others.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 from tokenizers.normalizers import NFC
 
 from velometric.llm.common import packed, slices, text_bytes
 
 LONG_WORD = 256
+CODE_POINTS = 0x110000
 CACHE_WORDS = 150_000
 NO_RANK = 1 << 30
 
@@ -45,6 +48,13 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def unassigned() -> re.Pattern[str]:
+    """Matches the code points that Python's Unicode tables do not know."""
+    known = itertools.groupby(range(CODE_POINTS), key=lambda c: unicodedata.category(chr(c)) == "Cn")
+    runs = [list(run) for odd, run in known if odd]
+    return re.compile("[" + "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs) + "]")
+
+
 class WordBpe:
     """Encodes and decodes with one vocabulary file; `vocabulary` is its path."""
 
@@ -59,6 +69,9 @@ class WordBpe:
         self.pieces |= {i: piece for piece, i in self.special.items()}
         pattern = next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
         self.word = regex.compile(pattern, regex.V0)
+        self.newer = unassigned()
+        self.library_form = normalizers.Sequence([NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+        self.library_words = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         # Rank of a pair of ids, packed in one integer, and what the pair of each rank becomes.
         self.ranks: dict[int, int] = {}
@@ -133,14 +146,19 @@ class WordBpe:
             self.cache[word] = packed_ids
         return packed_ids
 
-    def plain_ids(self, text: str) -> bytes:
+    def words(self, text: str) -> list[str]:
+        if not text.isascii() and self.newer.search(text):
+            return [w for w, _ in self.library_words.pre_tokenize_str(self.library_form.normalize_str(text))]
         # The library's NFC, as its Unicode tables may be older than Python's; most texts are in that form already.
         if not unicodedata.is_normalized("NFC", text):
             text = self.form.normalize_str(text)
         # Lower case is taken letter by letter, so a sigma at a word's end is like any other.
         text = text.replace("Σ", "σ").lower()
+        return self.word.findall(text)
+
+    def plain_ids(self, text: str) -> bytes:
         known, make = self.cache.get, self.word_ids
-        return b"".join([known(w) or make(w) for w in self.word.findall(text)])
+        return b"".join([known(w) or make(w) for w in self.words(text)])
 
     def encode(self, text: str) -> bytes:
         """Packed ids; special strings in the text become their token."""
