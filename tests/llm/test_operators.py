@@ -540,6 +540,39 @@ def test_article_below_firm_evidence(around):
     assert "another matter" not in html_cut.main_text(page) and "second paragraph" in html_cut.main_text(page)
 
 
+RUNNING = "<p>The river rose for three days before the town moved its market to the hill, as old letters tell.</p>"
+
+
+@pytest.mark.parametrize(
+    "open_, close",
+    [
+        ('<form id="aspnetForm"><div>', "</div></form>"),
+        ('<div class="elementor-widget-container">', "</div>"),
+        ('<div class="search-results-page">', "</div>"),
+        ('<div class="banner-free">', "</div>"),
+        ('<article><section id="related-work">', "</section></article>"),
+        ('<article><section class="search-methods">', "</section></article>"),
+        ('<article><div class="social-science">', "</div></article>"),
+    ],
+)
+def test_frames_and_names_of_several_parts(open_, close):
+    html = f"<body><nav><a href=/>Home</a></nav>{open_}{RUNNING}{RUNNING}{close}<footer>All rights reserved</footer></body>"
+    assert html_cut.main_text(html) == "\n".join([RUNNING[3:-4]] * 2)
+
+
+@pytest.mark.parametrize(
+    "name", ["site-header", "cookie-banner", "comment-list", "sidebar-left", "article-comments", "social-share", "ad-slot"]
+)
+def test_names_with_plain_parts_go(name):
+    html = f"<body><article>{RUNNING}{RUNNING}</article><div class={name}>{RUNNING}</div></body>"
+    assert html_cut.main_text(html) == "\n".join([RUNNING[3:-4]] * 2)
+
+
+def test_a_form_beside_the_article_goes():
+    html = f"<body><article>{RUNNING}</article><form><p>Sign up for our letter and get it each week by mail.</p></form></body>"
+    assert html_cut.main_text(html) == RUNNING[3:-4]
+
+
 def test_pages_of_the_table(spark):
     """In the given pages the article's blocks, and only they, are the text."""
     import re

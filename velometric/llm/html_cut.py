@@ -15,7 +15,7 @@ get their row; an empty table gives an empty one.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -67,9 +67,20 @@ FIRM_NAMES = {
 }
 #: Names that tell how a page is laid out (such as "has-sidebar"), not what the element is.
 STATES = {"has", "is", "no", "with", "without"}
+#: Parts of names that leave the meaning of the others as it is ("site-header", "comment-list").
+PLAIN = {
+    "and", "area", "article", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "btn", "center",
+    "col", "column", "container", "content", "desktop", "entry", "fixed", "form", "global", "group", "hd", "ft", "icon",
+    "icons", "inner", "item", "items", "js", "label", "large", "left", "link", "links", "list", "main", "mobile", "module",
+    "more", "news", "outer", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site",
+    "slot", "small", "sticky", "stories", "story", "text", "the", "title", "top", "unit", "user", "wp", "wrap", "wrapper",
+}
 _NAME = re.compile(r"[a-z]+")
-#: Weight of evidence against an element's content, and what is left of it for each element further down.
-AWAY, FADE = 12.0, 0.85
+#: Weight of evidence against an element's content, the same from a name with other parts in it ("social-science"), and
+#: what is left of it for each element further down.
+AWAY, HINT, FADE = 12.0, 3.0, 0.85
+#: A form with this share of a page's text, most of it running text, is the page's frame.
+FRAME = 0.8
 #: Capacities are integers: a unit of evidence, and the ties between blocks.
 UNIT = 100
 NEXT_TIE, SIBLING_TIE = 60, 30
@@ -85,6 +96,8 @@ class Node:
     firm: bool
     home: bool
     silent: bool
+    #: Place, among the page's forms, of the one it stands in.
+    form: int | None = None
 
 
 @dataclass
@@ -94,34 +107,43 @@ class Block:
     linked: int
 
 
-def evidence(tag: str, attrs: dict[str, str | None], inside: bool) -> tuple[bool, bool, bool]:
-    """Whether a tag with these attributes speaks against content below it, firmly so, or for it.
+def evidence(tag: str, attrs: dict[str, str | None], inside: bool, frame: bool = False) -> tuple[float, bool, bool]:
+    """How much a tag with these attributes speaks against content below it, whether firmly so, and whether for it.
+
+    A name counts in full where its other parts are plain. A form that is the page's `frame` says nothing.
 
     `inside` an article a header holds its title; elsewhere it is the page's.
     """
     words = [_NAME.findall(x) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()]
-    names = {n for x in words if x and x[0] not in STATES for n in x}
+    told = [x for x in words if x and x[0] not in STATES]
+    every = {n for x in told for n in x}
+    names = {n for x in told if AWAY_NAMES.union(PLAIN, HOME_NAMES).issuperset(x) for n in x}
     hidden = "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
     hidden |= "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
     if tag == "header":
         names.add("header")
+    hints = (every & AWAY_NAMES) - names
     if inside:
         names.discard("header")
+        hints.discard("header")
     if tag in ("html", "body"):
         names -= AWAY_NAMES
+        hints.clear()
     role = (attrs.get("role") or "").lower()
     firm = hidden or tag in AWAY_TAGS - {"form"} or bool(names & FIRM_NAMES) or role in AWAY_ROLES - {"form"}
-    away = firm or tag == "form" or bool(names & AWAY_NAMES) or role == "form"
-    home = tag in HOME_TAGS or bool(names & HOME_NAMES) or role in ("main", "article")
+    away = firm or (tag == "form" and not frame) or bool(names & AWAY_NAMES) or role == "form"
+    home = tag in HOME_TAGS or bool(every & HOME_NAMES) or role in ("main", "article")
     # An element that calls itself both (such as "article-comments") is judged by the narrower word.
-    return away, firm, home and not away
+    return AWAY if away else HINT if hints else 0.0, firm, home and not away and not hints
 
 
 class BlockReader(HTMLParser):
     """Text blocks of a page, in its order."""
 
-    def __init__(self) -> None:
+    def __init__(self, frames: frozenset[int] = frozenset()) -> None:
+        """`frames` are the places, among the page's forms, of those that frame it."""
         super().__init__(convert_charrefs=True)
+        self.frames, self.forms = frames, 0
         self.root = Node("", None, 0, 0.0, False, False, False)
         self.node, self.holder = self.root, self.root
         self.blocks: list[Block] = []
@@ -165,14 +187,17 @@ class BlockReader(HTMLParser):
             return
         up = self.node
         values = dict(attrs)
-        away, firm, home = evidence(tag, values, up.home) if attrs or tag not in INLINE else (False, False, False)
+        self.forms += tag == "form"
+        frame = tag == "form" and self.forms - 1 in self.frames
+        away, firm, home = evidence(tag, values, up.home, frame) if attrs or tag not in INLINE else (0.0, False, False)
         # Firm evidence stays. Other evidence fades on its way down, and an article undoes what its ancestors' names say of the
         # page's layout.
         fresh = not up.firm and (tag in HOME_TAGS or (values.get("role") or "").lower() in ("main", "article"))
-        weight = AWAY if away or up.firm else 0.0 if fresh else up.away * (1 if tag in INLINE else FADE)
+        inherited = AWAY if up.firm else 0.0 if fresh else up.away * (1 if tag in INLINE else FADE)
         self.node = Node(
-            tag, up, up.depth + 1, weight, up.firm or firm, (up.home or home) and not away, up.silent or tag in SILENT
-        )
+            tag, up, up.depth + 1, max(away, inherited), up.firm or firm, (up.home or home) and away < AWAY,
+            up.silent or tag in SILENT, self.forms - 1 if tag == "form" else up.form,
+        )
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -211,11 +236,32 @@ class BlockReader(HTMLParser):
 
 
 def read_blocks(html: str) -> list[Block]:
-    reader = BlockReader()
-    reader.feed(html)
-    reader.close()
-    reader.flush()
-    return reader.blocks
+    """Read once, and again when a form turns out to frame the page."""
+
+    def read(frames: frozenset[int] = frozenset()) -> list[Block]:
+        reader = BlockReader(frames)
+        reader.feed(html)
+        reader.close()
+        reader.flush()
+        return reader.blocks
+
+    blocks = read()
+    frames = framing(blocks)
+    return read(frames) if frames else blocks
+
+
+def framing(blocks: list[Block]) -> frozenset[int]:
+    """The form that holds nearly all text of a page, if most of that is text of ten words or more."""
+    held: Counter[int] = Counter()
+    running: Counter[int] = Counter()
+    total = 0
+    for block in blocks:
+        length = len(block.text) - block.linked
+        total += length
+        if block.node.form is not None:
+            held[block.node.form] += length
+            running[block.node.form] += length if block.text.count(" ") >= 9 else 0
+    return frozenset(f for f, n in held.items() if n >= FRAME * total and 2 * running[f] > n)
 
 
 def costs(block: Block) -> tuple[int, int]:
