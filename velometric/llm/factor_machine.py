@@ -30,7 +30,7 @@ from velometric.llm.quality_rules import counts_of
 
 WORDS = 1 << 13
 FACTORS = 8
-SAMPLE = 3000
+SAMPLE = 6000
 ROUNDS = 120
 RATE = 0.05
 DECAY = 1e-3
