@@ -48,11 +48,11 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def unassigned() -> re.Pattern[str]:
-    """Matches the code points that Python's Unicode tables do not know."""
-    known = itertools.groupby(range(CODE_POINTS), key=lambda c: unicodedata.category(chr(c)) == "Cn")
+def unassigned(first: int = 0, last: int = CODE_POINTS) -> str:
+    """Class members, as a pattern has them, of the code points that Python's Unicode tables do not know."""
+    known = itertools.groupby(range(first, last), key=lambda c: unicodedata.category(chr(c)) == "Cn")
     runs = [list(run) for odd, run in known if odd]
-    return re.compile("[" + "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs) + "]")
+    return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs)
 
 
 class WordBpe:
@@ -69,7 +69,9 @@ class WordBpe:
         self.pieces |= {i: piece for piece, i in self.special.items()}
         pattern = next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
         self.word = regex.compile(pattern, regex.V0)
-        self.newer = unassigned()
+        # Ranges above the first plane are tried one by one, so texts without any such code point are told apart first.
+        self.maybe_newer = re.compile(f"[{unassigned(last=0x10000)}\\U00010000-\\U0010ffff]")
+        self.newer = re.compile(f"[{unassigned()}]")
         self.library_form = normalizers.Sequence([NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.library_words = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
@@ -147,7 +149,7 @@ class WordBpe:
         return packed_ids
 
     def words(self, text: str) -> list[str]:
-        if not text.isascii() and self.newer.search(text):
+        if not text.isascii() and self.maybe_newer.search(text) and self.newer.search(text):
             return [w for w, _ in self.library_words.pre_tokenize_str(self.library_form.normalize_str(text))]
         # The library's NFC, as its Unicode tables may be older than Python's; most texts are in that form already.
         if not unicodedata.is_normalized("NFC", text):
