@@ -129,6 +129,14 @@ def out_of_system(
     return f"({_no_station(station_id, strict_none)} or {own})"
 
 
+def trip_time(value: str) -> str:
+    """A trip file's time text as a timestamp; some older months write times as 6/1/2015 0:00[:03]."""
+    return (
+        f"case when {value} rlike r'^\\d{{1,2}}/' then to_timestamp_ntz({value}, 'M/d/yyyy H:mm[:ss]') "
+        f"else cast({value} as timestamp_ntz) end"
+    )
+
+
 def yyyymm(ts: Column) -> Column:
     return F.year(ts) * 100 + F.month(ts)
 

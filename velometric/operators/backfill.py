@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,6 +93,38 @@ def backfill_report(
     return counted.select(F.inline(rows)).withColumn("pct", F.coalesce(share, F.lit(0.0)))
 
 
+def write_backfilled(
+    new: DataFrame,
+    old: DataFrame,
+    path: str,
+    cols: Sequence[str] = tuple(BACKFILL_COLUMNS),
+    check: bool = True,
+) -> DataFrame:
+    """Write `backfill(new, old, cols)` and give its profile: (column, before, after), `Length` counting rows.
+
+    `before` counts the empty values of `new`, `after` those of what was written. Both are observed by the write itself, so
+    neither side is read a second time for them; `check` alone takes a pass of its own over the two times. The profile
+    counts rows as they reach the files, behind the last shuffle.
+    """
+    if check:
+        assert_unique_key(new, TIME_COLUMNS)
+    kinds = {f.name: f.dataType for f in new.schema.fields}
+    order = new.columns
+    joined = _joined(new, old, cols)
+    flags = [is_empty(c, kinds[c]).alias(f"__empty {c}") for c in cols]
+    filled = joined.select(*[_filled(c).alias(c) if c in cols else F.col(f"`{c}`") for c in order], *flags)
+    seen = Observation()
+    after = {f.name: f.dataType for f in filled.schema.fields}
+    counts = [F.count_if(is_empty(c, after[c])).alias(c) for c in order]
+    counts += [F.count_if(F.col(f"`__empty {c}`")).alias(f"before {c}") for c in cols]
+    watched = filled.observe(seen, F.count(F.lit(1)).alias("Length"), *counts)
+    watched.select(*[F.col(f"`{c}`") for c in order]).write.parquet(path)
+    found = seen.get
+    rows = [("Length", found["Length"], found["Length"])]
+    rows += [(c, found[f"before {c}" if c in cols else c], found[c]) for c in order]
+    return new.sparkSession.createDataFrame(rows, "column string, before bigint, after bigint")
+
+
 def snapshot_diff(new: DataFrame, old: DataFrame, key: Sequence[str] = tuple(TIME_COLUMNS)) -> DataFrame:
     """Counts of keys added, deleted and in both; one aggregation over both sides, no join."""
     key = list(key)
@@ -107,21 +139,20 @@ def snapshot_diff(new: DataFrame, old: DataFrame, key: Sequence[str] = tuple(TIM
     )
 
 
+def is_empty(name: str, kind: T.DataType) -> Column:
+    """Null, or what stands for an unknown gender or bike type."""
+    value = F.col(f"`{name}`")
+    if name == "Gender":
+        return value == ("U" if isinstance(kind, T.StringType) else 0)
+    return value == "unknown" if name == "Rideable Type" else value.isNull()
+
+
 def _empty_counts(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
     """Nulls per column (zero or `U` gender and unknown rideable count), plus the row count."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     counts = [F.count(F.lit(1)).alias("Length")]
     for c in columns:
-        if c not in kinds:
-            counts.append(F.count(F.lit(1)).alias(c))
-            continue
-        value = F.col(f"`{c}`")
-        missing = value.isNull()
-        if c == "Gender":
-            missing = value == ("U" if isinstance(kinds[c], T.StringType) else 0)
-        elif c == "Rideable Type":
-            missing = value == "unknown"
-        counts.append(F.count_if(missing).alias(c))
+        counts.append((F.count_if(is_empty(c, kinds[c])) if c in kinds else F.count(F.lit(1))).alias(c))
     one_row = df.agg(*counts)
     names = ["Length", *columns]
     stacked = F.array(

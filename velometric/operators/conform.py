@@ -16,6 +16,7 @@ from velometric.functions.columns import (
     quoted,
     region_matches,
     region_of,
+    trip_time,
     yyyymm,
 )
 from velometric.schema import (
@@ -94,11 +95,7 @@ def conform(
 
     for name in ("Start Time", "Stop Time"):
         if kinds.get(name) == "string":
-            # Some older months write times as 6/1/2015 0:00[:03].
-            values[name] = (
-                f"case when `{name}` rlike r'^\\d{{1,2}}/' then to_timestamp_ntz(`{name}`, 'M/d/yyyy H:mm[:ss]') "
-                f"else cast(`{name}` as timestamp_ntz) end"
-            )
+            values[name] = trip_time(f"`{name}`")
     if kinds.get("Gender") == "string":
         values["Gender"] = f"case {cases('Gender', GENDER_CODES)} else cast(`Gender` as tinyint) end"
     values.setdefault("Gender", "0")

@@ -779,6 +779,11 @@ def sorted_csv(spark, folder):
     return roundtrip.sorted_csv(spark, _raw(spark, folder))
 
 
+@query
+def csv_months(spark, folder):
+    return roundtrip.csv_months(spark, _raw(spark, folder), 202003, 202008)
+
+
 @query
 def zip_ingest(spark, folder):
     return roundtrip.zip_ingest(spark, _raw(spark, folder))
@@ -824,6 +829,22 @@ def snapshot_scan(spark, folder):
     return roundtrip.snapshot_scan(spark, new, old, 202001)
 
 
+@query
+def snapshot_changes(spark, folder):
+    """A snapshot published anew, in which every fourth month differs."""
+    rides = _rides(spark, folder).withColumn("ym", yyyymm(F.col("Stop Time")))
+    touched, hour = F.col("ym") % 4 == 0, F.hour("Start Time")
+    emptied = F.when(touched & (F.minute("Start Time") % 3 == 0), F.lit(0)).otherwise(F.col("Gender")).cast("tinyint")
+    new = rides.where(~(touched & (hour == 4))).withColumn("Gender", emptied)
+    return roundtrip.snapshot_changes(spark, new, rides.where(~(touched & (hour == 3))))
+
+
+@query
+def backfill_written(spark, folder):
+    new, old = _snapshots(_rides(spark, folder))
+    return roundtrip.backfill_written(spark, new, old)
+
+
 @query
 def month_files(spark, folder):
     return roundtrip.month_files(spark, _rides(spark, folder))

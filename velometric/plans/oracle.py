@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from velometric.schema import RIDE_COLUMNS
+
 
 def _sid(k: str) -> str:
     return f"""case when {k} < 10 then concat(cast({k} + 100 as varchar), '.0')
@@ -340,6 +342,25 @@ def oracle() -> dict[str, str]:
     )
     keys_new = 'select distinct "Start Time", "Stop Time" from snew4'
     keys_old = 'select distinct "Start Time", "Stop Time" from sold'
+    def unknown(c: str) -> str:
+        return {"Gender": '"Gender" = 0', "Rideable Type": "\"Rideable Type\" = 'unknown'"}.get(c, f'"{c}" is null')
+
+    q["backfill_written"] = _with(
+        """select 'Length' as "column", (select count(*) from snew) as before, (select count(*) from f) as after union all """
+        + " union all ".join(
+            f"""select '{c}', (select count(*) from snew where {unknown(c)}), (select count(*) from f where {unknown(c)})"""
+            for c in RIDE_COLUMNS
+        ), SNAPSHOTS, f"f as ({_backfilled('snew')})"
+    )
+    q["snapshot_changes"] = _with(
+        """select coalesce(n.ym, o.ym) as ym, coalesce(n."Start Time", o."Start Time") as "Start Time",
+          coalesce(n."Stop Time", o."Stop Time") as "Stop Time", "Ride ID",
+          case when o.ym is null then 'added' when n.ym is null then 'dropped' else 'altered' end as change,
+          (n.ym is not null)::bigint as rows_new, (o.ym is not null)::bigint as rows_old
+        from n full join o using ("Ride ID") where n.ym is null or o.ym is null or n."Gender" <> o."Gender" """,
+        """n as (select * replace (case when ym % 4 = 0 and minute("Start Time") % 3 = 0 then 0 else "Gender" end as "Gender")
+          from t where not (ym % 4 = 0 and h = 4)), o as (select * from t where not (ym % 4 = 0 and h = 3))"""
+    )
     q["snapshot_diff"] = _with(
         f"""select (select count(*) from ({keys_new} except {keys_old})) as adds,
         (select count(*) from ({keys_old} except {keys_new})) as dels,
@@ -564,6 +585,7 @@ def oracle() -> dict[str, str]:
         f"""select max(ym) as ym, 2 as regions from ({files.format('true')})
         where ym < (select max(ym) from t) and ym in (select ym from ({files.format('true')}) group by ym having count(*) = 2)"""
     )
+    q["csv_months"] = _with('select rides.* from rides where year("Start Time") * 100 + month("Start Time") between 202003 and 202008')
     q["zip_name_types"] = _with(
         """select 1 + id % 2 as name_type, count(*) as n, sum(id)::bigint as ids
         from (select cast(ride_id as bigint) as id from raw where src_region = 'NYC') group by 1"""

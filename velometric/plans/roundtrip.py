@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velometric.functions.columns import yyyymm
+from velometric.operators.backfill import write_backfilled
 from velometric.operators.conform import conform, union_regions
+from velometric.operators.dedupe import ride_key
 from velometric.operators.rollup import dashboard_records, key_columns, rollup
+from velometric.operators.snapshots import snapshot_changes as compare
 from velometric.operators.stations import (
     pair_counts,
     pair_maps,
@@ -44,6 +47,7 @@ from velometric.sources.archives import read_archives
 from velometric.sources.documents import read_pair_json, read_records, read_station_json
 from velometric.sources.files import read_rides, read_trip_csv
 from velometric.sources.manifest import changed_months, manifest_diff, rides_after
+from velometric.sources.sorted_csv import index_sorted_csv, read_csv_months
 
 
 def _as_text(raw: DataFrame) -> DataFrame:
@@ -64,6 +68,15 @@ def sorted_csv(spark: SparkSession, raw: DataFrame) -> DataFrame:
     return conform(read_trip_csv(spark, path, raw.columns, spread=True), region_column="src_region")
 
 
+def csv_months(spark: SparkSession, raw: DataFrame, first: int, last: int) -> DataFrame:
+    """Sorted gzipped CSV out with its range index, conformed rides of some start months back."""
+    path = scratch_path(spark, "sorted-csv")
+    text = _as_text(raw)
+    write_sorted_csv(text, path)
+    index_sorted_csv(spark, path, raw.columns)
+    return conform(read_csv_months(spark, path, raw.columns, first, last, spread=True), region_column="src_region")
+
+
 def zip_ingest(spark: SparkSession, raw: DataFrame) -> DataFrame:
     """Zip archives of several layouts, then listed, chosen, streamed and conformed."""
     return conform(read_archives(publish(spark, raw, mixed_layouts())), region_column="src_region")
@@ -102,6 +115,19 @@ def snapshot_scan(spark: SparkSession, new: DataFrame, old: DataFrame, month: in
     return sides[0].join(sides[1], PART_KEYS, "full")
 
 
+def snapshot_changes(spark: SparkSession, new: DataFrame, old: DataFrame) -> DataFrame:
+    """Two snapshots stored by stop month (`ym`), compared by digest first; ride keys of what changed."""
+    root = scratch_path(spark, "digests")
+    for name, rides in (("v1", new), ("v0", old)):
+        write_by_month(rides, f"{root}/{name}")
+    return compare(read_rides(spark, f"{root}/v1"), read_rides(spark, f"{root}/v0"), ["ym"], ride_key(new))
+
+
+def backfill_written(spark: SparkSession, new: DataFrame, old: DataFrame) -> DataFrame:
+    """Empty values before and after a backfill, as the job that writes it sees them."""
+    return write_backfilled(new, old, scratch_path(spark, "backfilled"))
+
+
 def month_files(spark: SparkSession, rides: DataFrame) -> DataFrame:
     """A table of months, of which several are loaded with their month as `ym`."""
     path = scratch_path(spark, "months")
