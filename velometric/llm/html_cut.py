@@ -8,16 +8,18 @@ notice amid menus stays out.
 
 Pages are independent: the flow runs in an Arrow function over one page at a time.
 
-Defined results: a null page is empty and gives the empty text; broken markup is read as far as it goes; equal rows each
-get their row; an empty table gives an empty one.
+Defined results: a null page is empty and gives the empty text; broken markup is read as far as it goes, what follows the
+last `>` being text, in time that grows with the page; very long pages are taken whole; equal rows each get their row; extra
+columns are left out, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -150,6 +152,8 @@ class BlockReader(HTMLParser):
         self.held: list[str] = []
         self.linked = 0
         self.links = 0
+        self.open: Counter[str] = Counter()
+        self.unended: set[str] = set()
 
     def flush(self) -> None:
         if self.held:
@@ -162,10 +166,10 @@ class BlockReader(HTMLParser):
     def leave(self, node: Node) -> None:
         """Closes everything down to and with `node`."""
         at = self.node
-        while at is not node:
+        while at is not node.parent:
             self.links -= at.tag == "a"
+            self.open[at.tag] -= 1
             at = at.parent
-        self.links -= node.tag == "a"
         self.node = node.parent
 
     def implied(self, tag: str) -> None:
@@ -199,6 +203,7 @@ class BlockReader(HTMLParser):
             up.silent or tag in SILENT, self.forms - 1 if tag == "form" else up.form,
         )
         self.links += tag == "a"
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -206,6 +211,10 @@ class BlockReader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            if tag not in INLINE:
+                self.flush()
+            return
         at = self.node
         while at.parent is not None and at.tag != tag:
             if tag in INLINE and at.tag not in INLINE:
@@ -216,12 +225,25 @@ class BlockReader(HTMLParser):
         if at.parent is not None:
             self.leave(at)
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self.sought("--", super().parse_comment, i, report)
+
     def parse_marked_section(self, i: int, report: int = 1) -> int:
+        name = _NAME.match(self.rawdata[i + 3 : i + 12].lower())
         try:
-            return super().parse_marked_section(i, report)
+            return self.sought(name.group() if name else "", super().parse_marked_section, i, report)
         except AssertionError:  # of unknown name or none: a bogus comment up to the next `>`, as in browsers
             return self.parse_bogus_comment(i, report)
 
+    def sought(self, kind: str, parse: Callable[[int, int], int], i: int, report: int) -> int:
+        """What `parse` gives; once it finds no end of a kind, there is none further on either."""
+        if kind in self.unended:
+            return -1
+        end = parse(i, report)
+        if end < 0:
+            self.unended.add(kind)
+        return end
+
     def handle_data(self, data: str) -> None:
         if self.node.silent:
             return
@@ -240,8 +262,12 @@ def read_blocks(html: str) -> list[Block]:
 
     def read(frames: frozenset[int] = frozenset()) -> list[Block]:
         reader = BlockReader(frames)
-        reader.feed(html)
+        # Behind the last `>` no markup can end: the parser would look for its end from every `<`.
+        whole = html.rfind(">") + 1
+        reader.feed(html[:whole])
         reader.close()
+        if whole < len(html) and not reader.cdata_elem:
+            reader.handle_data(unescape(html[whole:]))
         reader.flush()
         return reader.blocks
 
