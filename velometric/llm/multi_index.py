@@ -12,14 +12,15 @@ most BLOCK entries by QUERIES queries, compared with one matrix product. Only ea
 The centroids are fitted on at most SAMPLE distinct vectors, those with the smallest hashes; every vector is indexed. The
 k * k cell counts (k at most CENTROIDS) go to the driver and with the centroids to the tasks.
 
-Defined results: rows with a null id, and vectors null, empty, zero, holding null or non-finite numbers or of another
-length than most, take no part; equal rows count once; ties go to the smaller id; an empty table gives an empty one.
+Defined results: rows with a null id, and vectors null, empty, zero or holding null or non-finite numbers take no part; a
+vector's neighbours are those of its own length, each length having an index of its own (the driver sees the lengths); equal
+rows count once; ties go to the smaller id; an empty table gives an empty one; further columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,10 +43,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull())
-    rows = rows.where(finite & F.exists("vec", lambda x: x != 0)).distinct()
-    lengths = rows.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("rows"))
-    usual = lengths.orderBy(F.desc("rows"), "n").head()
-    return rows.where(F.size("vec") == (usual["n"] if usual else 0))
+    return rows.where(finite & F.exists("vec", lambda x: x != 0)).distinct()
 
 
 def entries(rows: DataFrame, k: int) -> DataFrame:
@@ -118,14 +116,23 @@ def search(
     `visit` is the share of the index's entries that a query's cells must hold before the traversal stops; the share
     sets recall, not the table's size.
     """
-    spark = vectors.sparkSession
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    everything = usable(vectors, id_col, vector_col)
-    table = written(entries(everything, k), "ann-entries")
+    every = written(entries(usable(vectors, id_col, vector_col), k), "ann-entries")
+    asked = usable(queries, id_col, vector_col)
+    lengths = [r["n"] for r in every.select(F.size("vec").alias("n")).distinct().orderBy("n").collect()]
+    found = []
+    for n in lengths:
+        sides = (every, asked) if len(lengths) == 1 else (every.where(F.size("vec") == n), asked.where(F.size("vec") == n))
+        found.append(search_entries(*sides, k, visit, sample, centroids))
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return reduce(DataFrame.unionAll, found)
+
+
+def search_entries(table: DataFrame, asked: DataFrame, k: int, visit: float, sample: int, centroids: int) -> DataFrame:
+    """`search` among entries of one length, for the rows (id, vec) of `asked`."""
     drawn = table.orderBy(F.xxhash64("entry"), "entry").limit(sample).select("vec").toPandas()["vec"]
-    if not len(drawn):
-        return spark.createDataFrame([], schema)
     points = np.stack(drawn.to_numpy())
+    middle = points.mean(axis=0)
     half = points.shape[1] // 2
     count = table.count()
     centroids = min(centroids, len(points))
@@ -156,7 +163,6 @@ def search(
             out.append([{"i": i, "js": js} for i, js in lists.items()])
         return pa.array(out, pa.list_(pa.struct([("i", pa.int32()), ("js", pa.list_(pa.int32()))])))
 
-    asked = usable(queries, id_col, vector_col)
     points_asked = written(
         asked.join(index.select("vec", "entry"), "vec").select(F.col("id").alias("query_id"), "entry"), "ann-queries"
     )
@@ -182,11 +188,14 @@ def search(
         allowed = np.zeros((len(q), centroids), dtype=bool)
         for row, js in enumerate(near["js"]):
             allowed[row, np.asarray(js)] = True
-        apart = np.where(allowed[:, far["j"].to_numpy()], distances(q, x), np.inf)
+        near_middle, far_middle = q - middle, x - middle
+        apart = np.where(allowed[:, far["j"].to_numpy()], distances(near_middle, far_middle), np.inf)
         last = min(width, len(x)) - 1
         edge = np.partition(apart, last, axis=1)[:, last]
-        # The product is exact to about 1e-12, so a margin over the last place keeps every tie for the exact distance.
-        row, col = np.nonzero((apart <= (edge * (1 + 1e-9) + 1e-9)[:, None]) & np.isfinite(apart))
+        # A margin over the last place keeps every tie for the exact distance: twice what the products can be off, which
+        # grows with the vectors' length and their distance from the middle.
+        off = np.finfo(float).eps * (q.shape[1] + 4) * ((near_middle**2).sum(1) + (far_middle**2).sum(1).max())
+        row, col = np.nonzero((apart <= (edge * (1 + 1e-9) + 8 * off)[:, None]) & np.isfinite(apart))
         score = np.sqrt(((q[row] - x[col]) ** 2).sum(axis=1))
         entry = far["entry"].to_numpy()[col]
         out = pd.DataFrame({"q": near["q"].to_numpy()[row], "entry": entry, "ids": far["ids"].to_numpy()[col], "score": score})
