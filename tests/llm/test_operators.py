@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -12,6 +13,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from velometric.llm import (
@@ -294,6 +296,34 @@ def test_nearest_few_and_none(spark):
     assert multi_index.search(few.limit(0), few).count() == 0
 
 
+def test_nearest_within_each_length(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=2 + i % 3).tolist()) for i in range(0, 400, 4)] + [(9999, rng.normal(size=9).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in multi_index.search(frame, multi_index.every_hundredth(frame), visit=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    want = {}
+    for n in (2, 3, 4):
+        own = [(i, v) for i, v in rows if len(v) == n]
+        want |= brute.nearest([i for i, _ in own], np.array([v for _, v in own]))
+    assert got == {q: [i for _, i in hits] for q, hits in want.items()} and len(got) == 4
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e6])
+def test_nearest_far_from_the_origin(spark, spread):
+    """Neither a common offset nor long vectors lose a neighbour to the rounding of the products."""
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(600, 16)) * spread + 1e6
+    points[300:] = points[:300] + rng.normal(size=(300, 16)) * 1e-3
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>")
+    got = multi_index.search(frame, multi_index.every_hundredth(frame), visit=1.0).collect()
+    want = brute.nearest(list(range(600)), points)
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got} == {
+        (q, rank): i for q, hits in want.items() for rank, (_, i) in enumerate(hits, 1)
+    }
+
+
 def test_traversal_order():
     """Cells come in order of summed distance, each once."""
     rng = np.random.default_rng(3)
@@ -422,6 +452,31 @@ def test_sharding(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_grains_grow_with_the_rows():
+    assert sharding.grains_of(0, 1024) == sharding.grains_of(10**9, 1024) == sharding.GRAINS
+    for rows in (10**11, 10**12, 10**13):
+        grains = sharding.grains_of(rows, 1024)
+        assert rows / (grains * 1024) <= sharding.ROWS < 2 * rows / (grains * 1024)
+
+
+@pytest.mark.parametrize("rows", [1, 3000])
+def test_slots_with_many_grains(spark, monkeypatch, rows):
+    """More grains than least: slots stay gapless and sizes near equal, a third of the rows being one text."""
+    monkeypatch.setattr(sharding, "GRAINS", 16)
+    monkeypatch.setattr(sharding, "ROWS", 1)
+    assert sharding.grains_of(rows, 64) == (64 if rows > 1 else 16)
+    text = F.when(F.col("id") % 3 == 0, F.lit("copy")).otherwise(F.concat(F.lit("text "), F.col("id").cast("string")))
+    docs = spark.range(rows).select((F.col("id") % 7).alias("doc_id"), text.alias("text"))
+    slots, sizes = defaultdict(list), Counter()
+    for r in sharding.assign_shards(docs, 8, ranges=64).collect():
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += r["size"]
+    assert sum(map(len, slots.values())) == rows
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    if rows > 8:
+        assert len(sizes) == 8 and max(sizes.values()) < 1.2 * min(sizes.values())
+
+
 def test_shards_are_even(spark):
     """One text that a third of the rows hold is subdivided; its shards stay near the mean."""
     rows = [(i, "hot text " * 20 if i % 3 == 0 else f"text {i} " * (1 + i % 40)) for i in range(12_000)]
@@ -617,3 +672,15 @@ def test_cut_is_minimal():
 
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
+
+
+@pytest.mark.parametrize("bad", ["<!--", "<!-- x>", "<![CDATA[ y>", "<![if z>", "<q", "</b", "</section>"])
+def test_broken_markup_takes_time_with_its_length(bad):
+    def seconds(n):
+        began = time.process_time()
+        html_cut.main_text("<div><p>Start.</p>" + bad * n)
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(80_000) < 12 * seconds(20_000) + 0.2
+    assert html_cut.main_text("<article><p>" + "Some words of text, " * 20 + "end.</p><!-- open").startswith("Some words")
