@@ -31,7 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of texts with a similarity of 0.8 of their five-word shingles.
 
-    Rare shingles propose pairs, SimHash tiles and then the whole sets confirm them; of a class the least id stays.
+    SimHash fingerprints propose pairs, the whole sets confirm them, and an exact check by rare shingles finds what
+    fingerprints miss; of a class the least id stays.
     """
     return similar_sets.keep_one(docs, shingle=5, similarity=0.8)
 

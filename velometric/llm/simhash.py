@@ -22,7 +22,7 @@ named after its smallest non-null id; equal rows are in one class and all return
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,13 @@ TILE = 4096
 CHUNK = 1 << 16
 #: Mean number of comparisons per fingerprint above which one more block must agree.
 MOST_COMPARED = 8192
+#: The same where only partners are looked for: a comparison costs less than moving a fingerprint to one more bucket.
+PARTNERS_COMPARED = 1 << 17
+MOST_MASKS = 64
+#: Nearest partners that are taken of each fingerprint.
+NEAREST = 4
+#: An odd factor whose product with a fingerprint draws its place.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 # Fingerprints
@@ -106,11 +113,11 @@ def block_plan(count: int, radius: int, most: int = MOST_COMPARED) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in masks]
 
 
-def bucketed(prints: DataFrame, masks: list[int]) -> DataFrame:
-    """(mask, masked) buckets of distinct fingerprints, with their population count."""
+def bucketed(prints: DataFrame, masks: list[int], carried: Sequence[str] = ()) -> DataFrame:
+    """(mask, masked) buckets of distinct fingerprints, with their population count and the columns `carried`."""
     values = F.array(*[F.lit(m).cast("long") for m in masks])
-    rows = prints.select("fp", F.bit_count("fp").alias("ones"), F.posexplode(values).alias("mask", "bits"))
-    return rows.select("mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp", "ones")
+    rows = prints.select("fp", *carried, F.bit_count("fp").alias("ones"), F.posexplode(values).alias("mask", "bits"))
+    return rows.select("mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp", "ones", *carried)
 
 
 def tile_table(buckets: DataFrame, tile: int) -> DataFrame:
@@ -134,7 +141,7 @@ def tile_table(buckets: DataFrame, tile: int) -> DataFrame:
     return large.select("mask", "key", "total", F.aggregate("entries", start, step, lambda s: s["out"]).alias("layout"))
 
 
-def units(buckets: DataFrame, tiles: DataFrame, tile: int, radius: int) -> DataFrame:
+def units(buckets: DataFrame, tiles: DataFrame, tile: int, radius: int, carried: Sequence[str] = ()) -> DataFrame:
     """Rows dealt to units (mask, key, a, b) with `side`. A small bucket is the unit (0, 0).
 
     In a large one a fingerprint's place along the population counts gives its tile; the tile goes to a unit with every
@@ -148,7 +155,7 @@ def units(buckets: DataFrame, tiles: DataFrame, tile: int, radius: int) -> DataF
     low, high = F.col("tile").cast("long") * tile, (F.col("tile").cast("long") + 1) * tile
     inside = F.filter("layout", lambda e: (e["before"] < high) & (e["before"] + e["n"] > low))
     joined = joined.select(
-        "mask", "key", "fp", "ones", "tile", "layout",
+        "mask", "key", "fp", "ones", *carried, "tile", "layout",
         (F.array_min(F.transform(inside, lambda e: e["ones"])) - radius).alias("least"),
         (F.array_max(F.transform(inside, lambda e: e["ones"])) + radius).alias("most"),
     )
@@ -156,10 +163,11 @@ def units(buckets: DataFrame, tiles: DataFrame, tile: int, radius: int) -> DataF
     first = F.floor(F.array_min(F.transform(near, lambda e: e["before"])) / tile).cast("int")
     last = F.floor((F.array_max(F.transform(near, lambda e: e["before"] + e["n"])) - 1) / tile).cast("int")
     others = F.when(F.col("tile").isNull(), F.array(F.lit(0))).otherwise(F.sequence(first, last))
-    dealt = joined.select("mask", "key", "fp", "ones", F.coalesce("tile", F.lit(0)).alias("tile"), F.explode(others).alias("other"))
+    tiled = F.coalesce("tile", F.lit(0)).alias("tile")
+    dealt = joined.select("mask", "key", "fp", "ones", *carried, tiled, F.explode(others).alias("other"))
     return dealt.select(
         "mask", "key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "fp", "ones",
-        (F.col("tile") > F.col("other")).alias("side"),
+        (F.col("tile") > F.col("other")).alias("side"), *carried,
     )
 
 
@@ -201,29 +209,64 @@ def links_of(fps: np.ndarray, ones: np.ndarray, side: np.ndarray, two: bool, rad
     return fps.view(np.int64)[forest(pairs[:, 0], pairs[:, 1], len(fps))]
 
 
-def compare_function(radius: int):
-    """Reads rows sorted by unit and compares each unit; what is held is one unit of at most about two tiles."""
+def partners_of(fps: np.ndarray, n: np.ndarray, side: np.ndarray, two: bool, radius: int, share: float) -> np.ndarray:
+    """Rows (v, w, bits apart, place of w): for each fingerprint of a unit its NEAREST within the radius and the first.
+
+    Partners have an `n` of at least `share` of the other's. First is the least `place`, an order drawn from the bits, so that
+    a family of copies meets at few fingerprints; ties of the nearest go to it, too. With `two`, partners are on the other side.
+    """
+    place = (fps.view(np.uint64) * MIX).view(np.int64)
+    order = np.argsort(place, kind="stable")
+    fps, n, place, side = fps[order].view(np.uint64), n[order], place[order], side[order]
+    sides = [(np.flatnonzero(~side), np.flatnonzero(side))] if two else [(np.arange(len(fps)),) * 2]
+    sides += [(b, a) for a, b in sides if two]
+    found = [np.zeros((0, 4), np.int64)]
+    for rows, others in sides:
+        step = max(1, CHUNK * 8 // max(1, len(others)))
+        for begin in range(0, len(rows) if len(others) else 0, step):
+            block = rows[begin : begin + step]
+            apart = np.bitwise_count(fps[block][:, None] ^ fps[others][None, :])
+            if not two:
+                apart[np.arange(len(block)), block] = 65
+            i, j = np.nonzero(apart <= radius)
+            a, b = n[block[i]], n[others[j]]
+            unlike = np.minimum(a, b) < share * np.maximum(a, b) - 1e-9
+            apart[i[unlike], j[unlike]] = 65
+            every = np.arange(len(block))
+            for turn in range(NEAREST + 1):
+                j = apart.argmin(axis=1) if turn else (apart <= radius).argmax(axis=1)
+                i = np.flatnonzero(apart[every, j] <= radius)
+                if not len(i):
+                    break
+                at = others[j[i]]
+                columns = (fps[block[i]].view(np.int64), fps[at].view(np.int64), apart[i, j[i]].astype(np.int64), place[at])
+                found.append(np.stack(columns, axis=1))
+                if turn:
+                    apart[i, j[i]] = 65
+    return np.concatenate(found)
+
+
+def unit_function(take: Callable[..., np.ndarray], columns: list[str], names: list[str]):
+    """Reads rows sorted by unit and hands each unit's `columns` and whether it has two sides to `take`, which gives rows `names`.
+
+    What is held is one unit of at most about two tiles.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         unit = None
 
         def done() -> list[np.ndarray]:
-            fps, ones, side = (np.concatenate(c) for c in zip(*held, strict=True))
-            return [links_of(fps, ones, side, unit[2] != unit[3], radius)] if len(fps) > 1 else []
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            return [take(*whole, unit[2] != unit[3])] if len(whole[0]) > 1 else []
 
-        def packed_links(found: list[np.ndarray]) -> pa.RecordBatch:
-            table = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], names=["v", "w"])
+        def packed_rows(found: list[np.ndarray]) -> pa.RecordBatch:
+            table = np.concatenate(found) if found else np.zeros((0, len(names)), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(len(names))], names=names)
 
         for batch in batches:
-            names = ["mask", "key", "a", "b"]
-            ids = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-            data = [
-                batch.column("fp").to_numpy(zero_copy_only=False),
-                batch.column("ones").to_numpy(zero_copy_only=False),
-                batch.column("side").to_numpy(zero_copy_only=False),
-            ]
+            ids = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("mask", "key", "a", "b")]
+            data = [batch.column(n).to_numpy(zero_copy_only=False) for n in columns]
             if not len(ids[0]):
                 continue
             changed = np.zeros(len(ids[0]), dtype=bool)
@@ -238,24 +281,52 @@ def compare_function(radius: int):
                     held.clear()
                 unit = now
                 held.append([d[begin:end] for d in data])
-            yield packed_links(found)
+            yield packed_rows(found)
         if held:
-            yield packed_links(done())
+            yield packed_rows(done())
 
     return compare
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(v, w): links among the distinct fingerprints `fp` that span every class within `radius` bits."""
-    masks = block_plan(prints.count(), radius)
-    buckets = bucketed(prints, masks)
+def compare_function(radius: int):
+    """Each unit's spanning links."""
+    return unit_function(lambda *unit: links_of(*unit, radius), ["fp", "ones", "side"], ["v", "w"])
+
+
+def in_units(prints: DataFrame, masks: list[int], radius: int, tile: int, carried: Sequence[str] = ()) -> DataFrame:
+    """The distinct fingerprints `fp` dealt to units and sorted by them."""
+    buckets = bucketed(prints, masks, carried)
     tiles = written(tile_table(buckets, tile), "simhash-tiles")
-    dealt = units(buckets, tiles, tile, radius)
     by = ["mask", "key", "a", "b"]
-    ordered = dealt.repartition(*by).sortWithinPartitions(*by)
+    return units(buckets, tiles, tile, radius, carried).repartition(*by).sortWithinPartitions(*by)
+
+
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(v, w): links among the distinct fingerprints `fp` that span every class within `radius` bits."""
+    ordered = in_units(prints, block_plan(prints.count(), radius), radius, tile)
     return ordered.mapInArrow(compare_function(radius), "v bigint, w bigint").distinct()
 
 
+def partners(prints: DataFrame, sure: int, radius: int, share: float, tile: int = TILE) -> DataFrame:
+    """(v, w): each of the distinct fingerprints `fp` with its NEAREST and its first partner within `radius` bits.
+
+    Partners agree on the blocks of some mask, and the `n` of one is at least `share` of the other's. Within `sure` bits all
+    agree so, and most of those a little further apart; with fewer fingerprints the masks make up to `radius` sure.
+    """
+    count = prints.count()
+    plans = [block_plan(count, r, PARTNERS_COMPARED) for r in range(radius, sure - 1, -1)]
+    masks = next((plan for plan in plans if len(plan) <= MOST_MASKS), plans[-1])
+    take = unit_function(lambda *unit: partners_of(*unit, radius, share), ["fp", "n", "side"], ["v", "w", "apart", "place"])
+    ordered = in_units(prints, masks, radius, tile, ["n"])
+    found = ordered.mapInArrow(take, "v bigint, w bigint, apart bigint, place bigint")
+    # At most NEAREST + 1 rows a mask.
+    best = found.groupBy("v").agg(
+        F.slice(F.array_sort(F.collect_set(F.struct("apart", "place", "w"))), 1, NEAREST).alias("nearest"),
+        F.min(F.struct("place", "w")).alias("first"),
+    )
+    return best.select("v", F.explode(F.array_union(F.array("first.w"), F.col("nearest.w"))).alias("w"))
+
+
 # Classes
 
 
