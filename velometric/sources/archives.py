@@ -44,7 +44,8 @@ TEXT_COLUMNS = sorted(set(HEADER_ALIASES.values()))
 RECORDS = "__records"
 # What a column is taken as when a file lacks it.
 MISSING_DEFAULTS = {"Gender": "0", "Rideable Type": "unknown"}
-BLOCK_BYTES = 8 << 20
+# Arrow's reader runs up to 32 blocks ahead of its consumer, and parses as many as there are cores.
+BLOCK_BYTES = 1 << 20
 SPOOL_BYTES = 64 << 20
 # Spark's names of file systems that Arrow calls otherwise.
 ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfs", "wasb": "abfs"}
