@@ -49,7 +49,7 @@ def build_sorted_csvs(paths: DataFrame, root: str) -> list[tuple[str, str, list[
         own = paths.where((F.col("ym") == row["ym"]) & (F.col("src_region") == row["src_region"]))
         trips = read_archives(own, spread=False, records=True).drop("src_ym", "src_region")
         path = f"{root}/{row['src_region']}-{row['ym']}"
-        write_sorted_csv(trips, path, records=RECORDS)
+        write_sorted_csv(trips, path, records=RECORDS, spread=True)
         done.append((path, row["src_region"], [c for c in trips.columns if c != RECORDS]))
     return done
 

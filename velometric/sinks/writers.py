@@ -148,7 +148,7 @@ def csv_sort_columns(columns: Sequence[str]) -> list[str]:
 
 
 def write_sorted_csv(
-    raw: DataFrame, path: str, expected_rows: int | None = None, records: str | None = None
+    raw: DataFrame, path: str, expected_rows: int | None = None, records: str | None = None, spread: bool = False
 ) -> int:
     """Gzipped CSV in global order of start, stop and id; returns the rows written.
 
@@ -156,11 +156,14 @@ def write_sorted_csv(
     more than its range; the input position as last sort column keeps ties in order and lets many
     copies of one key spread over several ranges. A row count other than `expected_rows` is an error, as is one other
     than the sum of the column `records`, which is not written: the sources' own record counts, in the same pass.
+    The range bounds are sampled by a pass of their own over `raw`; `spread` rebalances the rows before it, so that a costly
+    scan is run once and both passes read its shuffle.
     """
     seen = Observation()
     columns = [c for c in raw.columns if c != records]
     keys = [F.col(f"`{c}`") for c in csv_sort_columns(columns)]
     placed = raw.withColumn("__at", F.monotonically_increasing_id())
+    placed = placed.hint("rebalance") if spread else placed
     ordered = placed.orderBy(*keys, "__at").drop("__at")
     # Counted after the sort: the range bounds are sampled by an extra pass over what is below it.
     told = F.sum(F.col(records) if records else F.lit(None).cast("bigint"))
