@@ -222,7 +222,7 @@ def partners_of(fps: np.ndarray, n: np.ndarray, side: np.ndarray, two: bool, rad
     sides += [(b, a) for a, b in sides if two]
     found = [np.zeros((0, 4), np.int64)]
     for rows, others in sides:
-        step = max(1, CHUNK * 8 // max(1, len(others)))
+        step = max(1, CHUNK * 2 // max(1, len(others)))
         for begin in range(0, len(rows) if len(others) else 0, step):
             block = rows[begin : begin + step]
             apart = np.bitwise_count(fps[block][:, None] ^ fps[others][None, :])
