@@ -15,11 +15,17 @@ passage makes no bucket.
 Nodes that share a prefix hash form a bucket; most hashes have one node, and those are passed over as rows stream by. Of the
 buckets that hold several classes each node is confirmed against one node (the bucket's least, in the order of the round) if the
 maps below allow it, which joins families of copies at one comparison a node. Buckets that still hold several classes are
-compared whole: their SimHash fingerprints in tiles, with exclusive-or and bit counts, sizes and classes told apart. The radius lies over five standard deviations above what
+compared whole, of those with the same nodes one: their SimHash fingerprints in tiles, with exclusive-or and bit counts, sizes
+and classes told apart. The radius lies over five standard deviations above what
 similar sets of at least SURE shingles differ by; smaller sets are not held to it. Then maps of MAP bits, one for each hash, bound
 what two sets can share: a bit that one has alone is a hash less. The bound is strict, so it loses nothing, and of the pairs
-of a family of copies it leaves those next to the similarity. Pairs left are confirmed on their sets: members stream past their centre, of which one set is held at a time, and
-a centre with very many members is dealt to several tasks.
+of a family of copies it leaves those next to the similarity. A family just below the similarity has very many such pairs, so no
+row is made of a pair: a tile returns the groups of nodes that its pairs connect, a row a node. Groups that overlap are put
+together where their sets are not too large for a task, sets travel once a group, and all pairs of a group that pass the same
+bounds are confirmed where the sets are, of which spanning links are returned.
+
+The pairs of the search and of the stars, a few a node, are confirmed one by one: members stream past their centre, of which one
+set is held at a time, and a centre with very many members is dealt to several tasks.
 
 Every step is a written table, removed when its successor is there.
 
@@ -31,16 +37,16 @@ texts count whole; an empty table gives an empty one; the caller's columns trave
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velometric.llm.common import Scratch, packed, slices, text_bytes
-from velometric.llm.simhash import SEED, TILE, first_of_each, partners, roots, shingle_hashes
+from velometric.llm.simhash import SEED, TILE, first_of_each, forest, partners, roots, shingle_hashes
 
 #: Counters of the frequency sketch, and how many travel in one row.
 WIDTH = 1 << 20
@@ -59,6 +65,8 @@ CELLS = 1 << 20
 MAP = 2048
 #: Rows of small units that are compared in one go.
 TOGETHER = 512
+#: Hashes of the sets of a group that a task holds; a larger group is cut into tiles of that size.
+VOLUME = 1 << 21
 
 
 # Sets and prefixes
@@ -267,9 +275,18 @@ def possible(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame
     return rows.where(allowed("n_v", "map_v", "n_w", "map_w")).select("v", "w")
 
 
-def dealt_to_tiles(rows: DataFrame, tile: int) -> DataFrame:
-    """Rows (h, node, root) dealt to units (h, a, b): a bucket of over `tile` nodes to the pairs of its tiles."""
-    sizes = rows.groupBy("h").agg(F.count("*").alias("many")).where(F.col("many") > tile)
+def once_each(rows: DataFrame) -> DataFrame:
+    """The rows (h, node, root) of one bucket of those with the same nodes: the others have the same pairs."""
+    low, high = F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64(F.lit(1), "node"))
+    known = rows.groupBy("h").agg(F.count("*").alias("many"), low.alias("low"), high.alias("high"))
+    first = known.groupBy("many", "low", "high").agg(F.min("h").alias("h"))
+    return rows.join(first.select("h"), "h", "left_semi")
+
+
+def dealt_to_tiles(rows: DataFrame, tile: int, weight: Column | None = None) -> DataFrame:
+    """Rows (h, node, root) dealt to units (h, a, b): a bucket of over `tile` nodes, or `weight`, to the pairs of its tiles."""
+    many = F.count("*") if weight is None else F.sum(weight)
+    sizes = rows.groupBy("h").agg(many.alias("many")).where(F.col("many") > tile)
     sizes = sizes.select("h", F.ceil(F.col("many") / tile).cast("int").alias("tiles"))
     own = F.coalesce(F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"), F.lit(0))
     joined = rows.join(sizes, "h", "left").select("*", own.alias("tile"))
@@ -278,12 +295,12 @@ def dealt_to_tiles(rows: DataFrame, tile: int) -> DataFrame:
 
 
 def near_prints(columns: dict[str, np.ndarray], similarity: float, radius: int) -> Iterator[np.ndarray]:
-    """Pairs (v, w) of nodes of one unit but different classes whose sizes and fingerprints allow the similarity.
+    """Pairs of rows of one unit but different classes whose sizes, fingerprints and maps allow the similarity.
 
     `unit` tells units apart and `two` those that are pairs of two tiles, of which only pairs across are wanted.
     """
     order = np.argsort(columns["n"], kind="stable")
-    node, n, fp, root, tile, unit, two = (columns[c][order] for c in ("node", "n", "fp", "root", "tile", "unit", "two"))
+    n, fp, root, tile, unit, two = (columns[c][order] for c in ("n", "fp", "root", "tile", "unit", "two"))
     fp, maps = fp.view(np.uint64), np.frombuffer(b"".join(columns["map"][order]), np.uint64).reshape(len(n), -1)
     step = max(1, CELLS // max(1, len(n)))
     for begin in range(0, len(n), step):
@@ -301,27 +318,73 @@ def near_prints(columns: dict[str, np.ndarray], similarity: float, radius: int)
         for at in range(0, len(i), CELLS // 64):
             p, q = i[at : at + CELLS // 64], j[at : at + CELLS // 64]
             near = can_share(n[p], maps[p], n[q], maps[q], similarity)
-            yield np.stack([node[p[near]], node[q[near]]], axis=1)
+            if near.any():
+                yield np.stack([order[p[near]], order[q[near]]], axis=1)
 
 
 def own_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
 
 
-def tile_function(similarity: float, radius: int):
-    """Rows sorted by unit to candidate pairs (v, w); what is held is one unit of about two tiles, or several small ones."""
+def groups_of(columns: dict[str, np.ndarray], similarity: float, radius: int) -> Iterator[np.ndarray]:
+    """Rows (group, v, w, root): the nodes w that candidate pairs connect, with the least of them and their own class.
+
+    Groups of the same nodes have the same name. A unit gives a row for each of its nodes at most, however many pairs it has.
+    """
+    node, root = columns["node"], columns["root"]
+    found = [np.zeros((0, 2), np.int64)]
+    found += [forest(pairs[:, 0], pairs[:, 1], len(node)) for pairs in near_prints(columns, similarity, radius)]
+    pairs = np.concatenate(found)
+    spanning = forest(pairs[:, 0], pairs[:, 1], len(node))
+    if not len(spanning):
+        return
+    label = np.arange(len(node))
+    label[spanning[:, 0]] = spanning[:, 1]
+    rows = np.unique(spanning)
+    rows = rows[np.lexsort((node[rows], label[rows]))]
+    cuts = np.flatnonzero(np.diff(label[rows])) + 1
+    out = []
+    for members in np.split(rows, cuts):
+        own = node[members]
+        name, least = np.full(len(own), named(own)), np.full(len(own), own[0])
+        out.append(np.stack([name, least, own, root[members]], axis=1))
+    yield np.concatenate(out)
+
+
+def links_among(columns: dict[str, np.ndarray], similarity: float, radius: int) -> Iterator[np.ndarray]:
+    """Spanning links (v, w) of the pairs whose sets have the similarity; pairs that links connect already are passed over."""
+    node, sets = columns["node"], columns["hashes"]
+    up = list(range(len(node)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for pairs in near_prints(columns, similarity, radius):
+        found = []
+        for p, q in pairs.tolist():
+            if (a := top(p)) != (b := top(q)) and alike(sets[p], sets[q], similarity):
+                up[a] = b
+                found.append((p, q))
+        if found:
+            yield np.sort(node[np.array(found)], axis=1)
+
+
+def tile_function(take: Callable[[dict[str, np.ndarray]], Iterator[np.ndarray]], data: list[str], names: list[str]):
+    """Hands rows sorted by unit to `take`, which gives rows `names`; what is held is one unit of about two tiles, or several
+    small ones. `data` are columns to hand over beside those of `near_prints`."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         units = rows = 0
         unit = None
+        carried = ["node", "n", "fp", "map", "root", "tile", "unit", "two", *data]
 
         def done() -> Iterator[pa.RecordBatch]:
-            columns = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-            for pairs in near_prints(columns, similarity, radius):
-                if len(pairs):
-                    ends = np.sort(pairs, axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["v", "w"])
+            columns = {c: np.concatenate([h[c] for h in held]) for c in carried}
+            for found in take(columns):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(len(names))], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -342,7 +405,7 @@ def tile_function(similarity: float, radius: int):
                 if cut < batch.num_rows and rows + cut - begin < TOGETHER:
                     continue
                 if cut > begin:
-                    held.append({c: columns[c][begin:cut] for c in ("node", "n", "fp", "map", "root", "tile", "unit", "two")})
+                    held.append({c: columns[c][begin:cut] for c in carried})
                     rows += cut - begin
                 if cut < batch.num_rows:
                     yield from done()
@@ -355,11 +418,32 @@ def tile_function(similarity: float, radius: int):
     return compare
 
 
-def tile_pairs(rows: DataFrame, sizes: DataFrame, similarity: float, radius: int, tile: int) -> DataFrame:
-    """(v, w): pairs of different classes within a bucket that may be similar. Maps join last, so they are moved once."""
+def tile_groups(rows: DataFrame, sizes: DataFrame, similarity: float, radius: int, tile: int) -> DataFrame:
+    """(group, v, w, root): groups of nodes that pairs of different classes within a bucket connect which may be similar.
+
+    Maps join last, so they are moved once.
+    """
     by = ["h", "a", "b"]
     dealt = dealt_to_tiles(rows, tile).join(sizes, "node").repartition(*by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(tile_function(similarity, radius), "v bigint, w bigint").distinct()
+    take = tile_function(lambda unit: groups_of(unit, similarity, radius), [], ["group", "v", "w", "root"])
+    return dealt.mapInArrow(take, "group bigint, v bigint, w bigint, root bigint").distinct()
+
+
+def put_together(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(h, node, root, n): the nodes of overlapping groups under one h, or of each group where those have too large sets."""
+    part = roots(groups.where("v <> w").select("v", "w").distinct()).select(F.col("fp").alias("w"), F.col("root").alias("part"))
+    rows = groups.join(part, "w").join(sizes.select(F.col("node").alias("w"), "n"), "w")
+    volumes = part.join(sizes.select(F.col("node").alias("w"), "n"), "w").groupBy("part").agg(F.sum("n").alias("volume"))
+    h = F.when(F.col("volume") <= VOLUME, F.col("part")).otherwise(F.col("group"))
+    return rows.join(volumes, "part").select(h.alias("h"), F.col("w").alias("node"), "root", "n").distinct()
+
+
+def group_links(rows: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """(v, w): links of this Jaccard similarity that span the classes within each h of `rows` (h, node, root, n)."""
+    by = ["h", "a", "b"]
+    dealt = dealt_to_tiles(rows, VOLUME, F.col("n")).join(sizes, "node").join(sets, "node")
+    take = tile_function(lambda unit: links_among(unit, similarity, radius), ["hashes"], ["v", "w"])
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(take, "v bigint, w bigint").distinct()
 
 
 # Confirmation
@@ -376,6 +460,14 @@ def hash_function(shingle: int):
     return hashes.asNondeterministic()
 
 
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, hashes in ascending order, have at least this Jaccard similarity."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    shared = int((a[at] == b).sum()) if len(a) else 0
+    return (1 + similarity) * shared >= similarity * (len(a) + len(b)) - 1e-9
+
+
 def overlap_function(similarity: float):
     """Rows (v, salt, w, hashes) sorted by centre, its own set (w null) first, to the links (v, w)."""
 
@@ -389,10 +481,7 @@ def overlap_function(similarity: float):
                 if other is None:
                     centre = hashes
                     continue
-                at = np.searchsorted(centre, hashes)
-                at[at == len(centre)] = 0
-                shared = int((centre[at] == hashes).sum()) if len(centre) else 0
-                if (1 + similarity) * shared >= similarity * (len(centre) + len(hashes)) - 1e-9:
+                if alike(centre, hashes, similarity):
                     v.append(own)
                     w.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(w, pa.int64())], names=["v", "w"])
@@ -413,7 +502,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 class Confirmer:
-    """Confirms candidate pairs, reading the texts of nodes it has not met before."""
+    """Confirms candidates, reading the texts of nodes it has not met before."""
 
     def __init__(self, docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, similarity: float, scratch: Scratch) -> None:
         self.texts = packed(docs, keep_key=True).select(
@@ -422,9 +511,8 @@ class Confirmer:
         self.rows, self.shingle, self.similarity, self.scratch = rows, shingle, similarity, scratch
         self.sets: DataFrame | None = None
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        pairs = self.scratch.keep(pairs, "pairs")
-        nodes = pairs.select(F.explode(F.array("v", "w")).alias("node")).distinct()
+    def read(self, nodes: DataFrame) -> DataFrame:
+        """The sets of these nodes and of all before."""
         if self.sets is not None:
             nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
         # One row's text for each node; equal rows have equal texts, so one of them is enough.
@@ -433,8 +521,22 @@ class Confirmer:
         found = self.texts.join(wanted, ["low", "high"]).groupBy("node").agg(F.first("text").alias("text"))
         new = self.scratch.keep(found.select("node", hash_function(self.shingle)("text").alias("hashes")), "hashes")
         self.sets = new if self.sets is None else self.sets.unionAll(new)
-        links = self.scratch.keep(confirmed(pairs, self.sets, self.similarity), "confirmed")
-        self.scratch.drop(wanted, pairs)
+        self.scratch.drop(wanted)
+        return self.sets
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        pairs = self.scratch.keep(pairs, "pairs")
+        sets = self.read(pairs.select(F.explode(F.array("v", "w")).alias("node")).distinct())
+        links = self.scratch.keep(confirmed(pairs, sets, self.similarity), "confirmed")
+        self.scratch.drop(pairs)
+        return links
+
+    def links_of_groups(self, groups: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
+        groups = self.scratch.keep(groups, "groups")
+        rows = self.scratch.keep(put_together(groups, sizes), "together")
+        sets = self.read(rows.select("node").distinct())
+        links = self.scratch.keep(group_links(rows, sizes, sets, self.similarity, radius), "confirmed")
+        self.scratch.drop(groups, rows)
         return links
 
 
@@ -497,10 +599,12 @@ def similar(
         if sizes is None:
             sizes = sizes_of(now.select("node").distinct())
         if step < STARS:
-            pairs = possible(star_pairs(now, step), sizes, similarity)
+            found = confirm.links(possible(star_pairs(now, step), sizes, similarity))
         else:
-            pairs = tile_pairs(now, sizes, similarity, radius, tile)
-        links = links.unionAll(confirm.links(pairs))
+            before, now = now, scratch.keep(once_each(now), "once")
+            scratch.drop(before)
+            found = confirm.links_of_groups(tile_groups(now, sizes, similarity, radius, tile), sizes, radius)
+        links = links.unionAll(found)
         table = scratch.keep(roots(links), "classes")
     classes = table.withColumnRenamed("fp", "node")
     out = rows.join(classes, "node", "left").select(
